@@ -1,0 +1 @@
+"""operators of the library; see README.md."""

@@ -1,0 +1 @@
+"""plans of the library; see README.md."""

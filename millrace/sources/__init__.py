@@ -1,0 +1 @@
+"""sources of the library; see README.md."""
