@@ -47,7 +47,7 @@ def duplicate_keys(rows: DataFrame) -> DataFrame:
 
 def inconsistent_origins(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """Listed origins that have not exactly one label, or lack one of the three indicators."""
-    has = lambda i: F.max(flag(F.col("indicator") == i))
+    has = lambda i: F.max(flag(F.expr("try_cast(indicator as int)") == i))
     return (
         rows.join(F.broadcast(codes), rows["origin"] == codes["code"], "left_semi")
         .groupBy("origin")

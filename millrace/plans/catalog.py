@@ -1,4 +1,4 @@
-"""All registered queries and their SQL."""
+"""All queries of the library and their SQL, by name."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from millrace.plans import flows, panel, records, results, spatial
+
+_FAMILIES = (flows, spatial, panel, records, results)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLE_SQL.items()}

@@ -112,12 +112,12 @@ ORACLE_SQL = {
         LEFT JOIN areas e ON e.code = f.destination GROUP BY o.code""",
     "queen_edges": _S + "SELECT a, b FROM edges",
     "queen_islands": _S + """
-        , some AS (SELECT * FROM areas WHERE key % 4 = 0 OR key = 1)
-        SELECT code FROM some s WHERE NOT EXISTS (SELECT 1 FROM some t WHERE t.code <> s.code AND abs(t.cx - s.cx) <= 1 AND abs(t.cy - s.cy) <= 1)""",
+        , chosen AS (SELECT * FROM areas WHERE key % 4 = 0 OR key = 1)
+        SELECT code FROM chosen s WHERE NOT EXISTS (SELECT 1 FROM chosen t WHERE t.code <> s.code AND abs(t.cx - s.cx) <= 1 AND abs(t.cy - s.cy) <= 1)""",
     "morans_i": _S + """
         , z AS (SELECT code, value - avg(value) OVER () AS z FROM balances),
-        both AS (SELECT a AS i, b AS j FROM edges UNION ALL SELECT b, a FROM edges),
-        w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM both)
+        twice AS (SELECT a AS i, b AS j FROM edges UNION ALL SELECT b, a FROM edges),
+        w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM twice)
         SELECT (SELECT count(*) FROM z) AS n, round(sum(w * p.z * q.z) / (SELECT sum(z * z) FROM z) * (SELECT count(*) FROM z) / sum(w), 6) AS moran_i
         FROM w JOIN z p ON p.code = i JOIN z q ON q.code = j""",
     "count_model_frame": (_A.replace("FROM codes", "FROM codes") + ", " + _AREAS).replace("FROM nation WHERE n_regionkey < 3", "FROM nation") + """
