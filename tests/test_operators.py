@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar
-from millrace.operators import dedup, episodes, flows, instances, metrics, panel, sequence, spatial, stats, store
+from millrace.operators import contracts, dedup, episodes, flows, instances, metrics, panel, sequence, spatial, stats, store
 from millrace.operators.ranking import hash_ranked, numbered
+from millrace.sources.readers import ContractError
 from tests.conftest import rows
 
 
@@ -364,3 +365,31 @@ def test_numbering_and_hash_ranks(spark):
     for r in ranked.collect():
         by.setdefault(r["g"], []).append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_contracts(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    assert rows(contracts.one_to_one(a, a.withColumnRenamed("v", "w"), ["k"])) == [(1, "x", "x"), (2, "y", "y")]
+    with pytest.raises(ContractError):
+        contracts.one_to_one(a, a.union(a).withColumnRenamed("v", "w"), ["k"])
+    with pytest.raises(ContractError):
+        contracts.aligned(spark.createDataFrame([(1,), (3,)], "k int"), a, "k")
+    gap = make_panel(spark, [x for x in PANEL if x[1] != 3])
+    with pytest.raises(ContractError):
+        contracts.sequence_contract(gap)
+    with pytest.raises(ContractError):
+        contracts.sequence_contract(make_panel(spark), 0.6)
+    assert contracts.sequence_contract(make_panel(spark), 0.5).count() == len(PANEL)
+    d = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "k int, v double")
+    e = spark.createDataFrame([(1, 1.0 + 1e-12), (2, 2.5), (4, 4.0)], "k int, v double")
+    assert rows(contracts.apart(d, e, ["k"], ["v"]), "k") == [(2, 0.5), (3, None), (4, None)]
+    assert contracts.contained("/data", "a/../b.png") == "/data/b.png"
+    for bad in ("../x", "/etc/passwd", "a/../../x"):
+        with pytest.raises(ContractError):
+            contracts.contained("/data", bad)
+    contracts.agrees({"season": "a", "x": 1}, {"season": "a"})
+    with pytest.raises(ContractError):
+        contracts.agrees({"season": "a"}, {"season": "b"})
+    contracts.fixed_protocol("mine", {"threshold": 0.4}, "standard", {"threshold": 0.5})
+    with pytest.raises(ContractError):
+        contracts.fixed_protocol("standard", {"threshold": 0.4}, "standard", {"threshold": 0.5})
