@@ -45,6 +45,8 @@ LIFT, CHANCE, MIN_SHARE = 2.0, 1e-5, 0.005
 ROUNDS, RATE, PENALTY = 400, 0.1, 2e-5
 #: Only puts the values near 1, where the first steps of training are.
 SCALE = 5.0
+#: Counters of the sieve for frequent features.
+SIEVE = 1 << 22
 #: Words whose features a task remembers before it forgets them all.
 REMEMBERED = 300_000
 
@@ -73,27 +75,38 @@ def _log_tail(n: int, mean: float) -> float:
     return 0.0 if n <= mean else n - mean - n * math.log(n / mean)
 
 
-def choose_features(positive: list[dict[str, float]], unlabelled: list[dict[str, float]]) -> list[str]:
+def frequent(texts: list[str], least: float) -> Counter:
+    """In how many texts each feature is, for those that are in at least `least`.
+
+    A sieve of counts by hash goes first, so that the many rare features are never held.
+    """
+    sieve = np.zeros(SIEVE, np.int32)
+    for t in texts:
+        found = np.fromiter({hash(f) % SIEVE for f in features(t)}, np.int64)
+        sieve[found] += 1
+    passed = set(np.flatnonzero(sieve >= least).tolist())
+    counts = Counter(f for t in texts for f in features(t) if hash(f) % SIEVE in passed)
+    return Counter({f: n for f, n in counts.items() if n >= least})
+
+
+def choose_features(positive: list[str], unlabelled: list[str]) -> list[str]:
     """The features that more positives have than their rate among the unlabelled explains, the surest first.
 
     A feature needs LIFT times that rate, a count that this rate would reach with a
     chance under CHANCE, and MIN_SHARE of the positives (3 at least).
     """
-    own, all_ = Counter(), Counter()
-    for x in positive:
-        own.update(x.keys())
-    for x in unlabelled:
-        all_.update(f for f in x if f in own)
-    least, scored = max(3, MIN_SHARE * len(positive)), []
+    own = frequent(positive, max(3, MIN_SHARE * len(positive)))
+    all_ = Counter(f for t in unlabelled for f in features(t) if f in own)
+    scored = []
     for f, n in own.items():
         expected = len(positive) * (all_[f] + 1) / (len(unlabelled) + 1)
-        if n >= least and n > LIFT * expected and (tail := _log_tail(n, expected)) < math.log(CHANCE):
+        if n > LIFT * expected and (tail := _log_tail(n, expected)) < math.log(CHANCE):
             scored.append((tail, f))
     return [f for _, f in sorted(scored)[:MAX_FEATURES]]
 
 
-def _matrix(texts: list[dict[str, float]], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cells = [(row, place[f], x) for row, found in enumerate(texts) for f, x in found.items() if f in place]
+def _matrix(texts: list[str], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cells = [(row, place[f], x) for row, t in enumerate(texts) for f, x in features(t).items() if f in place]
     rows, columns, values = zip(*cells, strict=True) if cells else ((), (), ())
     return np.array(rows, np.int64), np.array(columns, np.int64), np.array(values, np.float64)
 
@@ -104,7 +117,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def train(positive: Iterable[str | None], unlabelled: Iterable[str | None], prior: float) -> tuple[dict[str, float], float]:
     """Weights and bias of one logistic classifier that minimises the non-negative risk, by Adam; copies count once."""
-    p, u = [features(t) for t in dict.fromkeys(positive)], [features(t) for t in dict.fromkeys(unlabelled)]
+    p, u = ([t or "" for t in dict.fromkeys(x)] for x in (positive, unlabelled))
     chosen = choose_features(p, u)
     place = {f: i for i, f in enumerate(chosen)}
     parts = [(*_matrix(x, place), len(x)) for x in (p, u)]
