@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions.scalar import flag, ratio
 from millrace.session import ship
@@ -80,12 +81,18 @@ def maximum_matching(scores: dict[int, list[tuple[int, float]]]) -> list[tuple[i
 def matches(points: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A largest one-to-one matching of the pairs whose IoU is at least the threshold (plot, pred, ref, iou).
 
-    Where a pair is the only one of both its sides, it is a match; that is decided in
-    columns. At one half and over, other pairs can only be ties at exactly one half, so
-    few are left for the augmenting paths, which go plot by plot.
+    From a threshold of one half on, several pairs of a prediction are all exactly one
+    half, and each of their references has no other pair (and the other way round), so
+    the first pair in order of score and id is a largest matching; that is decided by
+    windows. Below it, pairs that are the only ones of both their sides are matches, and
+    the others go through augmenting paths, plot by plot.
     """
-    ship(points.sparkSession)
     p = overlaps(points).where(F.col("shared") >= F.lit(threshold) * F.col("whole")).withColumn("iou", F.col("shared") / F.col("whole"))
+    if threshold >= 0.5:
+        first = lambda own, other: F.row_number().over(Window.partitionBy("plot", own).orderBy(F.desc("iou"), other))
+        ordered = p.withColumns({"_a": first("pred", "ref"), "_b": first("ref", "pred")})
+        return ordered.where("_a = 1 AND _b = 1").select(*[F.col(c).cast("long").alias(c) for c in ("plot", "pred", "ref")], "iou")
+    ship(points.sparkSession)
     by_pred = p.groupBy("plot", "pred").agg(F.count("*").alias("_dp"))
     by_ref = p.groupBy("plot", "ref").agg(F.count("*").alias("_dr"))
     degrees = p.join(by_pred, ["plot", "pred"]).join(by_ref, ["plot", "ref"])

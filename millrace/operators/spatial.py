@@ -80,8 +80,9 @@ def _moran(cross: Column, square: Column, n: Column, total: Column) -> Column:
 def morans_i(values: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Moran's I of (code, value) under row-standardised contiguity, for each combination of `by`."""
     by = by or []
-    mean = F.avg("value").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    z = values.select(*by, "code", (F.col("value") - mean).alias("z"))
+    mean = values.groupBy(*by).agg(F.avg("value").alias("_mean"))
+    centred = values.join(mean, by) if by else values.crossJoin(F.broadcast(mean))
+    z = centred.select(*by, "code", (F.col("value") - F.col("_mean")).alias("z"))
     w = weights(edges)
     other = z.select(*by, F.col("code").alias("j"), F.col("z").alias("zj"))
     crossed = w.join(z.withColumnRenamed("code", "i"), "i").join(other, [*by, "j"])

@@ -297,6 +297,13 @@ def test_ties_at_one_half(spark):
     assert rows(instances.matches(p), "pred") == [(1, 7, 1, 0.5), (1, 8, 3, 0.5)]
 
 
+def test_matching_below_one_half(spark):
+    """Three predictions in a row over three references; at 0.25 only an augmenting path matches all."""
+    values = [(1, 1, 4)] * 3 + [(1, 2, 4)] * 3 + [(2, 1, 4)] * 3 + [(2, 3, 4)] * 1 + [(3, 2, 4)] * 3
+    assert instances.matches(points(spark, values), 0.3).count() == 2
+    assert [r[1:3] for r in rows(instances.matches(points(spark, values), 0.25), "pred")] == [(1, 1), (2, 3), (3, 2)]
+
+
 def test_matching_augments():
     assert instances.maximum_matching({1: [(1, 0.9), (2, 0.6)], 2: [(1, 0.8)]}) == [(1, 2), (2, 1)]
     random.seed(1)
