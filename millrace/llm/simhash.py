@@ -8,10 +8,12 @@ Two fingerprints that differ in at most 3 bits differ in at most 1 bit of one of
 their halves. So there is a table for each half; the fingerprints are looked up in
 it with every value of a small ball (the half itself and each value that differs
 in one bit), and what is found is verified by the complete distance. The balls
-are dealt out: a row goes to the tasks of the upper PREFIX bits of its half, and
-of each value that differs from them in one bit; what differs in the lower bits
-is enumerated there. Only distinct fingerprints take part, so copies cost nothing,
-and a task gives the edges of a spanning forest of what it links, never all pairs.
+are dealt out: a row goes to the groups of the upper bits of its half, and of each
+value that differs from them in one bit; what differs in the lower bits is
+enumerated there. The number of upper bits follows that of fingerprints, so that
+groups have about GROUP of their own at every size. Only distinct fingerprints take
+part, so copies cost nothing, and a task gives the edges of a spanning forest of
+what it links, never all pairs.
 
 Cases: null and empty texts, and those of white space only, have the fingerprint
 zero, which is linked like any other. A null id cannot be a component's smallest;
@@ -21,11 +23,11 @@ result each. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,8 +37,8 @@ from millrace.llm.common import join_unique, map_text
 from millrace.session import drop_staged, ship, staged
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Upper bits of a half by which the balls are dealt out.
-PREFIX = 16
+#: Fingerprints with the same upper bits of a half, about; at least so many upper bits.
+GROUP, LEAST_PREFIX = 4096, 8
 #: Pairs that a task verifies at once.
 PAIRS_AT_ONCE = 2_000_000
 #: Rows of one upper value that a task gathers before it goes on with the next ones.
@@ -141,17 +143,18 @@ def links(distinct: DataFrame) -> DataFrame:
     `distinct` has one row a fingerprint, in the column fp.
     """
     ship(distinct.sparkSession)
+    prefix = min(28, max(LEAST_PREFIX, math.ceil(math.log2(max(1, distinct.count()) / GROUP))))
     halves = F.array(
         *[
             F.struct(
                 F.lit(half).alias("half"),
-                F.shiftrightunsigned("fp", 32 * half + 32 - PREFIX).bitwiseAND((1 << PREFIX) - 1).cast("int").alias("upper"),
-                F.shiftrightunsigned("fp", 32 * half).bitwiseAND((1 << (32 - PREFIX)) - 1).cast("int").alias("low"),
+                F.shiftrightunsigned("fp", 32 * half + 32 - prefix).bitwiseAND((1 << prefix) - 1).cast("int").alias("upper"),
+                F.shiftrightunsigned("fp", 32 * half).bitwiseAND((1 << (32 - prefix)) - 1).cast("int").alias("low"),
             )
             for half in (0, 1)
         ]
     )
-    flips = F.array(*[F.lit(0), *[F.lit(1 << b) for b in range(PREFIX)]])
+    flips = F.array(*[F.lit(0), *[F.lit(1 << b) for b in range(prefix)]])
     rows = (
         distinct.select("fp", F.explode(halves).alias("h"))
         .select("fp", "h.*", F.explode(flips).alias("flip"))
@@ -173,7 +176,7 @@ def links(distinct: DataFrame) -> DataFrame:
             edges: list[tuple[int, int]] = []
             for i in range(whole):
                 part = slice(starts[i], starts[i + 1])
-                edges += link_group(fp[part].view(np.uint64), own[part], low[part].astype(np.uint32), 32 - PREFIX)
+                edges += link_group(fp[part].view(np.uint64), own[part], low[part].astype(np.uint32), 32 - prefix)
             rest = slice(starts[whole], None)
             held = [] if last else [(g[rest], own[rest], low[rest], fp[rest])]
             n = 0 if last else len(held[0][0])
