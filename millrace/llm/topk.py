@@ -35,6 +35,8 @@ SCALE = 256
 QUERY_GROUP, CANDIDATE_GROUP = 16384, 65536
 #: Groups of candidates are at least so many, so that small tables use all cores.
 LEAST_GROUPS = 24
+#: Queries whose first block is multiplied at once.
+QUERIES_AT_ONCE = 64
 #: Dimensions of a block.
 BLOCK = 16
 #: Candidates, drawn by hash, that give every query its floor.
@@ -70,11 +72,12 @@ def search_block(
     # Lengths of what is left after each block, of candidates and queries, rounded up.
     left = [np.sqrt((columns[c:].astype(np.float64) ** 2).sum(0)) for c in cuts[1:]]
     left_q = [np.sqrt((queries[:, c:].astype(np.float64) ** 2).sum(1)) for c in cuts[1:]]
-    first = queries[:, : cuts[1]] @ columns[: cuts[1]]
     found = []
     for i, query_id in enumerate(query_ids):
+        if i % QUERIES_AT_ONCE == 0:
+            first = queries[i : i + QUERIES_AT_ONCE, : cuts[1]] @ columns[: cuts[1]]
         alive = np.flatnonzero(ids != query_id)
-        partial = first[i, alive]
+        partial = first[i % QUERIES_AT_ONCE, alive]
         least = -np.inf if floors is None else floors[i]
         for b in range(1, len(cuts)):
             slack = left[b - 1][alive] * left_q[b - 1][i] * (1 + 1e-9) + 1e-6
@@ -118,7 +121,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # A bounded sample of candidates meets all queries first: its k-th best score is a floor for each query.
     sample = c.where(F.pmod(F.xxhash64("vec_id", F.lit("floor")), F.lit(1 << 30)) < int(min(1.0, FLOOR_SAMPLE / max(1, size)) * (1 << 30)))
-    spread = max(1, min(LEAST_GROUPS, -(-asked // 64)))
+    spread = max(1, min(LEAST_GROUPS, -(-asked // 8)))
     q_spread = queries.withColumn("g", F.pmod(dealt, F.lit(max(spread, rows))).cast("int"))
     scores = (
         q_spread.groupBy("g").cogroup(sample.withColumn("g", every(max(spread, rows))).groupBy("g"))
