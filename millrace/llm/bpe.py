@@ -36,8 +36,8 @@ from millrace.llm.common import map_text
 
 #: Symbols that a window has beyond the lookahead and the longest token.
 STEP = 256
-#: Words of up to so many bytes are remembered with their ids, so many of them; then all are forgotten.
-REMEMBERED_BYTES, REMEMBERED = 64, 300_000
+#: Words of up to so many characters are remembered with their ids, so many of them; then all are forgotten.
+REMEMBERED_CHARACTERS, REMEMBERED = 64, 300_000
 #: Characters of a text that are split into words at once, unless a word is longer.
 BLOCK = 1 << 16
 
@@ -156,30 +156,52 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class Decoder:
-    """Ids to text, step by step: the bytes of each token's surface, with one space between tokens.
+    """Ids to text, step by step. The state is the bytes of a character that has begun, and whether a token came before.
 
-    States are the bytes of a character that has begun, and whether a token came before.
+    surfaces: give the tokens as the vocabulary writes them, with one space between
+    them; else the text that they stand for, with a space after each word.
     """
 
-    def __init__(self, merges: Merges):
-        self._bytes = {i: t.encode() for i, t in merges.surface.items()}
+    def __init__(self, merges: Merges, surfaces: bool = True):
+        self._between = b" " if surfaces else b""
+        if surfaces:
+            self._bytes = {i: t.encode() for i, t in merges.surface.items()}
+        else:
+            symbols = _byte_symbols()
+            final = {i: t.endswith(merges.end) for t, i in merges.ids.items()}
+            plain = {i: t.removesuffix(merges.end) for t, i in merges.ids.items()}
+            self._bytes = {i: bytes(symbols[c] for c in t) + b" " * final[i] for i, t in plain.items()}
+            self._bytes |= {i: t.encode() for t, i in merges.special.items()}
+        #: Tokens that end where a character ends, and begin where one begins.
+        self._whole = {i: t for i, b in self._bytes.items() if (t := _text(b)) is not None}
+        self._first = codecs.getincrementaldecoder("utf-8")
         self.reset()
 
     def reset(self) -> None:
-        self._characters = codecs.getincrementaldecoder("utf-8")("replace")
-        self._begun = False
+        self._characters = self._first("replace")
+        self._open = self._begun = False
 
     def push(self, token: int) -> str:
-        data = b" " + self._bytes[token] if self._begun else self._bytes[token]
-        self._begun = True
-        return self._characters.decode(data)
+        begun, self._begun = self._begun, True
+        if not self._open and (text := self._whole.get(token)) is not None:
+            return self._between.decode() + text if begun else text
+        text = self._characters.decode(self._between * begun + self._bytes[token])
+        self._open = bool(self._characters.getstate()[0])
+        return text
 
     def finish(self) -> str:
-        rest = self._characters.decode(b"", True)
+        rest = self._characters.decode(b"", True) if self._open else ""
         self.reset()
         return rest
 
 
+def _text(data: bytes) -> str | None:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 class Coder:
     """Encodes and decodes whole texts in blocks, with a bounded memory of words."""
 
@@ -220,18 +242,20 @@ class Coder:
 
     def _coded(self, tokens: Iterable[int]) -> tuple[int, bytes, bytes]:
         """Number of ids, their decimals, and what they decode to."""
-        ids, text = list(tokens), []
-        for token in ids:
-            text.append(self._decoder.push(token))
-        text.append(self._decoder.finish())
+        ids = list(tokens)
+        text = [*map(self._decoder.push, ids), self._decoder.finish()]
         return len(ids), " ".join(map(str, ids)).encode(), "".join(text).encode()
 
     def _remember(self, word: str) -> tuple[int, bytes, bytes]:
-        found = self._coded(self._tokens(word))
-        if len(word) <= REMEMBERED_BYTES:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[word] = found
+        if len(word) > REMEMBERED_CHARACTERS:
+            return self._coded(self._tokens(word))
+        # A word that is shorter than the lookahead is seen whole by the transducer's one window.
+        data = word.encode("utf-8", "surrogatepass")
+        inner = self.merges.inner
+        found = self._coded(self.merges.merged([inner[b] for b in data[:-1]] + [self.merges.final[data[-1]]]))
+        if len(self._known) >= REMEMBERED:
+            self._known.clear()
+        self._known[word] = found
         return found
 
     def _parts(self, text: str) -> Iterator[list[tuple[int, bytes, bytes]]]:

@@ -96,6 +96,18 @@ def test_streams_round_trip(spark, odd, reference):
 def test_decoder_gives_text_when_a_character_is_whole(coder):
     decoder = bpe.Decoder(coder.merges)
     assert [decoder.push(320), decoder.push(320), decoder.finish()] == ["a</w>", " a</w>", ""]
+    plain = bpe.Decoder(coder.merges, surfaces=False)
+    ids = [coder.merges.inner[b] for b in "漢".encode()[:2]] + [coder.merges.final["漢".encode()[2]]]
+    assert [plain.push(i) for i in ids] == ["", "", "漢 "]
+    assert [plain.push(ids[0]), plain.push(320), plain.finish()] == ["", "\ufffda ", ""]
+
+
+def test_text_comes_back(coder):
+    plain = bpe.Decoder(coder.merges, surfaces=False)
+    for text in ("Hello WORLD, it's 2024!", "éà ñandú 漢字かな \U0001f600", "a\n\nb", ""):
+        words = [w for block in coder.words(text) for w in block]
+        got = "".join(plain.push(i) for i in coder.encode(text)) + plain.finish()
+        assert got.split() == words
 
 
 def test_bpe_table(spark, data, odd, empty, reference):
