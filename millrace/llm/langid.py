@@ -14,6 +14,7 @@ rows each get their own result. Texts are read whole, however long.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SAMPLE_PER_LANGUAGE = 3000
 MAX_LANGUAGES = 1000
 #: How sharply the score falls with distance (distances are divided by their maximum).
 SHARPNESS = 25.0
+#: Characters of a text whose n-grams are held at once.
+PIECE = 1 << 19
 #: n-grams that a task holds before it counts them.
 COUNTED_AT_ONCE = 2_000_000
 UNKNOWN = "und"
@@ -61,6 +64,17 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.concatenate((padded[~space], two, three))
 
 
+def pieces(text: str | None) -> Iterator[str]:
+    """A text in pieces of about PIECE characters, cut at characters that are no letters: no n-gram is cut."""
+    text, at = text or "", 0
+    while at < len(text):
+        to = min(len(text), at + PIECE)
+        while to < len(text) and text[to].isalpha():
+            to += 1
+        yield text[at:to]
+        at = to
+
+
 def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams in ascending order, and how often each occurs."""
     grams = np.sort(grams)
@@ -68,12 +82,20 @@ def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[first], np.diff(np.append(first, len(grams)))
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of parts, added up."""
+    if len(parts) == 1:
+        return parts[0]
+    distinct, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate([n for _, n in parts]), len(distinct)).astype(np.int64)
+
+
 def listed(text: str | None, length: int = LISTED) -> np.ndarray:
     """The most frequent n-grams of a text, the most frequent first; equally frequent ones by value."""
-    grams = ngrams(text)
-    if not len(grams):
-        return grams
-    distinct, counts = counted(grams)
+    parts = [counted(grams) for piece in pieces(text) if len(grams := ngrams(piece))]
+    if not parts:
+        return np.empty(0, np.uint64)
+    distinct, counts = merged(parts)
     if len(distinct) > length:
         least = np.partition(counts, len(counts) - length)[len(counts) - length]
         distinct, counts = distinct[counts >= least], counts[counts >= least]
@@ -146,11 +168,12 @@ def fit(documents: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, profile: int =
 
             held = 0
             for language, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                waiting.setdefault(language, []).append(found := ngrams(text))
-                held += len(found)
-                if held > COUNTED_AT_ONCE:
-                    flush()
-                    held = 0
+                for piece in pieces(text):
+                    waiting.setdefault(language, []).append(found := ngrams(piece))
+                    held += len(found)
+                    if held > COUNTED_AT_ONCE:
+                        flush()
+                        held = 0
             flush()
             none = np.empty(0, np.int64)
             return pa.RecordBatch.from_arrays(
