@@ -38,6 +38,8 @@ WINDOW, RUN, POINTS = 16, 16, 6
 FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
 #: Classes of entropy, from 0 bits to those of a window of different bytes.
 CLASSES = 512
+#: Bytes whose windows are worked on at once.
+STRETCH = 1 << 20
 #: Rows of a range of ids, and the most ranges; a range is read in order by one task.
 RANGE_ROWS, MAX_RANGES = 1000, 8192
 
@@ -54,6 +56,8 @@ def _classes(sums: np.ndarray) -> np.ndarray:
 def tile_classes(data: bytes) -> np.ndarray:
     """The entropy classes of the windows that begin at each WINDOW-th byte and lie wholly in the text."""
     n = len(data) // WINDOW
+    if n > STRETCH // WINDOW:
+        return np.concatenate([tile_classes(data[i : i + STRETCH]) for i in range(0, n * WINDOW, STRETCH)])
     if not n:
         return np.empty(0, np.int64)
     rows = np.sort(np.frombuffer(data, np.uint8, n * WINDOW).reshape(n, WINDOW), axis=1)
@@ -63,10 +67,16 @@ def tile_classes(data: bytes) -> np.ndarray:
 
 
 def window_classes(data: bytes) -> np.ndarray:
-    """The entropy class of the window at each byte; bytes come and go with the counts they then have."""
+    """The entropy class of the window at each byte, stretch by stretch."""
+    n = len(data) - WINDOW + 1
+    if n < 1:
+        return np.empty(0, np.int16)
+    return np.concatenate([_stretch_classes(data[i : i + STRETCH + WINDOW - 1]) for i in range(0, n, STRETCH)])
+
+
+def _stretch_classes(data: bytes) -> np.ndarray:
+    """Bytes come into the window and go with the counts that they then have in it."""
     n = len(data)
-    if n < WINDOW:
-        return np.empty(0, np.int64)
     x = np.frombuffer(data, np.uint8)
     order = np.argsort(x, kind="stable")
     key = x[order].astype(np.int64) << 40 | order
@@ -79,7 +89,7 @@ def window_classes(data: bytes) -> np.ndarray:
     sums = total[WINDOW - 1 :].copy()
     # Whole sums at the end of each window, less what the bytes that have left took with them.
     sums[1:] -= np.cumsum(_STEPS[after[: n - WINDOW]])
-    return _classes(sums)
+    return _classes(sums).astype(np.int16)
 
 
 def popular(ranks: np.ndarray) -> np.ndarray:
@@ -90,12 +100,16 @@ def popular(ranks: np.ndarray) -> np.ndarray:
         if n:
             chosen[int(ranks.argmin())] = True
         return chosen
-    lowest = ranks.astype(np.int64) << 40 | np.arange(n)
-    span = 1
-    while span < RUN:
-        lowest = np.minimum(lowest[:-span], lowest[span:])
-        span *= 2
-    chosen = np.bincount(lowest & ((1 << 40) - 1), minlength=n) >= POINTS
+    points = np.zeros(n, np.int32)
+    for i in range(0, n - RUN + 1, STRETCH):
+        some = ranks[i : i + STRETCH + RUN - 1]
+        lowest = some.astype(np.int64) << 40 | np.arange(len(some))
+        span = 1
+        while span < RUN:
+            lowest = np.minimum(lowest[:-span], lowest[span:])
+            span *= 2
+        points[i : i + len(some)] += np.bincount(lowest & ((1 << 40) - 1), minlength=len(some))
+    chosen = points >= POINTS
     if not chosen.any():
         chosen[int(ranks.argmin())] = True
     return chosen

@@ -297,3 +297,14 @@ def test_pipeline_stages(spark, data):
     assert "@mail" not in left
     got = corpus_pipeline.run(spark, data).collect()
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_stretches_of_a_long_text_do_not_matter(monkeypatch):
+    random.seed(8)
+    data = bytes(random.choices(b"abcdefgh \n", k=5000))
+    rarity = np.random.default_rng(0).permutation(digest.CLASSES)
+    classes, tiles, (places, hashes) = digest.window_classes(data), digest.tile_classes(data), digest.features(data, rarity)
+    monkeypatch.setattr(digest, "STRETCH", 64)
+    assert (digest.window_classes(data) == classes).all() and (digest.tile_classes(data) == tiles).all()
+    again = digest.features(data, rarity)
+    assert (again[0] == places).all() and (again[1] == hashes).all()
