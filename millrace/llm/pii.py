@@ -24,6 +24,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -111,25 +112,19 @@ class Graph:
 
     def add(self, document: int, text: str, base: list[Span], gold: bool = False) -> None:
         """Adds a document; where `gold`, nodes outside the spans are known to be none."""
-        words = list(_TOKEN.finditer(text))
         keys: dict[tuple[str, str], list[int]] = defaultdict(list)
         last, upto, inside = -2, 0, []
-        for i, word in enumerate(words):
-            token = word.group()
-            if not _HINT.search(token):
-                continue
-            while upto < len(base) and base[upto][0] < word.end():
+        for i, place, token, before, after in _hinted(text):
+            while upto < len(base) and base[upto][0] < place + len(token):
                 inside.append(base[upto])
                 upto += 1
-            inside = [s for s in inside if s[1] > word.start()]
+            inside = [s for s in inside if s[1] > place]
             core = token.strip(_EDGE) or token
-            start = word.start() + token.find(core)
+            start = place + token.find(core)
             node = len(self.at)
             self.at.append((document, start, start + len(core)))
             over = [s[2] for s in inside if s[0] < start + len(core) and s[1] > start]
             self.label.append(min(over) + 1 if over else 0 if gold else -1)
-            before = words[i - 1].group().lower() if i else "^"
-            after = words[i + 1].group().lower() if i + 1 < len(words) else "$"
             self.features.append(_features(token, core, before, after))
             if last == i - 1:
                 self.chain.append((node - 1, node))
@@ -139,6 +134,19 @@ class Graph:
         self.skip += sorted({pair for nodes in keys.values() for pair in pairwise(nodes)})
 
 
+def _hinted(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Number, place, token and the tokens before and after of each token with a digit or an at sign."""
+    before, held = "^", None
+    for i, m in enumerate(_TOKEN.finditer(text)):
+        token = m.group()
+        if held is not None:
+            yield (*held, token)
+        held = (i, m.start(), token, before) if _HINT.search(token) else None
+        before = token
+    if held is not None:
+        yield (*held, "$")
+
+
 def _features(token: str, core: str, before: str, after: str) -> list[int]:
     """Buckets of a token's features. What the patterns check is part of each shape, so a number that
     fails the check is not taken for one that passes."""
@@ -147,7 +155,7 @@ def _features(token: str, core: str, before: str, after: str) -> list[int]:
     valid = f"{14 <= len(digits) <= 19 and luhn(digits):d}{len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts) and _octets(parts):d}"
     exact = re.sub("[0-9]", "9", re.sub(r"[^\W\d_]+", "a", token[:64]))
     rough = re.sub("9+", "9", exact)
-    named = [f"x{exact}/{valid}", f"r{rough}/{valid}", f"n{len(digits)}/{valid}/{'@' in core:d}{token[0] == '+':d}", f"b{before[:20]}", f"a{after[:20]}"]
+    named = [f"x{exact}/{valid}", f"r{rough}/{valid}", f"n{len(digits)}/{valid}/{'@' in core:d}{token[0] == '+':d}", f"b{before[:20].lower()}", f"a{after[:20].lower()}"]
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in named]
 
 

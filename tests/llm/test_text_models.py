@@ -179,3 +179,11 @@ def test_pii_cases(spark, odd, empty):
 
 def test_redaction_merges_overlaps():
     assert pii.redacted("0123456789", [(1, 4, 3), (2, 6, 2), (5, 6, 1), (8, 9, 0)]) == "0[PHONE]67[EMAIL]9"
+
+
+def test_pieces_of_a_long_text_count_the_same(monkeypatch):
+    random.seed(4)
+    text = " ".join("".join(random.choices("abcdé", k=random.randrange(1, 9))) for _ in range(3000)) + " " + "z" * 500
+    whole = langid.listed(text)
+    monkeypatch.setattr(langid, "PIECE", 37)
+    assert langid.listed(text).tolist() == whole.tolist()
