@@ -15,6 +15,12 @@ groups have about GROUP of their own at every size. Only distinct fingerprints t
 part, so copies cost nothing, and a task gives the edges of a spanning forest of
 what it links, never all pairs.
 
+A fingerprint may have several words of 64 bits, each from another mix of the same
+hashes: near_groups() links texts by a larger distance over four of them, whose
+eight halves have as many tables. Texts of a word similarity of 0.8 or more differ
+in about an eighth of the bits or fewer; a table misses a pair that differs in two
+bits or more of its half, so of such pairs those near 0.8 may be missed by all.
+
 Cases: null and empty texts, and those of white space only, have the fingerprint
 zero, which is linked like any other. A null id cannot be a component's smallest;
 a component of null ids only has a null component_id. Repeated rows get the same
@@ -44,39 +50,59 @@ PAIRS_AT_ONCE = 2_000_000
 #: Rows of one upper value that a task gathers before it goes on with the next ones.
 ROWS_AT_ONCE = 200_000
 
+#: Words, and bits in which they may differ, of the fingerprints of near_groups().
+NEAR_WORDS, NEAR_DISTANCE = 4, 32
+#: Constants of the mixing of 64-bit numbers that is known as SplitMix64.
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles, repeats included."""
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes themselves for the first word of a fingerprint, else a mix of them that is its own hash."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * int(_MIX[0]) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, size: int = 1) -> list[int]:
+    """The SimHash of a text's word shingles, repeats included, in words of 64 bits."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * size
     if len(words) < shingle:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
     hashes = np.fromiter(map(_hash, shingles), "<u8")
-    set_bits = np.zeros(64, np.int64)
+    set_bits = np.zeros(64 * size, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        part = np.stack([_mixed(hashes[at : at + (1 << 16)], k) for k in range(size)], 1)
+        set_bits += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(set_bits * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return bits.view("<u8").tolist()
 
 
-def fingerprinted(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of documents (doc_id, text)."""
+def _names(size: int) -> list[str]:
+    return [f"fp{k}" for k in range(size)]
+
+
+def fingerprinted(documents: DataFrame, shingle: int = SHINGLE, size: int = 1) -> DataFrame:
+    """doc_id and fp0, fp1 ... (the words of the fingerprint as signed longs) of documents (doc_id, text)."""
+    names = _names(size)
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle, size) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.ascontiguousarray(found.T))], names=["doc_id", *names])
 
         return batch
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_text(documents.select("doc_id", "text"), f"doc_id {kind}, fp long", make)
+    return map_text(documents.select("doc_id", "text"), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names), make)
 
 
 class _Forest:
@@ -98,18 +124,18 @@ class _Forest:
                 root[:] = deeper
 
 
-def link_group(fps: np.ndarray, own: np.ndarray, low: np.ndarray, bits: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
+def link_group(nodes: np.ndarray, fps: np.ndarray, own: np.ndarray, low: np.ndarray, bits: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """A spanning forest of the links among rows that share the upper bits of a half.
 
-    own: whether a row has these upper bits itself, and not only a neighbour of them.
-    low: the lower bits of its half.
+    fps: a row of words each. own: whether a row has these upper bits itself, and not
+    only a neighbour of them. low: the lower bits of its half.
     """
     entries = np.flatnonzero(own)
     if not len(entries) or len(fps) < 2:
         return []
     entries = entries[np.argsort(low[entries], kind="stable")]
     table = low[entries]
-    every, number = np.unique(fps, return_inverse=True)
+    every, number = np.unique(nodes, return_inverse=True)
     forest = _Forest(len(every))
 
     def probe(rows: np.ndarray, keys: np.ndarray) -> None:
@@ -124,7 +150,7 @@ def link_group(fps: np.ndarray, own: np.ndarray, low: np.ndarray, bits: int, dis
             left = np.repeat(rows[at:upto], some)
             within = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
             right = entries[np.repeat(first[at:upto], some) + within]
-            close = np.bitwise_count(fps[left] ^ fps[right]) <= distance
+            close = np.bitwise_count(fps[left] ^ fps[right]).sum(1) <= distance
             forest.link(number[left[close]], number[right[close]])
             at = upto
 
@@ -133,34 +159,36 @@ def link_group(fps: np.ndarray, own: np.ndarray, low: np.ndarray, bits: int, dis
     for bit in range(bits):
         probe(entries, table ^ np.uint32(1 << bit))
     member = np.flatnonzero(forest.root != np.arange(len(every)))
-    signed = every.view(np.int64)
-    return list(zip(signed[member].tolist(), signed[forest.root[member]].tolist(), strict=True))
+    return list(zip(every[member].tolist(), every[forest.root[member]].tolist(), strict=True))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges a, b between fingerprints, with the components that all links of at most DISTANCE bits have.
+def links(distinct: DataFrame, size: int = 1, distance: int = DISTANCE) -> DataFrame:
+    """Edges a, b between nodes, with the components that all links of at most `distance` bits have.
 
-    `distinct` has one row a fingerprint, in the column fp.
+    `distinct` has one row a fingerprint: node (long), fp0, fp1 ... One word and a
+    distance of 3 lose no link.
     """
     ship(distinct.sparkSession)
+    names = _names(size)
     prefix = min(28, max(LEAST_PREFIX, math.ceil(math.log2(max(1, distinct.count()) / GROUP))))
     halves = F.array(
         *[
             F.struct(
-                F.lit(half).alias("half"),
-                F.shiftrightunsigned("fp", 32 * half + 32 - prefix).bitwiseAND((1 << prefix) - 1).cast("int").alias("upper"),
-                F.shiftrightunsigned("fp", 32 * half).bitwiseAND((1 << (32 - prefix)) - 1).cast("int").alias("low"),
+                F.lit(2 * k + half).alias("half"),
+                F.shiftrightunsigned(name, 32 * half + 32 - prefix).bitwiseAND((1 << prefix) - 1).cast("int").alias("upper"),
+                F.shiftrightunsigned(name, 32 * half).bitwiseAND((1 << (32 - prefix)) - 1).cast("int").alias("low"),
             )
+            for k, name in enumerate(names)
             for half in (0, 1)
         ]
     )
     flips = F.array(*[F.lit(0), *[F.lit(1 << b) for b in range(prefix)]])
     rows = (
-        distinct.select("fp", F.explode(halves).alias("h"))
-        .select("fp", "h.*", F.explode(flips).alias("flip"))
+        distinct.select("node", *names, F.explode(halves).alias("h"))
+        .select("node", *names, "h.*", F.explode(flips).alias("flip"))
         .select(
-            (F.col("upper").bitwiseXOR(F.col("flip")) * 2 + F.col("half")).alias("g"),
-            (F.col("flip") == 0).alias("own"), "low", "fp",
+            (F.col("upper").bitwiseXOR(F.col("flip")).cast("long") * (2 * size) + F.col("half")).alias("g"),
+            (F.col("flip") == 0).alias("own"), "low", "node", *names,
         )
     )
 
@@ -170,21 +198,22 @@ def links(distinct: DataFrame) -> DataFrame:
 
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, n
-            g, own, low, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            g, own, low, node, *fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            fps = np.stack(fp, 1).view(np.uint64)
             starts = np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), len(g))
             whole = len(starts) - 1 if last else len(starts) - 2  # the last group may go on in the next batch
             edges: list[tuple[int, int]] = []
             for i in range(whole):
                 part = slice(starts[i], starts[i + 1])
-                edges += link_group(fp[part].view(np.uint64), own[part], low[part].astype(np.uint32), 32 - prefix)
+                edges += link_group(node[part], fps[part], own[part], low[part].astype(np.uint32), 32 - prefix, distance)
             rest = slice(starts[whole], None)
-            held = [] if last else [(g[rest], own[rest], low[rest], fp[rest])]
+            held = [] if last else [tuple(c[rest] for c in (g, own, low, node, *fp))]
             n = 0 if last else len(held[0][0])
             a, b = zip(*edges, strict=True) if edges else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), b.column(3).to_numpy()))
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
             n += b.num_rows
             if n >= ROWS_AT_ONCE and held[0][0][0] != held[-1][0][-1]:
                 yield flush(False)
@@ -230,9 +259,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def grouped(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document (doc_id, text)."""
-    prints = staged(fingerprinted(documents, shingle), "fingerprints")
+    prints = staged(fingerprinted(documents, shingle).withColumnRenamed("fp0", "fp"), "fingerprints")
     each = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    roots = components(links(each.select("fp")))
+    roots = components(links(each.select(F.col("fp").alias("node"), F.col("fp").alias("fp0"))))
     rooted = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     # Of linked fingerprints only: one row a component.
     smallest = rooted.join(roots.select(F.col("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
@@ -243,11 +272,21 @@ def grouped(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
-def keep_first(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, with all their columns, of which each group keeps one: that with the smallest id.
+def near_groups(documents: DataFrame, shingle: int = SHINGLE, size: int = NEAR_WORDS, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """The ids of which each group of near copies keeps one, its smallest: column doc_id. Rows without an id take no part."""
+    names = _names(size)
+    prints = fingerprinted(documents.where(F.col("doc_id").isNotNull()), shingle, size)
+    each = staged(prints.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")), "distinct")
+    # Equal fingerprints have one row, whose node is their smallest id; a component's root is its smallest node.
+    roots = components(links(each, size, distance))
+    rest = each.join(roots.where("node <> root"), "node", "left_anti")
+    return rest.select(F.col("node").alias("doc_id"))
+
+
+def keep_first(documents: DataFrame, shingle: int = SHINGLE, size: int = NEAR_WORDS, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """The documents, with all their columns, of which each group of near copies keeps one: that with the smallest id.
 
     Of rows that repeat this id one stays. Rows without an id all stay.
     """
-    found = grouped(documents, shingle)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = near_groups(documents, shingle, size, distance)
     return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where(F.col("doc_id").isNull()))

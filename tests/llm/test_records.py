@@ -193,8 +193,8 @@ def plain_components(prints):
 
 def test_fingerprints_by_hand(odd, spark):
     for r in odd.collect():
-        assert simhash.fingerprint(r["text"]) == plain_simhash(r["text"])
-    assert simhash.fingerprint("A b C É") == plain_simhash("A b C É")
+        assert simhash.fingerprint(r["text"]) == [plain_simhash(r["text"])]
+    assert simhash.fingerprint("A b C É") == [plain_simhash("A b C É")]
     small = spark.createDataFrame([(1, "AB c d e")], "doc_id long, text string")
     assert rows(simhash.grouped(small))[0][1] == f"{plain_simhash('ab c d e'):016x}"
 
@@ -225,7 +225,7 @@ def test_links_find_all_pairs_of_random_fingerprints(spark):
             for bit in rng.choice(63, rng.integers(1, 4), replace=False):
                 x ^= 1 << int(bit)
             fps.add(x)
-    df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(5)
+    df = spark.createDataFrame([(f, f) for f in fps], "node long, fp0 long").repartition(5)
     found = simhash.components(simhash.links(df))
     roots = {r["node"]: r["root"] for r in found.collect()}
     want = plain_components([(f, f & (1 << 64) - 1) for f in fps])
@@ -254,6 +254,40 @@ def test_simhash_cases(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 7, 8, 9]
 
 
+def near_copies(rng, n, edits):
+    words = [f"w{i}" for i in rng.integers(0, 4000, n)]
+    other = words.copy()
+    for i in rng.choice(n, edits, replace=False):
+        other[i] = f"x{rng.integers(0, 4000)}"
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    return " ".join(words), " ".join(other), len(five(words) & five(other)) / len(five(words) | five(other))
+
+
+def test_near_copies_are_found_and_others_stay(spark):
+    rng = np.random.default_rng(12)
+    docs, near = [], []
+    for k in range(600):
+        n = int(rng.integers(80, 500))
+        a, b, similarity = near_copies(rng, n, int(rng.integers(1, 12)))
+        docs += [(2 * k, a), (2 * k + 1, b)]
+        near.append((k, similarity))
+    kept = {r[0] for r in rows(simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert all(2 * k in kept for k, _ in near)
+    found = lambda low, high: [2 * k + 1 not in kept for k, s in near if low <= s < high]
+    assert np.mean(found(0.9, 1.1)) > 0.93 and np.mean(found(0.8, 0.9)) > 0.6 and np.mean(found(0, 0.6)) < 0.02
+
+
+def test_wide_fingerprints_link_by_their_whole_distance(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 4).tolist()
+    far, near = base.copy(), base.copy()
+    near[1] ^= 0xFFF << 20
+    far[1], far[2], far[3] = far[1] ^ (0xFFFFF << 8), far[2] ^ (0xFFFFF << 8), far[3] ^ 1
+    df = spark.createDataFrame([(1, *base), (2, *near), (3, *far)], "node long, fp0 long, fp1 long, fp2 long, fp3 long")
+    assert rows(simhash.components(simhash.links(df, 4, 32))) == [(2, 1)]
+    assert simhash.links(df, 4, 11).count() == 0
+
+
 def test_shards_equal_brute_force(spark, data, odd, empty):
     for documents in (table(spark, data, "documents"), odd):
         measured = sharding.measured(documents)
