@@ -127,7 +127,7 @@ def greedy_group_split(groups: DataFrame, shares: dict[str, float], seed: int =
     lots = groups.sparkSession.createDataFrame(plan, f"_label {kind['label']}, _size {kind['size']}, _from long, _to long, split string")
     ranked = hash_ranked(groups, ["label", "size"], hash_order(F.lit(seed), F.col("group_id")), "_rank")
     here = (F.col("label") == F.col("_label")) & (F.col("size") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    return ranked.join(F.broadcast(lots), here).select(*groups.columns, "split")
+    return ranked.join(lots, here).select(*groups.columns, "split")
 
 
 def split_audit(df: DataFrame, group: str, label: str) -> DataFrame:

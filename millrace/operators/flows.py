@@ -2,8 +2,9 @@
 
 Raw rows are text (origin, destination, indicator, people); indicators say where a
 person works: 1 at home, 2 elsewhere, 3 at a fixed place. Audits count what is
-wrong; the other operators expect rows that pass them. The list of codes is a small
-dimension table and is broadcast; facts are filtered by it before any shuffle.
+wrong; the other operators expect rows that pass them. The list of codes carries no
+broadcast hint: Spark broadcasts it where its size allows, so that facts are filtered
+before any shuffle, and joins it by a shuffle, with skewed keys split, where not.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def inconsistent_origins(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """Listed origins that have not exactly one label, or lack one of the three indicators."""
     has = lambda i: F.max(flag(F.expr("try_cast(indicator as int)") == i))
     return (
-        rows.join(F.broadcast(codes), rows["origin"] == codes["code"], "left_semi")
+        rows.join(codes, rows["origin"] == codes["code"], "left_semi")
         .groupBy("origin")
         .agg(F.countDistinct("origin_label").alias("n_labels"), (has(HOME) + has(OTHER) + has(FIXED)).alias("n_indicators"))
         .where((F.col("n_labels") != 1) | (F.col("n_indicators") != 3))
@@ -67,8 +68,8 @@ def origin_aggregates(flows: DataFrame, codes: DataFrame) -> DataFrame:
     at = F.col("indicator")
     local = F.col("listed").isNotNull()
     return (
-        flows.join(F.broadcast(codes), flows["origin"] == codes["code"], "left_semi")
-        .join(F.broadcast(inside), "destination", "left")
+        flows.join(codes, flows["origin"] == codes["code"], "left_semi")
+        .join(inside, "destination", "left")
         .groupBy("origin")
         .agg(
             F.min("origin_label").alias("label"),
@@ -96,8 +97,8 @@ def local_pairs(flows: DataFrame, codes: DataFrame) -> DataFrame:
     destinations = codes.select(F.col("code").alias("destination"))
     return (
         flows.where(F.col("indicator") == FIXED)
-        .join(F.broadcast(origins), "origin", "left_semi")
-        .join(F.broadcast(destinations), "destination", "left_semi")
+        .join(origins, "origin", "left_semi")
+        .join(destinations, "destination", "left_semi")
         .select("origin", "destination", "people")
     )
 

@@ -29,7 +29,7 @@ def distances(areas: DataFrame) -> DataFrame:
 
 def gravity_access(areas: DataFrame, mass: DataFrame, decay_km: tuple[int, ...] = DECAY_KM) -> DataFrame:
     """Sum over all areas of mass * exp(-km / decay), for each decay."""
-    pairs = distances(areas).join(F.broadcast(mass), F.col("destination") == F.col("code")).drop("code")
+    pairs = distances(areas).join(mass, F.col("destination") == F.col("code")).drop("code")
     each = [F.round(F.sum(F.col("mass") * F.exp(-F.col("metres") / (1000.0 * k))), 6).alias(f"access_{k}km") for k in decay_km]
     return pairs.groupBy("origin").agg(*each)
 
@@ -40,7 +40,7 @@ def mean_local_distance(areas: DataFrame, flows: DataFrame) -> DataFrame:
     there = areas.select(F.col("code").alias("destination"), F.col("x").alias("_dx"), F.col("y").alias("_dy"))
     metres = F.sqrt(F.pow(F.col("_ox") - F.col("_dx"), 2) + F.pow(F.col("_oy") - F.col("_dy"), 2))
     sums = (
-        flows.join(F.broadcast(here), "origin").join(F.broadcast(there), "destination")
+        flows.join(here, "origin").join(there, "destination")
         .groupBy("origin").agg(F.sum(metres * F.col("people")).alias("_m"), F.sum("people").alias("_p"))
     )
     return areas.select(F.col("code").alias("origin")).join(sums, "origin", "left").select(
@@ -95,15 +95,17 @@ def morans_i(values: DataFrame, edges: DataFrame, by: list[str] | None = None) -
 def moran_permutation(values: DataFrame, edges: DataFrame, permutations: int = 199, seed: int = 7) -> DataFrame:
     """Two-sided p-value: values are dealt to areas anew in the order of a seeded hash, permutation by permutation."""
     spark = values.sparkSession
+    if values.count() > MAX_AREAS:
+        raise ValueError(f"more than {MAX_AREAS} areas")
     rounds = spark.range(permutations).select(F.col("id").cast("int").alias("round"))
     ordered = Window.partitionBy("round")
     # A value table is a dimension table: it meets each round once.
     places = values.select("code", F.row_number().over(Window.orderBy("code")).alias("place"))
     dealt = (
-        rounds.join(values.hint("broadcast"))
+        rounds.crossJoin(F.broadcast(values))
         .withColumn("place", F.row_number().over(ordered.orderBy(hash_order(F.lit(seed), F.col("round"), F.col("code")))))
         .select("round", "place", "value")
-        .join(F.broadcast(places), "place")
+        .join(places, "place")
         .select("round", "code", "value")
     )
     real = morans_i(values, edges).select(F.col("moran_i").alias("observed"), "n")

@@ -23,7 +23,7 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """A row an order line: origin, destination, indicator, people, and what the dirty variant needs."""
-    customers = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     customers = customers.select("c_custkey", area_code("c_nationkey").alias("origin"), F.col("n_name").alias("origin_label"))
     suppliers = table(spark, d, "supplier").select("s_suppkey", area_code("s_nationkey").alias("destination"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
