@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from millrace.llm.common import map_text
+from millrace.llm.common import byte_symbols, map_text
 
 #: Symbols that a window has beyond the lookahead and the longest token.
 STEP = 256
@@ -69,7 +69,7 @@ class Merges:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
         self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(self.merges)}
-        bytes_of = {b: c for c, b in _byte_symbols().items()}
+        bytes_of = {b: c for c, b in byte_symbols().items()}
         self.inner = [self.ids[bytes_of[b]] for b in range(256)]
         self.final = [self.ids[bytes_of[b] + self.end] for b in range(256)]
         self.length = {i: 1 for i in (*self.inner, *self.final)}
@@ -148,13 +148,6 @@ class Merges:
             yield from self.merged([*window, self.final[last]])
 
 
-def _byte_symbols() -> dict[str, int]:
-    """The printable characters that stand for the 256 bytes."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Decoder:
     """Ids to text, step by step. The state is the bytes of a character that has begun, and whether a token came before.
 
@@ -167,7 +160,7 @@ class Decoder:
         if surfaces:
             self._bytes = {i: t.encode() for i, t in merges.surface.items()}
         else:
-            symbols = _byte_symbols()
+            symbols = byte_symbols()
             final = {i: t.endswith(merges.end) for t, i in merges.ids.items()}
             plain = {i: t.removesuffix(merges.end) for t, i in merges.ids.items()}
             self._bytes = {i: bytes(symbols[c] for c in t) + b" " * final[i] for i, t in plain.items()}
@@ -209,7 +202,7 @@ class Coder:
         self.merges = Merges(definition)
         own = Tokenizer.from_str(definition)
         self._normal, self._split = own.normalizer, own.pre_tokenizer
-        self._symbols = _byte_symbols()
+        self._symbols = byte_symbols()
         special = sorted(self.merges.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self._decoder = Decoder(self.merges)

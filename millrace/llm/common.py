@@ -61,3 +61,13 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, count: str, total:
     return met.select(
         *left.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in others]
     )
+
+
+def byte_symbols() -> dict[str, int]:
+    """The printable characters that stand for the 256 bytes in byte-level vocabularies.
+
+    Bytes that print as they are stand for themselves; the others get the code points from 256 on.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}

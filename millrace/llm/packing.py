@@ -30,22 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from millrace.llm.common import map_text
+from millrace.llm.common import byte_symbols, map_text
 from millrace.session import staged
 
 CAPACITY = 1024
 CLOSING = 2
-#: The pattern by which byte-level vocabularies of this family split a text.
+#: Fixed value: the pattern by which byte-level vocabularies of this family split a text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def byte_symbols() -> dict[str, int]:
-    """The printable characters that stand for the 256 bytes in byte-level vocabularies."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Ids:
     """Token ids of a tokenizer file, without special tokens added.
 

@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from millrace.llm import bpe, packing
+from millrace.llm.common import byte_symbols
 from millrace.session import table
 from tests.conftest import rows
 
@@ -61,7 +62,7 @@ def test_small_windows_give_the_same(coder, reference, monkeypatch):
 
 def test_lookahead_is_sufficient_for_small_merge_lists():
     """All words over a small alphabet: a token that ends before the lookahead never changes with what follows."""
-    symbols = bpe._byte_symbols()
+    symbols = byte_symbols()
     vocab = [c for c in symbols] + [c + "</w>" for c in symbols]
     random.seed(4)
     for _ in range(40):
