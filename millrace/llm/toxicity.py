@@ -63,8 +63,8 @@ def words(text: str | None) -> set[str]:
 
 
 def features(text: str | None) -> dict[str, float]:
-    """The values of a text's features."""
-    found = words(text)
+    """The values of a text's features, in a set order, so that sums over them are the same in every process."""
+    found = sorted(words(text))
     counts = Counter(f for w in found for f in word_features(w))
     scale = SCALE / math.sqrt(max(1, len(found)))
     return {f: n * scale for f, n in counts.items()}
@@ -201,8 +201,10 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE,
         return pd.DataFrame({"feature": [*weights, None], "weight": [*weights.values(), bias]})
 
     learned = positive.unionByName(others).groupBy("part").applyInPandas(classify, "feature string, weight double")
-    summed = learned.groupBy("feature").agg(F.sum("weight").alias("weight")).collect()
-    mean = {r["feature"]: r["weight"] / CLASSIFIERS for r in summed}
+    each: dict[str | None, list[float]] = {}
+    for r in learned.collect():  # at most CLASSIFIERS * (MAX_FEATURES + 1) rows
+        each.setdefault(r["feature"], []).append(r["weight"])
+    mean = {f: math.fsum(w) / CLASSIFIERS for f, w in each.items()}
     bias = mean.pop(None, None)
     return Scorer(mean, bias)
 
