@@ -46,9 +46,9 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints with the same upper bits of a half, about; at least so many upper bits.
 GROUP, LEAST_PREFIX = 4096, 8
 #: Pairs that a task verifies at once.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 200_000
 #: Rows of one upper value that a task gathers before it goes on with the next ones.
-ROWS_AT_ONCE = 200_000
+ROWS_AT_ONCE = 100_000
 
 #: Words, and bits in which they may differ, of the fingerprints of near_groups().
 NEAR_WORDS, NEAR_DISTANCE = 4, 32
@@ -79,8 +79,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, size: int = 1) -> list
         shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
     hashes = np.fromiter(map(_hash, shingles), "<u8")
     set_bits = np.zeros(64 * size, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.stack([_mixed(hashes[at : at + (1 << 16)], k) for k in range(size)], 1)
+    for at in range(0, len(hashes), 1 << 13):
+        part = np.stack([_mixed(hashes[at : at + (1 << 13)], k) for k in range(size)], 1)
         set_bits += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(set_bits * 2 > len(hashes), bitorder="little")
     return bits.view("<u8").tolist()
