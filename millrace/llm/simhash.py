@@ -16,10 +16,17 @@ part, so copies cost nothing, and a task gives the edges of a spanning forest of
 what it links, never all pairs.
 
 A fingerprint may have several words of 64 bits, each from another mix of the same
-hashes: near_groups() links texts by a larger distance over four of them, whose
-eight halves have as many tables. Texts of a word similarity of 0.8 or more differ
-in about an eighth of the bits or fewer; a table misses a pair that differs in two
-bits or more of its half, so of such pairs those near 0.8 may be missed by all.
+hashes; links() then takes a larger distance, but with balls of radius 1 it loses
+pairs that differ in two bits or more of every half.
+
+keep_first() does not rest on it: it links texts whose sets of word shingles have
+0.8 or more of their union in common. Each set gives the first of its hashes in an
+order with rare ones first, so many that similar sets must have one of them in
+common. Pairs that have one, sizes that allow it and fingerprints (of the sets, 256
+bits) at most SURE_DISTANCE apart are verified by the sets themselves. Similar sets
+differ in 0.19 of the bits or less, so the fingerprints lose one pair in 10 ** 10
+or fewer. Two rounds verify the nearest and the smallest of these for each
+text; the last one all that are left between different components.
 
 Cases: null and empty texts, and those of white space only, have the fingerprint
 zero, which is linked like any other. A null id cannot be a component's smallest;
@@ -52,6 +59,12 @@ ROWS_AT_ONCE = 100_000
 
 #: Words, and bits in which they may differ, of the fingerprints of near_groups().
 NEAR_WORDS, NEAR_DISTANCE = 4, 32
+#: Words of a shingle, and what part of their union similar sets have in common, in keep_first().
+NEAR_SHINGLE, SIMILAR_OF = 3, (4, 5)
+#: Bits of 64 * NEAR_WORDS beyond which fingerprints of sets are not of similar ones.
+SURE_DISTANCE = 96
+#: Texts by which shingles are put in order, about; how many of them a common one has; common ones at most.
+ORDER_TEXTS, ORDER_LEAST, ORDER_SHINGLES = 10_000, 10, 50_000
 #: Constants of the mixing of 64-bit numbers that is known as SplitMix64.
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -272,21 +285,261 @@ def grouped(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
-def near_groups(documents: DataFrame, shingle: int = SHINGLE, size: int = NEAR_WORDS, distance: int = NEAR_DISTANCE) -> DataFrame:
-    """The ids of which each group of near copies keeps one, its smallest: column doc_id. Rows without an id take no part."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles in order; a text without words has one of its own."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < shingle:
+        return np.array([_hash(b" ".join(words))], np.uint64)
+    return np.unique(np.fromiter(map(_hash, map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have SIMILAR_OF[0] / SIMILAR_OF[1] of their union in common."""
+    if min(len(a), len(b)) * SIMILAR_OF[1] < max(len(a), len(b)) * SIMILAR_OF[0]:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * SIMILAR_OF[1] >= (len(a) + len(b) - common) * SIMILAR_OF[0]
+
+
+def _set_bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The fingerprint of a set in words of 64 bits."""
+    ones = np.zeros(64 * size, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        part = np.stack([_mixed(hashes[at : at + (1 << 13)], k) for k in range(size)], 1)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes, rare ones first: so many that similar sets have one of theirs in common.
+
+    Any order that is the same for all sets is right; `common` (in order) and how often
+    each is seen only keep those that many texts have away from the beginning.
+    """
+    n = len(hashes)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, often[at], 0)
+    least = -(-n * SIMILAR_OF[0] // SIMILAR_OF[1])
+    return hashes[np.lexsort((hashes, rank))[: n - least + 1]]
+
+
+def _common(documents: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts, by about ORDER_TEXTS of them: at most ORDER_SHINGLES."""
+
+    def make():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+        return batch
+
+    part = max(1, documents.count() // ORDER_TEXTS)
+    some = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+    seen = map_text(some, "h long", make).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST)
+    found = sorted((np.uint64(r["h"] & (1 << 64) - 1), r["n"]) for r in seen.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect())
+    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def _described(documents: DataFrame, shingle: int, size: int) -> DataFrame:
+    """For each row (doc_id, row, text): node, a hash of its set of shingles, the set's size, fingerprint and prefix."""
+    shared = documents.sparkSession.sparkContext.broadcast(_common(documents, shingle))
     names = _names(size)
-    prints = fingerprinted(documents.where(F.col("doc_id").isNotNull()), shingle, size)
-    each = staged(prints.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")), "distinct")
-    # Equal fingerprints have one row, whose node is their smallest id; a component's root is its smallest node.
-    roots = components(links(each, size, distance))
-    rest = each.join(roots.where("node <> root"), "node", "left_anti")
-    return rest.select(F.col("node").alias("doc_id"))
+
+    def make():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
+            node = np.array([_hash(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([_set_bits(s, size) for s in sets], np.uint64).view(np.int64)
+            first = pa.array([prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(fps.T)), first]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "n", *names, "prefix"])
+
+        return batch
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, row long, node long, n long, " + ", ".join(f"{x} long" for x in names) + ", prefix array<long>"
+    return map_text(documents.select("doc_id", "row", "text"), schema, make)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The rows (token, node) whose token has another row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = node = np.empty(0, np.int64)
+        again = False  # whether the row held back is known to be repeated
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, node = np.append(token, b.column(0).to_numpy()), np.append(node, b.column(1).to_numpy())
+            same = token[1:] == token[:-1]
+            repeated = np.append(same, False) | np.append(again, same) if len(token) > 1 else np.array([again])
+            keep = np.flatnonzero(repeated[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names=["token", "node"])
+            token, node, again = token[-1:], node[-1:], bool(repeated[-1])
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], names=["token", "node"])
+
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, node long")
+
+
+def group_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray, token: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of one token's rows, with their distances, that have different roots and may be similar.
+
+    `every`: all of them. Else each row with the next one in the order of turned
+    fingerprints and with the smallest node.
+    """
+
+    def those(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        apart = np.bitwise_count(fps[left] ^ fps[right]).sum(1, dtype=np.int64)
+        may = (root[left] != root[right]) & (apart <= SURE_DISTANCE)
+        may &= np.minimum(n[left], n[right]) * SIMILAR_OF[1] >= np.maximum(n[left], n[right]) * SIMILAR_OF[0]
+        a, b = node[left[may]], node[right[may]]
+        return np.minimum(a, b), np.maximum(a, b), apart[may]
+
+    m = len(node)
+    if m < 2 or (root == root[0]).all():
+        return
+    if not every:
+        turn = np.uint64(token & 63)
+        turned = fps[:, token >> 6 & fps.shape[1] - 1]
+        order = np.argsort(turned << turn | turned >> (np.uint64(64) - turn & np.uint64(63)), kind="stable")
+        yield those(order[:-1], order[1:])
+        yield those(np.full(m, node.argmin()), np.arange(m))
+        return
+    order = np.argsort(root, kind="stable")
+    ends = np.searchsorted(root[order], root[order], "right")  # rows of other roots begin here
+    count = m - ends
+    at = 0
+    total = np.cumsum(count)
+    while at < m:
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        some = count[at:upto]
+        left = np.repeat(np.arange(at, upto), some)
+        right = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(ends[at:upto], some)
+        yield those(order[left], order[right])
+        at = upto
+
+
+def _pairs(rows: DataFrame, size: int, every: bool) -> DataFrame:
+    """Pairs a < b of rows (token, node, root, n, fp0 ...) with a common token, and their distance: see group_pairs()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            columns = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            token, node, root, many, *fp = columns
+            fps = np.stack(fp, 1).view(np.uint64)
+            starts = np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token))
+            whole = len(starts) - 1 if last else len(starts) - 2  # the last group may go on in the next batch
+            found: list[tuple[np.ndarray, ...]] = []
+            size_now = 0
+            for i in range(whole):
+                part = slice(starts[i], starts[i + 1])
+                for got in group_pairs(node[part], root[part], many[part], fps[part], int(token[starts[i]]), every):
+                    found.append(got)
+                    size_now += len(got[0])
+                    if size_now >= PAIRS_AT_ONCE:
+                        yield batch(found)
+                        found, size_now = [], 0
+            if found:
+                yield batch(found)
+            held = [] if last else [tuple(c[starts[whole] :] for c in columns)]
+            n = 0 if last else len(held[0][0])
+
+        def batch(found: list) -> pa.RecordBatch:
+            a, b, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            _, first = np.unique(np.stack((a, b)), axis=1, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(d[first])], names=["a", "b", "d"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+                n += b.num_rows
+                if n >= ROWS_AT_ONCE and held[0][0][0] != held[-1][0][-1]:
+                    yield from flush(False)
+        if n:
+            yield from flush(True)
+
+    dealt = rows.select("token", "node", "root", "n", *_names(size)).repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(run, "a long, b long, d long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2), b.column(3)
+            yes = [similar(np.asarray(x[i].values), np.asarray(y[i].values)) for i in range(b.num_rows)]
+            kept = b.filter(pa.array(yes, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _sets(documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node and set of the nodes (node, row)."""
+
+    def make():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = pa.array([shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([b.column(0), sets], names=["node", "set"])
+
+        return batch
+
+    texts = documents.select("row", "text").join(nodes, "row").select("node", "text").dropDuplicates(["node"])
+    return map_text(texts, "node long, set array<long>", make)
+
+
+def _kept(documents: DataFrame, shingle: int, size: int) -> DataFrame:
+    """doc_id and row of the row that each group of near copies keeps, of documents with a column row."""
+    names = _names(size)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    described = _described(documents, shingle, size)
+    each = staged(described.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("n", *names, "prefix")]), "distinct")
+    shared = staged(_repeated(each.select(F.explode("prefix").alias("token"), "node")), "shared")
+    own = each.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = staged(_sets(documents, own.select("node", F.col("least.row").alias("row")), shingle), "sets")
+    spark = documents.sparkSession
+    edges = tested = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    for every in (False, False, True):
+        rooted = own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", *names)
+        found = _pairs(shared.join(rooted, "node"), size, every)
+        if not every:
+            found = staged(found.join(tested, ["a", "b"], "left_anti"), "near")
+            nearest = found.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+            smallest = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            other = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+            found = nearest.unionByName(smallest).unionByName(other).distinct()
+        now = staged(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(now)
+        edges = edges.unionByName(staged(_verified(now, sets), "edges"))
+        roots = components(edges)
+    rooted = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    return rooted.select("least.doc_id", "least.row")
+
+
+def _with_row(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("row", F.xxhash64(*documents.columns))
+
+
+def near_groups(documents: DataFrame, shingle: int = NEAR_SHINGLE, size: int = NEAR_WORDS) -> DataFrame:
+    """The ids of which each group of near copies keeps one, its smallest: column doc_id. Rows without an id take no part."""
+    return _kept(_with_row(documents.where(F.col("doc_id").isNotNull())), shingle, size).select("doc_id")
 
 
-def keep_first(documents: DataFrame, shingle: int = SHINGLE, size: int = NEAR_WORDS, distance: int = NEAR_DISTANCE) -> DataFrame:
+def keep_first(documents: DataFrame, shingle: int = NEAR_SHINGLE, size: int = NEAR_WORDS) -> DataFrame:
     """The documents, with all their columns, of which each group of near copies keeps one: that with the smallest id.
 
     Of rows that repeat this id one stays. Rows without an id all stay.
     """
-    kept = near_groups(documents, shingle, size, distance)
+    kept = near_groups(documents, shingle, size)
     return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where(F.col("doc_id").isNull()))

@@ -342,3 +342,38 @@ def test_stretches_of_a_long_text_do_not_matter(monkeypatch):
     assert (digest.window_classes(data) == classes).all() and (digest.tile_classes(data) == tiles).all()
     again = digest.features(data, rarity)
     assert (again[0] == places).all() and (again[1] == hashes).all()
+
+
+def five_word_sets(texts):
+    lists = [t.lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} for w in lists]
+
+
+def test_keep_first_finds_every_pair_of_five_word_similarity(spark):
+    rng = np.random.default_rng(31)
+    texts = []
+    for _ in range(250):
+        texts += near_copies(rng, int(rng.integers(20, 400)), int(rng.integers(1, 16)))[:2]
+    base = texts[0].split()
+    for k in range(150):  # a large group of near copies, some of them only through others
+        words = base.copy()
+        for i in rng.choice(len(base), int(rng.integers(1, 6)), replace=False):
+            words[i] = f"z{k}"
+        texts.append(" ".join(words))
+    order = rng.permutation(len(texts)).tolist()
+    sets, root = five_word_sets(texts), list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, doc_id in enumerate(order):
+        least[find(i)].append(doc_id)
+    made = spark.createDataFrame(list(zip(order, texts, strict=True)), "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(made, shingle=5).collect()) == sorted(map(min, least.values()))
