@@ -28,7 +28,7 @@ def without_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs, shingle=simhash.NEAR_SHINGLE)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ ROWS_AT_ONCE = 100_000
 #: Words, and bits in which they may differ, of the fingerprints of near_groups().
 NEAR_WORDS, NEAR_DISTANCE = 4, 32
 #: Words of a shingle, and what part of their union similar sets have in common, in keep_first().
-NEAR_SHINGLE, SIMILAR_OF = 3, (4, 5)
+NEAR_SHINGLE, SIMILAR_OF = 5, (4, 5)
 #: Bits of 64 * NEAR_WORDS beyond which fingerprints of sets are not of similar ones.
 SURE_DISTANCE = 96
 #: Texts by which shingles are put in order, about; how many of them a common one has; common ones at most.

@@ -377,3 +377,14 @@ def test_keep_first_finds_every_pair_of_five_word_similarity(spark):
         least[find(i)].append(doc_id)
     made = spark.createDataFrame(list(zip(order, texts, strict=True)), "doc_id long, text string").repartition(5)
     assert sorted(r["doc_id"] for r in simhash.keep_first(made, shingle=5).collect()) == sorted(map(min, least.values()))
+
+
+def test_pipeline_near_dedup_takes_five_words(spark, data):
+    words = [f"w{i}" for i in range(100)]
+    other = words.copy()
+    for i in (20, 50, 80):
+        other[i] = f"x{i}"
+    # Three-word shingles are alike by 89 of 107, five-word ones by 81 of 111 only.
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert corpus_pipeline.near_dedup(spark, docs, data).count() == 2
+    assert simhash.keep_first(docs, shingle=3).count() == 1
