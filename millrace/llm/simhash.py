@@ -532,14 +532,17 @@ def _with_row(documents: DataFrame) -> DataFrame:
 
 
 def near_groups(documents: DataFrame, shingle: int = NEAR_SHINGLE, size: int = NEAR_WORDS) -> DataFrame:
-    """The ids of which each group of near copies keeps one, its smallest: column doc_id. Rows without an id take no part."""
-    return _kept(_with_row(documents.where(F.col("doc_id").isNotNull())), shingle, size).select("doc_id")
+    """The ids of the rows of which each group of near copies keeps one, that with the smallest id: column doc_id."""
+    return _kept(_with_row(documents), shingle, size).select("doc_id")
 
 
 def keep_first(documents: DataFrame, shingle: int = NEAR_SHINGLE, size: int = NEAR_WORDS) -> DataFrame:
-    """The documents, with all their columns, of which each group of near copies keeps one: that with the smallest id.
+    """The documents, with all their columns, of which each group of near copies keeps one row: that with the smallest id.
 
-    Of rows that repeat this id one stays. Rows without an id all stay.
+    Rows are told apart by all their columns and not by their ids: rows with the same
+    id and other texts are documents of their own, as are rows without an id, which
+    come last in the order of ids.
     """
-    kept = near_groups(documents, shingle, size)
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where(F.col("doc_id").isNull()))
+    rows = _with_row(documents)
+    kept = _kept(rows, shingle, size).select("row")
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*documents.columns)

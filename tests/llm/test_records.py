@@ -388,3 +388,11 @@ def test_pipeline_near_dedup_takes_five_words(spark, data):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     assert corpus_pipeline.near_dedup(spark, docs, data).count() == 2
     assert simhash.keep_first(docs, shingle=3).count() == 1
+
+
+def test_keep_first_tells_rows_apart_by_row(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    docs = [(7, text("a")), (7, text("b")), (7, text("c")), (1, text("a")), (None, text("b")), (None, text("d")), (None, text("d")), (7, text("c"))]
+    made = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, simhash.keep_first(made).collect()), key=repr)
+    assert got == sorted([(1, text("a")), (7, text("b")), (7, text("c")), (None, text("d"))], key=repr)
