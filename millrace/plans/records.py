@@ -61,8 +61,8 @@ def encoded(spark: SparkSession, d: str) -> DataFrame:
     return sequence.encoded(tagged(spark, d).select(*SENTENCE, "position", "token"), sequence.vocabulary(training_tokens(spark, d)))
 
 
-def padded(spark: SparkSession, d: str) -> DataFrame:
-    made = sequence.padded(encoded(spark, d), SENTENCE, LENGTH)
+def padded(spark: SparkSession, d: str, length: int | None = None) -> DataFrame:
+    made = sequence.padded(encoded(spark, d), SENTENCE, length)
     return made.select(*SENTENCE, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.array_join(F.col("mask").cast("array<string>"), " ").alias("mask"))
 
 
@@ -94,7 +94,8 @@ QUERIES = {
     "token_metrics": lambda s, d: sequence.token_metrics(tagged(s, d)),
     "vocabulary": lambda s, d: sequence.vocabulary(training_tokens(s, d)),
     "encode_oov": encoded,
-    "pad_mask": padded,
+    "pad_mask": lambda s, d: padded(s, d, LENGTH),
+    "pad_mask_whole": padded,
     "length_guard": lambda s, d: sequence.length_guard(tagged(s, d), SENTENCE, LIMIT),
     "first_best_epoch": lambda s, d: sequence.first_best(epochs(s, d), "score"),
 }
@@ -173,6 +174,11 @@ ORACLE_SQL = {
         , own AS (SELECT conv_id, turn, list(token_id ORDER BY position) AS ids FROM encoded WHERE position < {LENGTH} GROUP BY 1, 2)
         SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(generate_series(1, {LENGTH} - len(ids)), lambda x: 0)), ' ') AS ids,
                array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(generate_series(1, {LENGTH} - len(ids)), lambda x: 0)), ' ') AS mask FROM own""",
+    "pad_mask_whole": _T + _VOCAB + """
+        , own AS (SELECT conv_id, turn, list(token_id ORDER BY position) AS ids FROM encoded GROUP BY 1, 2),
+        longest AS (SELECT max(len(ids)) AS m FROM own)
+        SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(generate_series(1, m - len(ids)), lambda x: 0)), ' ') AS ids,
+               array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(generate_series(1, m - len(ids)), lambda x: 0)), ' ') AS mask FROM own, longest""",
     "length_guard": _T + f" SELECT conv_id, turn, count(*) AS length FROM tagged GROUP BY 1, 2 HAVING count(*) > {LIMIT}",
     "first_best_epoch": """
         WITH e AS (SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS epoch, CAST(floor(count(*) / 20) AS BIGINT) AS score FROM events GROUP BY 1)

@@ -400,3 +400,9 @@ def test_contracts(spark):
     contracts.fixed_protocol("mine", {"threshold": 0.4}, "standard", {"threshold": 0.5})
     with pytest.raises(ContractError):
         contracts.fixed_protocol("standard", {"threshold": 0.4}, "standard", {"threshold": 0.5})
+
+
+def test_padding_is_to_the_longest_sentence(spark):
+    tokens = [("a", i, i + 2) for i in range(40)] + [("b", 0, 9)]
+    got = {r["s"]: (r["ids"], r["mask"]) for r in sequence.padded(spark.createDataFrame(tokens, "s string, position int, token_id long"), ["s"]).collect()}
+    assert got == {"a": (list(range(2, 42)), [1] * 40), "b": ([9] + [0] * 39, [1] + [0] * 39)}
