@@ -42,6 +42,7 @@ QUERIES = {
     "identity_audit": lambda s, d: contracts.identity_audit(
         table(s, d, "labels").select((F.col("doc_id") % 700).alias("doc_id")), table(s, d, "documents").where("doc_id < 650").select("doc_id"), ["doc_id"]
     ),
+    "identity_audit_whole": lambda s, d: contracts.identity_audit(table(s, d, "labels").select("doc_id"), table(s, d, "documents").select("doc_id"), ["doc_id"]),
     "tolerance_difference": tolerance,
     "parameterised_page": page,
 }
@@ -61,6 +62,11 @@ ORACLE_SQL = {
         SELECT (SELECT count(*) FROM i WHERE doc_id NOT IN (SELECT doc_id FROM r)) AS missing,
                (SELECT count(DISTINCT doc_id) FROM r WHERE doc_id NOT IN (SELECT doc_id FROM i)) AS unexpected,
                (SELECT count(*) FROM (SELECT doc_id FROM r GROUP BY doc_id HAVING count(*) > 1)) AS repeated""",
+    "identity_audit_whole": """
+        WITH r AS (SELECT doc_id FROM labels), i AS (SELECT doc_id FROM documents)
+        SELECT (SELECT count(*) FROM i WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = i.doc_id)) AS missing,
+               (SELECT count(DISTINCT doc_id) FROM r WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = r.doc_id)) AS unexpected,
+               (SELECT count(*) FROM (SELECT doc_id FROM r GROUP BY doc_id HAVING count(*) > 1)) AS repeated""",
     "tolerance_difference": """
         SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN NULL ELSE round((c_acctbal + 0.25) - c_acctbal, 6) END AS difference
         FROM customer WHERE c_custkey % 50 = 7 OR c_custkey % 40 = 0""",

@@ -88,6 +88,7 @@ QUERIES = {
         table(s, d, "documents").select("doc_id"), table(s, d, "labels").select((F.col("doc_id") + 3).alias("doc_id")), ["doc_id"]
     ),
     "record_audit": lambda s, d: dedup.record_audit(table(s, d, "documents").withColumn("doc_id", F.expr("nullif(doc_id % 900, 5)")), "doc_id", ["n_chars"]),
+    "record_audit_whole": lambda s, d: dedup.record_audit(table(s, d, "documents"), "doc_id", ["n_chars"]),
     "bio_spans": spans,
     "malformed_tags": lambda s, d: sequence.malformed(tagged(s, d).withColumn("tag", F.when(F.col("position") == 3, F.lit("B-")).otherwise(F.col("tag")))).select(*SENTENCE, "position", "tag"),
     "span_metrics": lambda s, d: sequence.span_metrics(spans(s, d), spans(s, d, "predicted"), SENTENCE),
@@ -154,6 +155,10 @@ ORACLE_SQL = {
         SELECT count(*) AS n_rows, CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_keys,
                CAST(sum(CASE WHEN n_chars > 0 THEN 0 ELSE 1 END) AS BIGINT) AS bad_n_chars,
                (SELECT count(*) FROM (SELECT doc_id FROM r GROUP BY doc_id HAVING count(*) > 1)) AS repeated FROM r""",
+    "record_audit_whole": """
+        SELECT count(*) AS n_rows, CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_keys,
+               CAST(sum(CASE WHEN n_chars > 0 THEN 0 ELSE 1 END) AS BIGINT) AS bad_n_chars,
+               (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS repeated FROM documents""",
     "bio_spans": _T + "," + _spans_sql("tag", "spans") + ' SELECT conv_id, turn, label, "start", "end" FROM spans',
     "malformed_tags": _T + " SELECT conv_id, turn, position, 'B-' AS tag FROM tagged WHERE position = 3",
     "span_metrics": _T + "," + _spans_sql("tag", "expected") + "," + _spans_sql("predicted", "guessed") + """,

@@ -59,3 +59,12 @@ def test_filters_and_columns_reach_the_scan(spark, data):
     plan = catalog.QUERIES["flow_local_pairs"](spark, data)._jdf.queryExecution().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line and "lineitem" in line)
     assert "l_extendedprice" not in scan and "PushedFilters" in scan
+
+
+def test_whole_audits_see_every_id(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS doc_id", "1L AS n_chars").union(spark.range(1).selectExpr("1500L", "0L")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(2000).where("id <> 1800").union(spark.range(5000, 5001)).union(spark.range(900, 901)).selectExpr("id AS doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    got = catalog.QUERIES["identity_audit_whole"](spark, str(tmp_path)).first()
+    assert (got["missing"], got["unexpected"], got["repeated"]) == (1, 1, 1)
+    got = catalog.QUERIES["record_audit_whole"](spark, str(tmp_path)).first()
+    assert (got["n_rows"], got["null_keys"], got["bad_n_chars"], got["repeated"]) == (2001, 0, 1, 1)
