@@ -9,6 +9,7 @@ from millrace.operators import dedup, sequence
 from millrace.session import table
 
 BITS, DISTANCE = 16, 2
+WHOLE_BITS = 63
 SENTENCE = ["conv_id", "turn"]
 LENGTH, LIMIT = 24, 120
 
@@ -17,9 +18,9 @@ def spec(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("de", 150), ("en", 600), ("fr", 150), ("xx", 10)], "label string, expected int")
 
 
-def hashes(spark: SparkSession, d: str) -> DataFrame:
+def hashes(spark: SparkSession, d: str, bits: int = BITS) -> DataFrame:
     return table(spark, d, "embeddings").select(
-        "vec_id", F.col("label").alias("block"), dedup.difference_hash(F.col("embedding"), BITS).alias("hash"), F.col("vec_id").alias("content")
+        "vec_id", F.col("label").alias("block"), dedup.difference_hash(F.col("embedding"), bits).alias("hash"), F.col("vec_id").alias("content")
     )
 
 
@@ -81,6 +82,7 @@ QUERIES = {
     "group_conflicts": lambda s, d: dedup.group_conflicts(table(s, d, "documents"), "text", "source"),
     "inventory_vs_spec": lambda s, d: dedup.inventory_vs_spec(table(s, d, "documents"), spec(s), "lang"),
     "near_dup_pairs": lambda s, d: dedup.near_pairs(hashes(s, d), "vec_id", "block", BITS, DISTANCE),
+    "near_dup_pairs_whole": lambda s, d: dedup.near_pairs(hashes(s, d, WHOLE_BITS), "vec_id", "block", WHOLE_BITS, DISTANCE),
     "hash_split": lambda s, d: documents_split(s, d).select("doc_id", "split"),
     "split_audit": lambda s, d: dedup.split_audit(documents_split(s, d).withColumn("g", dedup.group_id("text")), "g", "lang"),
     "greedy_group_split": greedy,
@@ -102,6 +104,7 @@ QUERIES = {
 }
 
 _HASH = " + ".join(f"CASE WHEN embedding[{i}] > embedding[{i + 1}] THEN {1 << (BITS - i)} ELSE 0 END" for i in range(1, BITS + 1))
+_WHOLE_HASH = " + ".join(f"CASE WHEN embedding[{i}] > embedding[{i + 1}] THEN {1 << (WHOLE_BITS - i)} ELSE 0 END" for i in range(1, WHOLE_BITS + 1))
 _SPLIT = """
     split_ AS (
         SELECT doc_id, lang, text, sha256('split' || chr(30) || array_to_string(list_transform(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> ''), lambda w: lower(w)), chr(31))) AS h FROM documents),
@@ -144,6 +147,10 @@ ORACLE_SQL = {
         WITH h AS (SELECT vec_id, label, CAST({_HASH} AS BIGINT) AS hash FROM embeddings)
         SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance
         FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= {DISTANCE}""",
+    "near_dup_pairs_whole": f"""
+        WITH h AS (SELECT vec_id, label, CAST({_WHOLE_HASH} AS BIGINT) AS hash FROM embeddings)
+        SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance
+        FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= {DISTANCE}""",
     "hash_split": "WITH " + _SPLIT + " SELECT doc_id, split FROM docs",
     "split_audit": "WITH " + _SPLIT + """
         SELECT split, lang, count(*) AS n, (SELECT count(*) FROM (SELECT text FROM docs GROUP BY text HAVING count(DISTINCT split) > 1)) AS crossing_groups FROM docs GROUP BY split, lang""",
