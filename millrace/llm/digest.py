@@ -1,8 +1,8 @@
 """Improbable-feature digests of whole texts.
 
 Each byte of a text begins a window of WINDOW bytes. A window's rank is the rarity
-of its entropy: how common that entropy is among the tiled windows of the whole
-corpus. Within every run of RUN neighbouring windows the rarest one scores a
+of its entropy: how common that entropy is among the windows at every byte of the
+whole corpus. Within every run of RUN neighbouring windows the rarest one scores a
 point; windows with at least POINTS points are the text's improbable features.
 They are hashed into a chain of Bloom filters of FILTER_BITS bits with at most
 PER_FILTER features each. The likeness of two digests is the mean, over the
@@ -163,13 +163,13 @@ class Digest:
 
 
 def rarity_of(documents: DataFrame) -> np.ndarray:
-    """The rank of each entropy class: how often it occurs among the tiled windows of all texts."""
+    """The rank of each entropy class: how often it occurs among the windows at every byte of all texts."""
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             counts = np.zeros(CLASSES, np.int64)
             for t in b.column(0).to_pylist():
-                counts += np.bincount(tile_classes((t or "").encode("utf-8", "surrogatepass")), minlength=CLASSES)
+                counts += np.bincount(window_classes((t or "").encode("utf-8", "surrogatepass")), minlength=CLASSES)
             return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts)), pa.array(counts[counts > 0])], names=["class", "n"])
 
         return batch

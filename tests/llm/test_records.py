@@ -396,3 +396,11 @@ def test_keep_first_tells_rows_apart_by_row(spark):
     made = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, simhash.keep_first(made).collect()), key=repr)
     assert got == sorted([(1, text("a")), (7, text("b")), (7, text("c")), (None, text("d"))], key=repr)
+
+
+def test_rarity_counts_windows_at_every_byte(spark):
+    # Tiles are of one letter each; only the windows between them are of other classes.
+    text = "".join(c * digest.WINDOW for c in "abcdefgh")
+    counts = np.bincount(digest.window_classes(text.encode()), minlength=digest.CLASSES)
+    want = np.argsort(np.argsort(counts, kind="stable"), kind="stable")
+    assert (digest.rarity_of(spark.createDataFrame([(1, text)], "doc_id long, text string")) == want).all()
