@@ -15,18 +15,13 @@ groups have about GROUP of their own at every size. Only distinct fingerprints t
 part, so copies cost nothing, and a task gives the edges of a spanning forest of
 what it links, never all pairs.
 
-A fingerprint may have several words of 64 bits, each from another mix of the same
-hashes; links() then takes a larger distance, but with balls of radius 1 it loses
-pairs that differ in two bits or more of every half.
-
-keep_first() does not rest on it: it links texts whose sets of word shingles have
-0.8 or more of their union in common. Each set gives the first of its hashes in an
-order with rare ones first, so many that similar sets must have one of them in
-common. Pairs that have one, sizes that allow it and fingerprints (of the sets, 256
-bits) at most SURE_DISTANCE apart are verified by the sets themselves. Similar sets
-differ in 0.19 of the bits or less, so the fingerprints lose one pair in 10 ** 10
-or fewer. Two rounds verify the nearest and the smallest of these for each
-text; the last one all that are left between different components.
+keep_first() links texts whose sets of five-word shingles have 0.8 or more of their
+union in common. Their fingerprints are wider: as many segments as it takes for such a
+pair to be within one bit of each other in one of them (Layout). Balls of radius 1 are
+looked up segment by segment, among sets of about the same size; what is found is
+verified by the complete distance and then by the sets themselves. In the first two
+rounds each text comes with the nearest and the smallest of what it looks at; the last
+round takes all pairs that are left between different components.
 
 Cases: null and empty texts, and those of white space only, have the fingerprint
 zero, which is linked like any other. A null id cannot be a component's smallest;
@@ -39,14 +34,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import join_unique, map_text
+from millrace.llm.common import MAX_HOT_KEYS, join_unique, map_text
 from millrace.session import drop_staged, ship, staged
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -54,20 +51,32 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 GROUP, LEAST_PREFIX = 4096, 8
 #: Pairs that a task verifies at once.
 PAIRS_AT_ONCE = 200_000
-#: Rows of one upper value that a task gathers before it goes on with the next ones.
-ROWS_AT_ONCE = 100_000
+#: Entries of one value beyond which they are looked up by two parts of five of their other half too (all masks of such two),
+#: and rows of a group beyond which it is dealt out by them.
+BUCKET, HOT_GROUP = 256, 1 << 19
+_PARTS = (0x7F, 0x7F << 7, 0x3F << 14, 0x3F << 20, 0x3F << 26)
+_MASKS = [a | b for a, b in combinations(_PARTS, 2)]
 
-#: Words, and bits in which they may differ, of the fingerprints of near_groups().
-NEAR_WORDS, NEAR_DISTANCE = 4, 32
 #: Words of a shingle, and what part of their union similar sets have in common, in keep_first().
 NEAR_SHINGLE, SIMILAR_OF = 5, (4, 5)
-#: Bits of 64 * NEAR_WORDS beyond which fingerprints of sets are not of similar ones.
-SURE_DISTANCE = 96
-#: Texts by which shingles are put in order, about; how many of them a common one has; common ones at most.
-ORDER_TEXTS, ORDER_LEAST, ORDER_SHINGLES = 10_000, 10, 50_000
+#: What part of the bits differs between the fingerprints of sets that are just similar (acos(8 / 9) / pi is 0.152;
+#: it is more for small sets), what part of such pairs no segment may find, and beyond what part no pair is similar.
+BIT_APART, MISSED, FAR = 0.17, 0.01, 0.25
+#: Sizes of sets that are looked up together, as a ratio over 1.25; about how many of them there are; more than there can be.
+SIZE_STEP, SIZES_APART, MAX_SIZES = 1.26, 8, 256
+#: Rows of a table of keep_first(), about; rows beyond which a table is dealt out in parts; what a row looks at to each side at first.
+NEAR_GROUP, TABLE_ROWS, WINDOW = 1 << 16, 1 << 18, 32
+#: Sets that may be similar are verified in blocks of about so many.
+BLOCK = 500
+#: Tables of ids of up to so many rows are broadcast.
+BROADCAST_ROWS = 2_000_000
+#: Words whose hashes a worker remembers.
+REMEMBERED = 200_000
 #: Constants of the mixing of 64-bit numbers that is known as SplitMix64.
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
+_LOW_BITS = np.uint64(0x0101010101010101)
+
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
@@ -81,41 +90,43 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, size: int = 1) -> list[int]:
-    """The SimHash of a text's word shingles, repeats included, in words of 64 bits."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * size
+        return 0
     if len(words) < shingle:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
     hashes = np.fromiter(map(_hash, shingles), "<u8")
-    set_bits = np.zeros(64 * size, np.int64)
-    for at in range(0, len(hashes), 1 << 13):
-        part = np.stack([_mixed(hashes[at : at + (1 << 13)], k) for k in range(size)], 1)
-        set_bits += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(set_bits * 2 > len(hashes), bitorder="little")
-    return bits.view("<u8").tolist()
+    return int(np.packbits(_ones(hashes, 1) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _names(size: int) -> list[str]:
-    return [f"fp{k}" for k in range(size)]
+def _ones(hashes: np.ndarray, size: int) -> np.ndarray:
+    """How many of the hashes have each bit of `size` words set: the bytes of a number count eight bits at once."""
+    counts = np.zeros((size, 8, 8), np.int64)
+    for at in range(0, len(hashes), 255 << 6):
+        part = np.stack([_mixed(hashes[at : at + (255 << 6)], k) for k in range(size)])
+        starts = np.arange(0, part.shape[1], 255)
+        for bit in range(8):
+            lanes = np.add.reduceat(part >> np.uint64(bit) & _LOW_BITS, starts, axis=1)
+            counts[:, bit] += lanes.astype("<u8").view(np.uint8).reshape(size, -1, 8).sum(1, dtype=np.int64)
+    return counts.transpose(0, 2, 1).reshape(-1)
 
 
-def fingerprinted(documents: DataFrame, shingle: int = SHINGLE, size: int = 1) -> DataFrame:
-    """doc_id and fp0, fp1 ... (the words of the fingerprint as signed longs) of documents (doc_id, text)."""
-    names = _names(size)
+def fingerprinted(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of documents (doc_id, text)."""
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(t, shingle, size) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.ascontiguousarray(found.T))], names=["doc_id", *names])
+            found = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "fp"])
 
         return batch
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_text(documents.select("doc_id", "text"), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names), make)
+    return map_text(documents.select("doc_id", "text"), f"doc_id {kind}, fp long", make)
 
 
 class _Forest:
@@ -137,24 +148,37 @@ class _Forest:
                 root[:] = deeper
 
 
-def link_group(nodes: np.ndarray, fps: np.ndarray, own: np.ndarray, low: np.ndarray, bits: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
+def link_group(nodes: np.ndarray, fps: np.ndarray, own: np.ndarray, low: np.ndarray, bits: int, half: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among rows that share the upper bits of a half.
 
-    fps: a row of words each. own: whether a row has these upper bits itself, and not
-    only a neighbour of them. low: the lower bits of its half.
+    own: whether a row has these upper bits itself, and not only a neighbour of them.
+    low: the lower bits of its half. Where more than BUCKET entries have a value, they
+    are looked up by their other half too: of five parts of it at most three differ, so
+    there is a table for each two of them.
     """
     entries = np.flatnonzero(own)
     if not len(entries) or len(fps) < 2:
         return []
-    entries = entries[np.argsort(low[entries], kind="stable")]
-    table = low[entries]
+    other = fps >> np.uint64(32 * (1 - half)) & np.uint64(0xFFFFFFFF)
+    key = low.astype(np.uint64) << np.uint64(32)
     every, number = np.unique(nodes, return_inverse=True)
     forest = _Forest(len(every))
-
-    def probe(rows: np.ndarray, keys: np.ndarray) -> None:
-        first, last = np.searchsorted(table, keys), np.searchsorted(table, keys, "right")
-        hit = last > first
-        rows, first, n = rows[hit], first[hit], (last - first)[hit]
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def looked_up(mask: int, rows: np.ndarray, flip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The table of a mask of the other half, and where in it each row finds its entries."""
+        if mask not in tables:
+            full = key[entries] | other[entries] & np.uint64(mask)
+            order = np.argsort(full, kind="stable")
+            tables[mask] = entries[order], full[order]
+        order, full = tables[mask]
+        wanted = key[rows] ^ np.uint64(flip << 32) | other[rows] & np.uint64(mask)
+        first = np.searchsorted(full, wanted)
+        return order, first, np.searchsorted(full, wanted, "right") - first
+
+    def verify(rows: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+        hit = n > 0
+        rows, first, n = rows[hit], first[hit], n[hit]
         ends = np.cumsum(n)
         at = 0
         while at < len(rows):
@@ -162,79 +186,72 @@ def link_group(nodes: np.ndarray, fps: np.ndarray, own: np.ndarray, low: np.ndar
             some = n[at:upto]
             left = np.repeat(rows[at:upto], some)
             within = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
-            right = entries[np.repeat(first[at:upto], some) + within]
-            close = np.bitwise_count(fps[left] ^ fps[right]).sum(1) <= distance
+            right = order[np.repeat(first[at:upto], some) + within]
+            close = np.bitwise_count(fps[left] ^ fps[right]) <= DISTANCE
             forest.link(number[left[close]], number[right[close]])
             at = upto
 
-    probe(np.flatnonzero(~own), low[~own])
-    probe(entries, table)
-    for bit in range(bits):
-        probe(entries, table ^ np.uint32(1 << bit))
+    for flip in (0, *(1 << bit for bit in range(bits))):
+        rows = np.flatnonzero(~own | ((low & np.uint32(flip)) != 0)) if flip else np.arange(len(fps))
+        order, first, n = looked_up(0, rows, flip)
+        few = n <= BUCKET
+        verify(rows[few], order, first[few], n[few])
+        if not few.all():
+            for mask in _MASKS:
+                verify(rows[~few], *looked_up(mask, rows[~few], flip))
     member = np.flatnonzero(forest.root != np.arange(len(every)))
     return list(zip(every[member].tolist(), every[forest.root[member]].tolist(), strict=True))
 
 
-def links(distinct: DataFrame, size: int = 1, distance: int = DISTANCE) -> DataFrame:
-    """Edges a, b between nodes, with the components that all links of at most `distance` bits have.
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges a, b between nodes, with the components that all links of at most DISTANCE bits have.
 
-    `distinct` has one row a fingerprint: node (long), fp0, fp1 ... One word and a
-    distance of 3 lose no link.
+    `distinct` has one row a fingerprint: node and fp (longs). No link is lost. Where
+    very many fingerprints share the upper bits of a half, they are dealt out by two
+    parts of the other half, as in link_group().
     """
     ship(distinct.sparkSession)
-    names = _names(size)
-    prefix = min(28, max(LEAST_PREFIX, math.ceil(math.log2(max(1, distinct.count()) / GROUP))))
+    total = distinct.count()
+    prefix = min(28, max(LEAST_PREFIX, math.ceil(math.log2(max(1, total) / GROUP))))
     halves = F.array(
         *[
             F.struct(
-                F.lit(2 * k + half).alias("half"),
-                F.shiftrightunsigned(name, 32 * half + 32 - prefix).bitwiseAND((1 << prefix) - 1).cast("int").alias("upper"),
-                F.shiftrightunsigned(name, 32 * half).bitwiseAND((1 << (32 - prefix)) - 1).cast("int").alias("low"),
+                F.shiftrightunsigned("fp", 32 * half + 32 - prefix).bitwiseAND((1 << prefix) - 1).alias("upper"),
+                F.shiftrightunsigned("fp", 32 * half).bitwiseAND((1 << (32 - prefix)) - 1).cast("int").alias("low"),
+                F.shiftrightunsigned("fp", 32 - 32 * half).bitwiseAND(0xFFFFFFFF).alias("other"),
+                F.lit(half).alias("half"),
             )
-            for k, name in enumerate(names)
             for half in (0, 1)
         ]
     )
-    flips = F.array(*[F.lit(0), *[F.lit(1 << b) for b in range(prefix)]])
+    flips = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(prefix)]])
     rows = (
-        distinct.select("node", *names, F.explode(halves).alias("h"))
-        .select("node", *names, "h.*", F.explode(flips).alias("flip"))
-        .select(
-            (F.col("upper").bitwiseXOR(F.col("flip")).cast("long") * (2 * size) + F.col("half")).alias("g"),
-            (F.col("flip") == 0).alias("own"), "low", "node", *names,
-        )
+        distinct.select("node", "fp", F.explode(halves).alias("h"))
+        .select("node", "fp", "h.*", F.explode(flips).alias("flip"))
+        .select((F.col("upper").bitwiseXOR(F.col("flip")) * 2 + F.col("half")).alias("g"), (F.col("flip") == 0).alias("own"), "half", "low", "other", "node", "fp")
     )
+    # Of so many rows or more there are at most MAX_HOT_KEYS groups.
+    most = max(HOT_GROUP, total * 2 * (prefix + 1) // MAX_HOT_KEYS)
+    hot = rows.groupBy("g").count().where(F.col("count") > most).select(F.col("g").alias("hot"))
+    parts = F.array(*[F.xxhash64(F.lit(i), F.col("other").bitwiseAND(mask)) for i, mask in enumerate(_MASKS)])
+    part = F.explode(F.when(F.col("hot").isNotNull(), parts).otherwise(F.array(F.lit(0).cast("long")))).alias("part")
+    rows = rows.join(F.broadcast(hot), F.col("g") == F.col("hot"), "left").select("g", part, "half", "own", "low", "node", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-
-        def flush(last: bool) -> pa.RecordBatch:
-            nonlocal held, n
-            g, own, low, node, *fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            fps = np.stack(fp, 1).view(np.uint64)
-            starts = np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), len(g))
-            whole = len(starts) - 1 if last else len(starts) - 2  # the last group may go on in the next batch
-            edges: list[tuple[int, int]] = []
-            for i in range(whole):
-                part = slice(starts[i], starts[i + 1])
-                edges += link_group(node[part], fps[part], own[part], low[part].astype(np.uint32), 32 - prefix, distance)
-            rest = slice(starts[whole], None)
-            held = [] if last else [tuple(c[rest] for c in (g, own, low, node, *fp))]
-            n = 0 if last else len(held[0][0])
+        edges: list[tuple[int, int]] = []
+
+        def batch() -> pa.RecordBatch:
             a, b = zip(*edges, strict=True) if edges else ((), ())
+            edges.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for b in batches:
-            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
-            n += b.num_rows
-            if n >= ROWS_AT_ONCE and held[0][0][0] != held[-1][0][-1]:
-                yield flush(False)
-        if n:
-            yield flush(True)
+        for _, _, half, own, low, node, fp in _by_key(batches, 2):
+            edges.extend(link_group(node, fp.view(np.uint64), own, low.astype(np.uint32), 32 - prefix, int(half[0])))
+            if len(edges) >= PAIRS_AT_ONCE:
+                yield batch()
+        yield batch()
 
-    dealt = rows.repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -272,9 +289,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def grouped(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document (doc_id, text)."""
-    prints = staged(fingerprinted(documents, shingle).withColumnRenamed("fp0", "fp"), "fingerprints")
+    prints = staged(fingerprinted(documents, shingle), "fingerprints")
     each = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    roots = components(links(each.select(F.col("fp").alias("node"), F.col("fp").alias("fp0"))))
+    roots = components(links(each.select(F.col("fp").alias("node"), "fp")))
     rooted = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     # Of linked fingerprints only: one row a component.
     smallest = rooted.join(roots.select(F.col("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
@@ -285,264 +302,444 @@ def grouped(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
+class _WordHashes(dict):
+    """Hashes of words, remembered until there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = _hash(word)
+        return found
+
+
+_word_hashes = _WordHashes()
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles in order; a text without words has one of its own."""
+    """The distinct hashes of a text's word shingles in order; a text of fewer words has one, of all of them."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(words) < shingle:
         return np.array([_hash(b" ".join(words))], np.uint64)
-    return np.unique(np.fromiter(map(_hash, map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))), np.uint64))
+    each = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    rolled = each[: len(each) - shingle + 1].copy()
+    for k in range(1, shingle):
+        rolled *= _MIX[2]
+        rolled += each[k : len(each) - shingle + 1 + k]
+    found = np.sort(_mixed(rolled, 1))
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets have SIMILAR_OF[0] / SIMILAR_OF[1] of their union in common."""
     if min(len(a), len(b)) * SIMILAR_OF[1] < max(len(a), len(b)) * SIMILAR_OF[0]:
         return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
     return common * SIMILAR_OF[1] >= (len(a) + len(b) - common) * SIMILAR_OF[0]
 
 
-def _set_bits(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The fingerprint of a set in words of 64 bits."""
-    ones = np.zeros(64 * size, np.int64)
-    for at in range(0, len(hashes), 1 << 13):
-        part = np.stack([_mixed(hashes[at : at + (1 << 13)], k) for k in range(size)], 1)
-        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first of a set's hashes, rare ones first: so many that similar sets have one of theirs in common.
-
-    Any order that is the same for all sets is right; `common` (in order) and how often
-    each is seen only keep those that many texts have away from the beginning.
-    """
-    n = len(hashes)
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rank = np.where(common[at] == hashes, often[at], 0)
-    least = -(-n * SIMILAR_OF[0] // SIMILAR_OF[1])
-    return hashes[np.lexsort((hashes, rank))[: n - least + 1]]
-
-
-def _common(documents: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many texts, by about ORDER_TEXTS of them: at most ORDER_SHINGLES."""
-
-    def make():
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
-
-        return batch
-
-    part = max(1, documents.count() // ORDER_TEXTS)
-    some = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
-    seen = map_text(some, "h long", make).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_LEAST)
-    found = sorted((np.uint64(r["h"] & (1 << 64) - 1), r["n"]) for r in seen.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect())
-    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
-
-
-def _described(documents: DataFrame, shingle: int, size: int) -> DataFrame:
-    """For each row (doc_id, row, text): node, a hash of its set of shingles, the set's size, fingerprint and prefix."""
-    shared = documents.sparkSession.sparkContext.broadcast(_common(documents, shingle))
-    names = _names(size)
+class Layout(NamedTuple):
+    """Segments of the fingerprints of sets: `count` of `bits` each."""
+
+    bits: int
+    count: int
+
+    @classmethod
+    def of(cls, texts: int) -> Layout:
+        """For about so many texts: a segment's bits follow the logarithm of their number, so that a table's
+        entries are few; the number of segments is such that similar sets of which BIT_APART of the bits differ
+        have one in which at most one bit does, but for MISSED of them."""
+        bits = min(32, max(16, math.ceil(math.log2(max(2, texts))) - 2))
+        hit = (1 - BIT_APART) ** bits + bits * BIT_APART * (1 - BIT_APART) ** (bits - 1)
+        return cls(bits, math.ceil(math.log(MISSED) / math.log(1 - hit)))
+
+    @property
+    def names(self) -> list[str]:
+        return [f"fp{k}" for k in range(-(-self.bits * self.count // 64))]
+
+    def prefix(self, nodes: int) -> int:
+        """Upper bits of a segment by which so many nodes are dealt out, besides their sizes."""
+        return max(0, math.ceil(math.log2(max(1, nodes / SIZES_APART) / NEAR_GROUP)))
+
+    @property
+    def far(self) -> int:
+        return int(FAR * self.bits * self.count)
+
+    def fingerprint(self, hashes: np.ndarray) -> np.ndarray:
+        ones = _ones(hashes, len(self.names))
+        ones[self.bits * self.count :] = 0
+        return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+    def value(self, k: int) -> Column:
+        """Segment k by the columns of a fingerprint's words."""
+        word, bit = divmod(k * self.bits, 64)
+        got = F.shiftrightunsigned(f"fp{word}", bit) if bit else F.col(f"fp{word}")
+        if bit + self.bits > 64:
+            got = got.bitwiseOR(F.shiftleft(f"fp{word + 1}", 64 - bit))
+        return got.bitwiseAND((1 << self.bits) - 1)
+
+    def values(self, words: np.ndarray) -> np.ndarray:
+        """All segments, a column each, by the rows of words."""
+        out = np.empty((len(words), self.count), np.uint32)
+        for k in range(self.count):
+            word, bit = divmod(k * self.bits, 64)
+            got = words[:, word] >> np.uint64(bit)
+            if bit + self.bits > 64:
+                got |= words[:, word + 1] << np.uint64(64 - bit)
+            out[:, k] = got & np.uint64((1 << self.bits) - 1)
+        return out
+
+
+def _described(documents: DataFrame, shingle: int, layout: Layout) -> DataFrame:
+    """For each row (doc_id, row, text): node, a hash of its set of shingles, the set's size and fingerprint."""
+    names = layout.names
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
             node = np.array([_hash(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            fps = np.array([_set_bits(s, size) for s in sets], np.uint64).view(np.int64)
-            first = pa.array([prefix(s, *shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(fps.T)), first]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "n", *names, "prefix"])
+            fps = np.array([layout.fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(fps.T))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "n", *names])
 
         return batch
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row long, node long, n long, " + ", ".join(f"{x} long" for x in names) + ", prefix array<long>"
+    schema = f"doc_id {kind}, row long, node long, n long, " + ", ".join(f"{x} long" for x in names)
     return map_text(documents.select("doc_id", "row", "text"), schema, make)
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """The rows (token, node) whose token has another row."""
+def _dealt(nodes: DataFrame, total: int, layout: Layout, every: bool) -> DataFrame:
+    """Rows of the tables, for nodes (node, root, n, fp0 ...): table, part, split, segment, own, low and the node's columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = node = np.empty(0, np.int64)
-        again = False  # whether the row held back is known to be repeated
-        for b in batches:
-            if not b.num_rows:
-                continue
-            token, node = np.append(token, b.column(0).to_numpy()), np.append(node, b.column(1).to_numpy())
-            same = token[1:] == token[:-1]
-            repeated = np.append(same, False) | np.append(again, same) if len(token) > 1 else np.array([again])
-            keep = np.flatnonzero(repeated[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names=["token", "node"])
-            token, node, again = token[-1:], node[-1:], bool(repeated[-1])
-        if again:
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], names=["token", "node"])
-
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, node long")
-
-
-def group_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray, token: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of one token's rows, with their distances, that have different roots and may be similar.
-
-    `every`: all of them. Else each row with the next one in the order of turned
-    fingerprints and with the smallest node.
+    A table holds a segment's fingerprints of sets of about one size that share its
+    upper bits. Each node is in the table of its own, and visits that of the next size
+    and those in whose upper bits one bit differs. Tables with very many rows are
+    dealt out in parts; where `every` pair is wanted, each two parts meet.
     """
-
-    def those(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        apart = np.bitwise_count(fps[left] ^ fps[right]).sum(1, dtype=np.int64)
-        may = (root[left] != root[right]) & (apart <= SURE_DISTANCE)
-        may &= np.minimum(n[left], n[right]) * SIMILAR_OF[1] >= np.maximum(n[left], n[right]) * SIMILAR_OF[0]
-        a, b = node[left[may]], node[right[may]]
-        return np.minimum(a, b), np.maximum(a, b), apart[may]
-
-    m = len(node)
-    if m < 2 or (root == root[0]).all():
+    prefix = layout.prefix(total)
+    low = layout.bits - prefix
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).cast("long")
+    segments = F.array(*[F.struct(F.lit(k).alias("segment"), layout.value(k).alias("v")) for k in range(layout.count)])
+    flips = [0, *(1 << b for b in range(prefix))]
+    visits = F.array(*[F.struct(F.lit(step).cast("long").alias("step"), F.lit(flip).cast("long").alias("flip")) for step in (0, 1) for flip in flips])
+    columns = ["node", "root", "n", *layout.names]
+    rows = (
+        nodes.select(*columns, size.alias("size"), F.explode(segments).alias("s"))
+        .select(*columns, "size", "s.*", F.explode(visits).alias("t"))
+        .withColumn("upper", F.shiftrightunsigned("v", low))
+        # Within a size, the one of the greater upper bits visits the other.
+        .where((F.col("t.flip") == 0) | (F.col("t.step") == 1) | (F.col("upper").bitwiseAND(F.col("t.flip")) != 0))
+        .select(
+            ((F.col("segment") * MAX_SIZES + F.col("size") + F.col("t.step")) * (1 << prefix) + F.col("upper").bitwiseXOR(F.col("t.flip"))).alias("table"),
+            "segment", ((F.col("t.flip") == 0) & (F.col("t.step") == 0)).alias("own"),
+            F.col("v").bitwiseAND((1 << low) - 1).alias("low"), *columns,
+        )
+    )
+    # Of so many rows or more there are at most MAX_HOT_KEYS tables.
+    most = max(TABLE_ROWS, total * layout.count * 2 * (prefix + 1) // MAX_HOT_KEYS)
+    hot = rows.groupBy("table").count().where(F.col("count") > most).select(F.col("table").alias("hot"), F.ceil(F.col("count") / most).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(F.broadcast(hot), F.col("table") == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64("node", "segment"), parts))
+    rows = rows.withColumn("split", parts > 1)
+    if every:
+        other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        rows = rows.withColumn("other", other).withColumn("part", F.least("part", "other") * parts + F.greatest("part", "other"))
+    return rows.select("table", "part", "split", "segment", "own", "low", *columns)
+
+
+def near_pairs(
+    layout: Layout, low_bits: int, split: bool, segment: int, own: np.ndarray, low: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray, every: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a table's rows, with their distances: of different roots, sizes that allow similarity, and a small distance.
+
+    For each row, the values of a ball of radius 1 round its low bits are looked up
+    among the table's own rows, and what is found is verified by the complete distance.
+    `every`: all such pairs that no earlier segment has. Else for each row the nearest
+    and the smallest of what it looks at: at most 2 * WINDOW entries with a value, and the
+    smallest of them all. A row that would have more to look at, as have all of a table
+    that is `split`, comes as a pair with itself.
+    """
+    entries = np.flatnonzero(own)
+    if not len(entries) or len(node) < 2 or (root == root[0]).all():
         return
+    values = layout.values(fps)
+    second = np.unique(root, return_inverse=True)[1].astype(np.uint64) if every else values[:, (segment + 1) % layout.count].astype(np.uint64)
+    key = low.astype(np.uint64) << np.uint64(32) | second
+    entries = entries[np.argsort(key[entries], kind="stable")]
+    table = key[entries]
+    place = np.full(len(node), -1)
+    place[entries] = np.arange(len(entries))
+    top, below = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
+    more = np.full(len(node), split)
+    by_node = entries[np.lexsort((node[entries], low[entries]))]
+    lows, first_of_low = np.unique(low[by_node], return_index=True)
+    stars = place[by_node[first_of_low]]  # of each value the entry of the smallest node
+
+    def looked_up(flip: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, and the beginnings and ends of what they look at in the table."""
+        rows = np.flatnonzero(~own | ((low & flip) != 0)) if flip else np.arange(len(node))
+        base = key[rows] & ~below ^ np.uint64(flip << 32)
+        at = base | second[rows]
+        first, last = np.searchsorted(table, base), np.searchsorted(table, base + (top - np.uint64(1)), "right")
+        hit = last > first
+        rows, at, first, last = rows[hit], at[hit], first[hit], last[hit]
+        mine = own[rows] & (flip == 0)  # each such pair is found from both sides, but for the places
+        if every:
+            after = np.searchsorted(table, at, "right")
+            yield rows, after, last
+            others = ~mine
+            yield rows[others], first[others], np.searchsorted(table, at[others])
+        else:
+            middle = np.where(mine, place[rows] + 1, np.searchsorted(table, at))
+            begin = np.where(mine, middle, np.maximum(first, middle - WINDOW))
+            end = np.minimum(last, middle + WINDOW)
+            yield rows, begin, end
+            star = stars[np.searchsorted(lows, (base >> np.uint64(32)).astype(np.int64)[hit])]
+            yield rows, star, star + 1
+            cut = (middle - first > WINDOW) | (last - middle > WINDOW)
+            more[rows[cut]] = True
+            covered = np.zeros(len(entries) + 1, np.int64)
+            np.add.at(covered, first[cut], 1)
+            np.add.at(covered, last[cut], -1)
+            more[entries[np.cumsum(covered)[:-1] > 0]] = True
+
+    def verified(rows: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        hit = end > begin
+        rows, begin, count = rows[hit], begin[hit], (end - begin)[hit]
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(rows):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            some = count[at:upto]
+            left = np.repeat(rows[at:upto], some)
+            right = entries[np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(begin[at:upto], some)]
+            at = upto
+            may = (root[left] != root[right]) & (np.minimum(n[left], n[right]) * SIMILAR_OF[1] >= np.maximum(n[left], n[right]) * SIMILAR_OF[0])
+            left, right = left[may], right[may]
+            apart = np.bitwise_count(fps[left] ^ fps[right]).sum(1, dtype=np.int64)
+            may = apart <= layout.far
+            left, right, apart = left[may], right[may], apart[may]
+            if every and segment and len(left):
+                earlier = (np.bitwise_count(values[left, :segment] ^ values[right, :segment]) <= 1).any(1)
+                left, right, apart = left[~earlier], right[~earlier], apart[~earlier]
+            if len(left):
+                yield left, right, apart
+
+    best = np.full(len(node), 1 << 20)
+    nearest = np.full(len(node), -1)
+    smallest = node.copy()
+    for flip in (0, *(1 << b for b in range(low_bits))):
+        for looked in looked_up(flip):
+            for left, right, apart in verified(*looked):
+                if every:
+                    yield np.minimum(node[left], node[right]), np.maximum(node[left], node[right]), apart
+                    continue
+                for x, y in ((left, right), (right, left)):
+                    np.minimum.at(smallest, x, node[y])
+                    order = np.argsort(-apart, kind="stable")  # the last to be written is the nearest
+                    x, y, d = x[order], y[order], apart[order]
+                    nearer = d < best[x]
+                    x, y, d = x[nearer], y[nearer], d[nearer]
+                    nearest[x], best[x] = y, d
     if not every:
-        turn = np.uint64(token & 63)
-        turned = fps[:, token >> 6 & fps.shape[1] - 1]
-        order = np.argsort(turned << turn | turned >> (np.uint64(64) - turn & np.uint64(63)), kind="stable")
-        yield those(order[:-1], order[1:])
-        yield those(np.full(m, node.argmin()), np.arange(m))
-        return
-    order = np.argsort(root, kind="stable")
-    ends = np.searchsorted(root[order], root[order], "right")  # rows of other roots begin here
-    count = m - ends
-    at = 0
-    total = np.cumsum(count)
-    while at < m:
-        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-        some = count[at:upto]
-        left = np.repeat(np.arange(at, upto), some)
-        right = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(ends[at:upto], some)
-        yield those(order[left], order[right])
-        at = upto
-
-
-def _pairs(rows: DataFrame, size: int, every: bool) -> DataFrame:
-    """Pairs a < b of rows (token, node, root, n, fp0 ...) with a common token, and their distance: see group_pairs()."""
+        found = np.flatnonzero(nearest >= 0)
+        other = node[nearest[found]]
+        yield np.minimum(node[found], other), np.maximum(node[found], other), best[found]
+        less = np.flatnonzero(smallest < node)
+        yield smallest[less], node[less], np.full(len(less), layout.far)
+        left_over = np.unique(node[more])
+        yield left_over, left_over, np.zeros(len(left_over), np.int64)
+
+
+def _pairs(nodes: DataFrame, layout: Layout, every: bool) -> DataFrame:
+    """Pairs a <= b of nodes (node, root, n, fp0 ...) and their distance: see near_pairs()."""
+    total = nodes.count()
+    dealt = _dealt(nodes, total, layout, every)
+    low_bits = layout.bits - layout.prefix(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            columns = tuple(np.concatenate(c) for c in zip(*held, strict=True))
-            token, node, root, many, *fp = columns
-            fps = np.stack(fp, 1).view(np.uint64)
-            starts = np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token))
-            whole = len(starts) - 1 if last else len(starts) - 2  # the last group may go on in the next batch
-            found: list[tuple[np.ndarray, ...]] = []
-            size_now = 0
-            for i in range(whole):
-                part = slice(starts[i], starts[i + 1])
-                for got in group_pairs(node[part], root[part], many[part], fps[part], int(token[starts[i]]), every):
-                    found.append(got)
-                    size_now += len(got[0])
-                    if size_now >= PAIRS_AT_ONCE:
-                        yield batch(found)
-                        found, size_now = [], 0
-            if found:
-                yield batch(found)
-            held = [] if last else [tuple(c[starts[whole] :] for c in columns)]
-            n = 0 if last else len(held[0][0])
-
-        def batch(found: list) -> pa.RecordBatch:
-            a, b, d = (np.concatenate(c) for c in zip(*found, strict=True))
-            _, first = np.unique(np.stack((a, b)), axis=1, return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(d[first])], names=["a", "b", "d"])
-
-        for b in batches:
-            if b.num_rows:
-                held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
-                n += b.num_rows
-                if n >= ROWS_AT_ONCE and held[0][0][0] != held[-1][0][-1]:
-                    yield from flush(False)
-        if n:
-            yield from flush(True)
-
-    dealt = rows.select("token", "node", "root", "n", *_names(size)).repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "a long, b long, d long").distinct()
+        for columns in _by_key(batches, 2):
+            split, segment, own, low, node, root, n, *words = columns[2:]
+            fps = np.stack(words, 1).view(np.uint64)
+            found, size = [], 0
+            for got in near_pairs(layout, low_bits, bool(split[0]), int(segment[0]), own, low, node, root, n, fps, every):
+                found.append(got)
+                size += len(got[0])
+                if size >= PAIRS_AT_ONCE:
+                    yield _batch(found)
+                    found, size = [], 0
+            if size:
+                yield _batch(found)
+
+    def _batch(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b", "d"])
+
+    return dealt.repartition("table", "part").sortWithinPartitions("table", "part").mapInArrow(run, "a long, b long, d long")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows that are equal in the first `width` columns, of sorted batches of numbers."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not b.num_rows:
+            continue
+        change = np.any([c[1:] != c[:-1] for c in columns[:width]], axis=0)
+        starts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        for first, last in pairwise(starts):
+            part = [c[first:last] for c in columns]
+            if held and any(h[0] != p[0] for h, p in zip(held[0][:width], part[:width], strict=True)):
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            held.append(part)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are similar."""
+    """The pairs a, b whose sets are similar, by sets (node, block, set).
+
+    Nodes that may be similar are in blocks of bounded size. Each two blocks with pairs
+    between them are a task's unit, to which the sets of these pairs go once.
+    """
+    block = sets.select("node", "block")
+    met = (
+        pairs.select("a", "b")
+        .join(block.select(F.col("node").alias("a"), F.col("block").alias("block_a")), "a")
+        .join(block.select(F.col("node").alias("b"), F.col("block").alias("block_b")), "b")
+        .select(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("unit"), "a", "b")
+    )
+    needed = met.select("unit", F.col("a").alias("node")).unionByName(met.select("unit", F.col("b").alias("node"))).distinct()
+    shipped = needed.join(sets, "node").select("unit", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "set")
+    rows = shipped.unionByName(met.select("unit", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2), b.column(3)
-            yes = [similar(np.asarray(x[i].values), np.asarray(y[i].values)) for i in range(b.num_rows)]
-            kept = b.filter(pa.array(yes, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+        held: dict[int, np.ndarray] = {}
+        last = None
+        for whole in batches:
+            good = []
+            units, kinds, left, right = (whole.column(i).to_pylist() for i in range(4))
+            for i, (unit, kind, a, b) in enumerate(zip(units, kinds, left, right, strict=True)):
+                if unit != last:
+                    held, last = {}, unit
+                if kind == 0:
+                    held[a] = np.frombuffer(whole.column(4)[i].as_py(), "<u8")
+                elif similar(held[a], held[b]):
+                    good.append((a, b))
+            x, y = zip(*good, strict=True) if good else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "a long, b long")
 
-    left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a long, b long")
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast if it has at most BROADCAST_ROWS; else it is joined as Spark chooses."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def _sets(documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node and set of the nodes (node, row)."""
+
+def _sets(documents: DataFrame, described: DataFrame, blocks: DataFrame, shingle: int) -> DataFrame:
+    """node, block and set (its hashes as bytes) of the nodes of blocks (node, block)."""
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = pa.array([shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([b.column(0), sets], names=["node", "set"])
+            sets = pa.array([shingle_set(t, shingle).tobytes() for t in b.column(3).to_pylist()], pa.binary())
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], names=["node", "block", "copies", "set"])
 
         return batch
 
-    texts = documents.select("row", "text").join(nodes, "row").select("node", "text").dropDuplicates(["node"])
-    return map_text(texts, "node long, set array<long>", make)
-
-
-def _kept(documents: DataFrame, shingle: int, size: int) -> DataFrame:
-    """doc_id and row of the row that each group of near copies keeps, of documents with a column row."""
-    names = _names(size)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    described = _described(documents, shingle, size)
-    each = staged(described.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("n", *names, "prefix")]), "distinct")
-    shared = staged(_repeated(each.select(F.explode("prefix").alias("token"), "node")), "shared")
-    own = each.join(shared.select("node").distinct(), "node", "left_semi")
-    sets = staged(_sets(documents, own.select("node", F.col("least.row").alias("row")), shingle), "sets")
-    spark = documents.sparkSession
-    edges = tested = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
+    rows = described.join(blocks, "node").groupBy("row", "node", "block").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("node", "block").agg(F.min("row").alias("row"), F.min_by("copies", "row").alias("copies"))
+    first = staged(first, "first")
+    texts = documents.select("row", "text").join(_few(first), "row").select("node", "block", "copies", "text")
+    sets = map_text(texts, "node long, block long, copies long, set binary", make)
+    once = sets.where("copies = 1").select("node", "block", "set")
+    if first.where("copies > 1").isEmpty():
+        return once
+    return once.unionByName(sets.where("copies > 1").groupBy("node", "block").agg(F.first("set").alias("set")))
+
+
+def _blocks(found: DataFrame) -> DataFrame:
+    """node and block of all nodes of the pairs a <= b: those with one smallest partner, in parts of about BLOCK."""
+    hubs = staged(
+        found.select(F.col("b").alias("node"), F.col("a").alias("hub"))
+        .unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("hub")))
+        .groupBy("node").agg(F.min("hub").alias("hub")), "hubs",
+    )
+    sizes = hubs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return hubs.join(sizes, "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
+
+
+def _groups(documents: DataFrame, described: DataFrame, shingle: int, layout: Layout) -> DataFrame | None:
+    """node and root of the nodes that have similar ones; None if no two may be similar."""
+    names = layout.names
+    each = staged(described.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *names)]), "distinct")
+    active = each.withColumn("root", F.col("node"))
+    tested = edges = sets = own = roots = None
     for every in (False, False, True):
-        rooted = own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", *names)
-        found = _pairs(shared.join(rooted, "node"), size, every)
-        if not every:
-            found = staged(found.join(tested, ["a", "b"], "left_anti"), "near")
-            nearest = found.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-            smallest = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            other = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-            found = nearest.unionByName(smallest).unionByName(other).distinct()
-        now = staged(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(now)
-        edges = edges.unionByName(staged(_verified(now, sets), "edges"))
+        found = _pairs(active, layout, every)
+        if every:
+            now = found.select("a", "b").distinct()
+        else:
+            found = staged(found, "near")
+            some = found.where("a <> b")
+            nearest = some.groupBy("b").agg(F.min_by("a", "d").alias("a"), F.min("a").alias("least"))
+            other = some.groupBy("a").agg(F.min_by("b", "d").alias("b"))
+            least = nearest.select(F.col("least").alias("a"), "b")
+            now = nearest.select("a", "b").unionByName(least).unionByName(other.select("a", "b")).distinct()
+        if tested is None:
+            if found.isEmpty():
+                return None
+            sets = staged(_sets(documents, described, staged(_blocks(found), "blocks"), shingle), "sets")
+            own = staged(each.join(sets.select("node"), "node", "left_semi"), "active")
+        else:
+            now = now.join(tested, ["a", "b"], "left_anti")
+        now = staged(now, "pairs")
+        tested = now if tested is None else tested.unionByName(now)
+        good = staged(_verified(now, sets), "edges")
+        edges = good if edges is None else edges.unionByName(good)
         roots = components(edges)
-    rooted = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    return rooted.select("least.doc_id", "least.row")
+        active = own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", *names)
+    return roots
 
 
 def _with_row(documents: DataFrame) -> DataFrame:
     return documents.withColumn("row", F.xxhash64(*documents.columns))
 
 
-def near_groups(documents: DataFrame, shingle: int = NEAR_SHINGLE, size: int = NEAR_WORDS) -> DataFrame:
+def _decided(documents: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents with a column row: what is kept (doc_id, row, how many rows are equal to it), and the rows that go."""
+    layout = Layout.of(documents.count())
+    described = staged(_described(documents, shingle, layout), "described")
+    roots = _groups(documents, described, shingle, layout)
+    rows = described.groupBy("row", "node").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    root = F.col("node")
+    if roots is not None:
+        rows, root = rows.join(roots, "node", "left"), F.coalesce("root", "node")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")
+    kept = staged(rows.groupBy(root.alias("root")).agg(F.min(order).alias("first")).select("first.doc_id", "first.row", "first.copies"), "kept")
+    gone = staged(rows.select("row").join(kept, "row", "left_anti"), "gone")
+    return kept, gone
+
+
+def near_groups(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """The ids of the rows of which each group of near copies keeps one, that with the smallest id: column doc_id."""
-    return _kept(_with_row(documents), shingle, size).select("doc_id")
+    return _decided(_with_row(documents), shingle)[0].select("doc_id")
 
 
-def keep_first(documents: DataFrame, shingle: int = NEAR_SHINGLE, size: int = NEAR_WORDS) -> DataFrame:
+def keep_first(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """The documents, with all their columns, of which each group of near copies keeps one row: that with the smallest id.
 
     Rows are told apart by all their columns and not by their ids: rows with the same
     id and other texts are documents of their own, as are rows without an id, which
-    come last in the order of ids.
+    come last in the order of ids. Of rows that are equal in all columns one stays.
+    Texts are not shuffled unless very many rows go.
     """
     rows = _with_row(documents)
-    kept = _kept(rows, shingle, size).select("row")
-    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*documents.columns)
+    kept, gone = _decided(rows, shingle)
+    again = staged(kept.where("copies > 1").select("row"), "again")
+    left = rows.join(_few(gone.unionByName(again)), "row", "left_anti").select(*documents.columns)
+    if again.isEmpty():
+        return left
+    one = rows.join(_few(again), "row", "left_semi").dropDuplicates(["row"]).select(*documents.columns)
+    return left.unionByName(one)

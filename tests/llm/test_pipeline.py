@@ -10,9 +10,13 @@ from tests.llm.test_tokens import BYTE, check_packing
 
 
 def plain_near(documents):
-    """Documents of which no near copy with a smaller id is reachable, over all pairs."""
-    prints = {i: simhash.fingerprint(t, size=simhash.NEAR_WORDS) for i, t in documents}
-    ids = sorted(prints)
+    """Documents of which no near copy with a smaller id is reachable, by the sets of five-word shingles of all pairs."""
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+
+    sets = {i: shingles(t) for i, t in documents}
+    ids = sorted(sets)
     root = {i: i for i in ids}
 
     def find(i):
@@ -22,9 +26,7 @@ def plain_near(documents):
 
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            apart = [a ^ b for a, b in zip(prints[i], prints[j], strict=True)]
-            halves = [x >> s & 0xFFFFFFFF for x in apart for s in (0, 32)]
-            if sum(x.bit_count() for x in apart) <= simhash.NEAR_DISTANCE and min(h.bit_count() for h in halves) <= 1:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [(i, t) for i, t in documents if find(i) == i]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -193,8 +194,8 @@ def plain_components(prints):
 
 def test_fingerprints_by_hand(odd, spark):
     for r in odd.collect():
-        assert simhash.fingerprint(r["text"]) == [plain_simhash(r["text"])]
-    assert simhash.fingerprint("A b C É") == [plain_simhash("A b C É")]
+        assert simhash.fingerprint(r["text"]) == plain_simhash(r["text"])
+    assert simhash.fingerprint("A b C É") == plain_simhash("A b C É")
     small = spark.createDataFrame([(1, "AB c d e")], "doc_id long, text string")
     assert rows(simhash.grouped(small))[0][1] == f"{plain_simhash('ab c d e'):016x}"
 
@@ -225,7 +226,7 @@ def test_links_find_all_pairs_of_random_fingerprints(spark):
             for bit in rng.choice(63, rng.integers(1, 4), replace=False):
                 x ^= 1 << int(bit)
             fps.add(x)
-    df = spark.createDataFrame([(f, f) for f in fps], "node long, fp0 long").repartition(5)
+    df = spark.createDataFrame([(f, f) for f in fps], "node long, fp long").repartition(5)
     found = simhash.components(simhash.links(df))
     roots = {r["node"]: r["root"] for r in found.collect()}
     want = plain_components([(f, f & (1 << 64) - 1) for f in fps])
@@ -274,18 +275,35 @@ def test_near_copies_are_found_and_others_stay(spark):
     kept = {r[0] for r in rows(simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")))}
     assert all(2 * k in kept for k, _ in near)
     found = lambda low, high: [2 * k + 1 not in kept for k, s in near if low <= s < high]
-    assert np.mean(found(0.9, 1.1)) > 0.93 and np.mean(found(0.8, 0.9)) > 0.6 and np.mean(found(0, 0.6)) < 0.02
+    assert np.mean(found(0.8, 1.1)) > 0.99 and np.mean(found(0, 0.8)) == 0
 
 
-def test_wide_fingerprints_link_by_their_whole_distance(spark):
+def test_equal_halves_link_in_tables_of_the_other_half(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    base = rng.integers(0, 1 << 62, 4).tolist()
-    far, near = base.copy(), base.copy()
-    near[1] ^= 0xFFF << 20
-    far[1], far[2], far[3] = far[1] ^ (0xFFFFF << 8), far[2] ^ (0xFFFFF << 8), far[3] ^ 1
-    df = spark.createDataFrame([(1, *base), (2, *near), (3, *far)], "node long, fp0 long, fp1 long, fp2 long, fp3 long")
-    assert rows(simhash.components(simhash.links(df, 4, 32))) == [(2, 1)]
-    assert simhash.links(df, 4, 11).count() == 0
+    fps = set()
+    for half in (0, 32):  # many fingerprints with one equal half, some of them linked
+        other = rng.integers(0, 1 << 31, 1500)
+        other = np.concatenate((other, other[:400] ^ 1 << rng.integers(0, 31, 400), other[:400] ^ 0b10010001))
+        fps |= {(int(x) << half) | (0x1234567 << (32 - half)) for x in other}
+    fps |= {f ^ (1 << int(rng.integers(0, 63))) for f in list(fps)[:500]}
+    want = plain_components([(f, f) for f in sorted(fps)])
+    for bucket, hot in ((256, 1 << 19), (16, 200)):  # the second one deals groups out
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        monkeypatch.setattr(simhash, "HOT_GROUP", hot)
+        found = simhash.components(simhash.links(spark.createDataFrame([(f, f) for f in fps], "node long, fp long")))
+        roots = {r["node"]: r["root"] for r in found.collect()}
+        assert {f: roots.get(f, f) for f in fps} == want
+
+
+def test_many_equal_halves_take_seconds():
+    rng = np.random.default_rng(7)
+    n = 100_000
+    fps = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64))
+    began = time.perf_counter()
+    edges = simhash.link_group(fps.astype(np.int64), fps, np.ones(len(fps), bool), np.zeros(len(fps), np.uint32), 24, 1)
+    assert time.perf_counter() - began < 60
+    close = np.sort(fps)[1:] ^ np.sort(fps)[:-1]
+    assert len(edges) >= (np.bitwise_count(close) == 1).sum() // 2
 
 
 def test_shards_equal_brute_force(spark, data, odd, empty):
@@ -379,6 +397,40 @@ def test_keep_first_finds_every_pair_of_five_word_similarity(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(made, shingle=5).collect()) == sorted(map(min, least.values()))
 
 
+def test_recall_of_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(77)
+    docs, near = [], []
+    while len(near) < 500:
+        n = int(rng.integers(30, 400))
+        a, b, similarity = near_copies(rng, n, max(1, round(n * float(rng.uniform(0.01, 0.03)))))
+        if 0.8 <= similarity < 0.87:
+            docs += [(2 * len(near), a), (2 * len(near) + 1, b)]
+            near.append(similarity)
+    kept = simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert len(docs) - kept >= 0.99 * len(near)
+
+
+def test_dealing_tables_out_loses_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for k in range(200):  # a large group of near copies, many of them only through others
+        words = base.copy()
+        for i in rng.choice(len(base), int(rng.integers(1, 8)), replace=False):
+            words[i] = f"z{k}"
+        docs.append((k, " ".join(words)))
+    made = spark.createDataFrame(docs, "doc_id long, text string")
+    want = rows(simhash.near_groups(made))
+    for name, value in (("TABLE_ROWS", 50), ("NEAR_GROUP", 4), ("WINDOW", 2), ("BLOCK", 7), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(simhash, name, value)
+    assert rows(simhash.near_groups(made)) == want
+
+
+def test_keep_first_with_ids_of_text(spark):
+    made = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("b", "other words")], "doc_id string, text string")
+    assert sorted(map(tuple, simhash.keep_first(made).collect())) == [("a", "one two three four five six"), ("b", "other words")]
+
+
 def test_pipeline_near_dedup_takes_five_words(spark, data):
     words = [f"w{i}" for i in range(100)]
     other = words.copy()
