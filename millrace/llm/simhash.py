@@ -19,9 +19,9 @@ keep_first() links texts whose sets of five-word shingles have 0.8 or more of th
 union in common. Their fingerprints are wider: as many segments as it takes for such a
 pair to be within one bit of each other in one of them (Layout). Balls of radius 1 are
 looked up segment by segment, among sets of about the same size; what is found is
-verified by the complete distance and then by the sets themselves. In the first two
-rounds each text comes with the nearest and the smallest of what it looks at; the last
-round takes all pairs that are left between different components.
+verified by the complete distance and then by the sets themselves. In a first
+round each text comes with the nearest and the smallest of what it looks at; a second
+one takes all pairs that are left between different components.
 
 Cases: null and empty texts, and those of white space only, have the fingerprint
 zero, which is linked like any other. A null id cannot be a component's smallest;
@@ -57,6 +57,9 @@ BUCKET, HOT_GROUP = 256, 1 << 19
 _PARTS = (0x7F, 0x7F << 7, 0x3F << 14, 0x3F << 20, 0x3F << 26)
 _MASKS = [a | b for a, b in combinations(_PARTS, 2)]
 
+#: Edges that a task reduces to a forest.
+EDGES_A_TASK = 1_000_000
+
 #: Words of a shingle, and what part of their union similar sets have in common, in keep_first().
 NEAR_SHINGLE, SIMILAR_OF = 5, (4, 5)
 #: What part of the bits differs between the fingerprints of sets that are just similar (acos(8 / 9) / pi is 0.152;
@@ -254,15 +257,40 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root (its component's smallest node) of each node of undirected edges a, b.
+def _forest(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges node, root with the components of the edges a, b, as each of some tasks sees them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            every, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+            forest = _Forest(len(every))
+            forest.link(number[: len(a)], number[len(a) :])
+            member = np.flatnonzero(forest.root != np.arange(len(every)))
+            yield pa.RecordBatch.from_arrays([pa.array(every[member]), pa.array(every[forest.root[member]])], names=["node", "root"])
+
+    ship(edges.sparkSession)
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, "node long, root long")
 
-    Large-star and small-star steps in turn: each round hangs neighbours onto the
-    smallest node near them until every node hangs onto its root. Each round's edges
-    are a written table. A star's middle, which may have very many neighbours, only
-    ever takes part in minima, which are combined before the shuffle.
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and root (its component's smallest node) of each node of undirected edges a, b that is not a root.
+
+    Tasks of up to EDGES_A_TASK edges first reduce what they have to a forest; where one
+    task has them all, that is the result. Else large-star and small-star steps in turn:
+    each round hangs neighbours onto the smallest node near them until every node hangs
+    onto its root. Each round's edges are a written table. A star's middle, which may
+    have very many neighbours, only ever takes part in minima, which are combined before
+    the shuffle.
     """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    own = staged(edges.where("a <> b"), "edges")
+    tasks = max(1, -(-own.count() // EDGES_A_TASK))
+    now = staged(_forest(own, tasks), "edges")
+    drop_staged(own)
+    if tasks == 1:
+        return now
+    now = now.select(F.col("node").alias("a"), F.col("root").alias("b"))
     mark = None
     for _ in range(rounds):
         # Large star: each node's larger neighbours to the smallest of it and its neighbours.
@@ -661,46 +689,34 @@ def _sets(documents: DataFrame, described: DataFrame, blocks: DataFrame, shingle
 
 def _blocks(found: DataFrame) -> DataFrame:
     """node and block of all nodes of the pairs a <= b: those with one smallest partner, in parts of about BLOCK."""
-    hubs = staged(
+    hubs = (
         found.select(F.col("b").alias("node"), F.col("a").alias("hub"))
         .unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("hub")))
-        .groupBy("node").agg(F.min("hub").alias("hub")), "hubs",
+        .groupBy("node").agg(F.min("hub").alias("hub"))
     )
     sizes = hubs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     return hubs.join(sizes, "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
 
 
 def _groups(documents: DataFrame, described: DataFrame, shingle: int, layout: Layout) -> DataFrame | None:
-    """node and root of the nodes that have similar ones; None if no two may be similar."""
+    """node and root of the nodes that are not roots of their groups; None if no two nodes may be similar."""
     names = layout.names
     each = staged(described.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *names)]), "distinct")
-    active = each.withColumn("root", F.col("node"))
-    tested = edges = sets = own = roots = None
-    for every in (False, False, True):
-        found = _pairs(active, layout, every)
-        if every:
-            now = found.select("a", "b").distinct()
-        else:
-            found = staged(found, "near")
-            some = found.where("a <> b")
-            nearest = some.groupBy("b").agg(F.min_by("a", "d").alias("a"), F.min("a").alias("least"))
-            other = some.groupBy("a").agg(F.min_by("b", "d").alias("b"))
-            least = nearest.select(F.col("least").alias("a"), "b")
-            now = nearest.select("a", "b").unionByName(least).unionByName(other.select("a", "b")).distinct()
-        if tested is None:
-            if found.isEmpty():
-                return None
-            sets = staged(_sets(documents, described, staged(_blocks(found), "blocks"), shingle), "sets")
-            own = staged(each.join(sets.select("node"), "node", "left_semi"), "active")
-        else:
-            now = now.join(tested, ["a", "b"], "left_anti")
-        now = staged(now, "pairs")
-        tested = now if tested is None else tested.unionByName(now)
-        good = staged(_verified(now, sets), "edges")
-        edges = good if edges is None else edges.unionByName(good)
-        roots = components(edges)
-        active = own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", *names)
-    return roots
+    found = staged(_pairs(each.withColumn("root", F.col("node")), layout, False), "near")
+    if found.isEmpty():
+        return None
+    some = found.where("a <> b")
+    by_b = some.groupBy("b").agg(F.min_by("a", "d").alias("a"), F.min("a").alias("least"))
+    by_a = some.groupBy("a").agg(F.min_by("b", "d").alias("b"))
+    first = by_b.select("a", "b").unionByName(by_b.select(F.col("least").alias("a"), "b")).unionByName(by_a.select("a", "b"))
+    first = staged(first.distinct(), "pairs")
+    sets = staged(_sets(documents, described, staged(_blocks(found), "blocks"), shingle), "sets")
+    edges = staged(_verified(first, sets), "edges")
+    # All others between the components that these have.
+    rooted = each.join(sets.select("node"), "node", "left_semi").join(components(edges), "node", "left")
+    active = staged(rooted.select("node", F.coalesce("root", "node").alias("root"), "n", *names), "active")
+    others = staged(_pairs(active, layout, True).select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
+    return components(edges.unionByName(staged(_verified(others, sets), "edges")))
 
 
 def _with_row(documents: DataFrame) -> DataFrame:

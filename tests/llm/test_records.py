@@ -238,10 +238,12 @@ def test_links_find_all_pairs_of_random_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("at_once", [100, 1_000_000])  # by rounds over the edges, and in one task
+def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "EDGES_A_TASK", at_once)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(5000, 5000)]
     random.shuffle(edges)
-    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 400)}
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
