@@ -9,9 +9,11 @@ moved the place before, at a lower rank. The longest such chain of left parts is
 merge list's sufficient lookahead: one pass over the merges finds it (lookahead()).
 
 The transducer holds a window of that many symbols and some more, merges it, emits
-the tokens that end before the lookahead, and goes on from there. Its memory does not
-grow with the text. Decoding maps each id to its bytes and gives out text as soon as
-its last byte is there.
+the tokens that end before the lookahead, and goes on from there, so its memory does not
+grow with the word. All words go through it; what it gives for those of up to
+REMEMBERED_CHARACTERS is remembered. A text is split into words by blocks of BLOCK
+characters, or up to the end of a longer word. Decoding maps each id to its bytes; these
+go through a state machine that gives out text as soon as a character's last byte is there.
 
 Cases: a null or empty text has no ids and decodes to the empty text. Strings of
 special tokens in a text are their ids. Rows that repeat an id each get their result.
@@ -127,25 +129,48 @@ class Merges:
 
     def encode_word(self, data: Iterable[bytes]) -> Iterator[int]:
         """Ids of one word that comes in parts; each as soon as no continuation can change it."""
-        window: list[int] = []
-        last: int | None = None
+        transducer = Transducer(self)
         for part in data:
-            for at in range(0, len(part), STEP):
-                some = part[at : at + STEP]
-                if last is not None:
-                    window.append(self.inner[last])
-                window += [self.inner[b] for b in some[:-1]]
-                last = some[-1]
-                if len(window) >= self.lookahead + self.longest + STEP:
-                    stable, place = len(window) - self.lookahead, 0
-                    for token in self.merged(window.copy()):
-                        if place + self.length[token] > stable:
-                            break
-                        place += self.length[token]
-                        yield token
-                    del window[:place]
-        if last is not None:
-            yield from self.merged([*window, self.final[last]])
+            yield from transducer.push(part)
+        yield from transducer.finish()
+
+
+class Transducer:
+    """The bytes of one word in, its ids out. The state is a window of symbols, and the last byte, of which it is
+    not known yet whether it ends the word."""
+
+    def __init__(self, merges: Merges):
+        self._merges = merges
+        self._full = merges.lookahead + merges.longest + STEP
+        self._window: list[int] = []
+        self._last: int | None = None
+
+    def push(self, data: bytes) -> list[int]:
+        """The ids that no continuation can change any more."""
+        merges, window, stable_ids = self._merges, self._window, []
+        for at in range(0, len(data), STEP):
+            some = data[at : at + STEP]
+            if self._last is not None:
+                window.append(merges.inner[self._last])
+            window += [merges.inner[b] for b in some[:-1]]
+            self._last = some[-1]
+            if len(window) >= self._full:
+                stable, place = len(window) - merges.lookahead, 0
+                for token in merges.merged(window.copy()):
+                    if place + merges.length[token] > stable:
+                        break
+                    place += merges.length[token]
+                    stable_ids.append(token)
+                del window[:place]
+        return stable_ids
+
+    def finish(self) -> list[int]:
+        """The ids that are left at the end of the word; then the next word may come."""
+        if self._last is None:
+            return []
+        rest = self._merges.merged([*self._window, self._merges.final[self._last]])
+        self._window, self._last = [], None
+        return rest
 
 
 class Decoder:
@@ -156,7 +181,7 @@ class Decoder:
     """
 
     def __init__(self, merges: Merges, surfaces: bool = True):
-        self._between = b" " if surfaces else b""
+        self.between = b" " if surfaces else b""
         if surfaces:
             self._bytes = {i: t.encode() for i, t in merges.surface.items()}
         else:
@@ -165,36 +190,31 @@ class Decoder:
             plain = {i: t.removesuffix(merges.end) for t, i in merges.ids.items()}
             self._bytes = {i: bytes(symbols[c] for c in t) + b" " * final[i] for i, t in plain.items()}
             self._bytes |= {i: t.encode() for t, i in merges.special.items()}
-        #: Tokens that end where a character ends, and begin where one begins.
-        self._whole = {i: t for i, b in self._bytes.items() if (t := _text(b)) is not None}
-        self._first = codecs.getincrementaldecoder("utf-8")
         self.reset()
 
     def reset(self) -> None:
-        self._characters = self._first("replace")
-        self._open = self._begun = False
+        self._characters = codecs.getincrementaldecoder("utf-8")("replace")
+        self._begun = False
+
+    def bytes_of(self, tokens: Iterable[int]) -> bytes:
+        """The bytes of some tokens in a row."""
+        return self.between.join(map(self._bytes.__getitem__, tokens))
+
+    def feed(self, data: bytes) -> str:
+        """The text that is complete after the bytes of some more tokens."""
+        data = self.between + data if self._begun else data
+        self._begun = True
+        return self._characters.decode(data)
 
     def push(self, token: int) -> str:
-        begun, self._begun = self._begun, True
-        if not self._open and (text := self._whole.get(token)) is not None:
-            return self._between.decode() + text if begun else text
-        text = self._characters.decode(self._between * begun + self._bytes[token])
-        self._open = bool(self._characters.getstate()[0])
-        return text
+        return self.feed(self._bytes[token])
 
     def finish(self) -> str:
-        rest = self._characters.decode(b"", True) if self._open else ""
+        rest = self._characters.decode(b"", True)
         self.reset()
         return rest
 
 
-def _text(data: bytes) -> str | None:
-    try:
-        return data.decode()
-    except UnicodeDecodeError:
-        return None
-
-
 class Coder:
     """Encodes and decodes whole texts in blocks, with a bounded memory of words."""
 
@@ -205,6 +225,7 @@ class Coder:
         self._symbols = byte_symbols()
         special = sorted(self.merges.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self._transducer = Transducer(self.merges)
         self._decoder = Decoder(self.merges)
         self._known: dict[str, tuple[int, bytes, bytes]] = {}
 
@@ -230,35 +251,39 @@ class Coder:
             else:
                 yield _LATIN.findall(block.lower())
 
-    def _tokens(self, word: str) -> Iterator[int]:
-        return self.merges.encode_word(word[i : i + BLOCK].encode("utf-8", "surrogatepass") for i in range(0, len(word), BLOCK))
-
-    def _coded(self, tokens: Iterable[int]) -> tuple[int, bytes, bytes]:
-        """Number of ids, their decimals, and what they decode to."""
-        ids = list(tokens)
-        text = [*map(self._decoder.push, ids), self._decoder.finish()]
-        return len(ids), " ".join(map(str, ids)).encode(), "".join(text).encode()
+    def _coded(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        """Number of some ids in a row, their decimals, and their bytes, which are still to go through the decoder."""
+        return len(ids), " ".join(map(str, ids)).encode(), self._decoder.bytes_of(ids)
 
     def _remember(self, word: str) -> tuple[int, bytes, bytes]:
-        if len(word) > REMEMBERED_CHARACTERS:
-            return self._coded(self._tokens(word))
-        # A word that is shorter than the lookahead is seen whole by the transducer's one window.
-        data = word.encode("utf-8", "surrogatepass")
-        inner = self.merges.inner
-        found = self._coded(self.merges.merged([inner[b] for b in data[:-1]] + [self.merges.final[data[-1]]]))
+        found = self._coded([*self._transducer.push(word.encode("utf-8", "surrogatepass")), *self._transducer.finish()])
         if len(self._known) >= REMEMBERED:
             self._known.clear()
         self._known[word] = found
         return found
 
+    def _long(self, word: str) -> Iterator[list[tuple[int, bytes, bytes]]]:
+        for i in range(0, len(word), BLOCK):
+            if ids := self._transducer.push(word[i : i + BLOCK].encode("utf-8", "surrogatepass")):
+                yield [self._coded(ids)]
+        yield [self._coded(self._transducer.finish())]
+
     def _parts(self, text: str) -> Iterator[list[tuple[int, bytes, bytes]]]:
+        """What the transducer gives, in order; words that are not too long are remembered with it."""
         known = self._known
         for segment in self._special.split(text) if self._special else [text]:
             if segment in self.merges.special:
                 yield [self._coded([self.merges.special[segment]])]
                 continue
             for block in self.words(segment):
-                yield [known.get(w) or self._remember(w) for w in block]
+                if max(map(len, block), default=0) <= REMEMBERED_CHARACTERS:
+                    yield [known.get(w) or self._remember(w) for w in block]
+                    continue
+                for word in block:
+                    if len(word) <= REMEMBERED_CHARACTERS:
+                        yield [known.get(word) or self._remember(word)]
+                    else:
+                        yield from self._long(word)
 
     def encode(self, text: str | None) -> Iterator[int]:
         for part in self._parts(text or ""):
@@ -274,13 +299,15 @@ class Coder:
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of their decimals joined by spaces, and SHA-256 of the decoded text."""
         n, ids, decoded, between = 0, hashlib.sha256(), hashlib.sha256(), b""
+        self._decoder.reset()
         for part in self._parts(text or ""):
             if part:
                 counts, a, b = zip(*part, strict=True)
                 n += sum(counts)
                 ids.update(between + b" ".join(a))
-                decoded.update(between + b" ".join(b))
+                decoded.update(self._decoder.feed(self._decoder.between.join(b)).encode())
                 between = b" "
+        decoded.update(self._decoder.finish().encode())
         return n, ids.hexdigest(), decoded.hexdigest()
 
 

@@ -205,3 +205,18 @@ def test_packing_table(spark, data, odd, empty):
     check_packing([(r["doc_id"], r["text"]) for r in odd.collect()], got)
     assert sum(1 for r in got if r["doc_id"] == 1) == 2
     assert packing.pack(packing.pieces(empty, BYTE)).count() == 0
+
+
+def test_every_word_goes_through_the_transducer_and_the_state_machine(monkeypatch):
+    coder, reference = bpe.Coder(bpe._definition(WORD)), Tokenizer.from_file(WORD)
+    pushed, fed = [], []
+    push, feed = bpe.Transducer.push, bpe.Decoder.feed
+    monkeypatch.setattr(bpe.Transducer, "push", lambda self, data: pushed.append(data) or push(self, data))
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, data: fed.append(data) or feed(self, data))
+    text = "The cat, the dog and 漢字 " + "a" * 200_000 + " the cat"
+    want = reference.encode(text, add_special_tokens=False).ids
+    got = coder.digests(text)
+    assert got[0] == len(want) and got[2] == hashlib.sha256(reference.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    assert b"".join(pushed).count(b"a" * 1000) == 200 and {b"the", b"cat", b"dog", "漢字".encode()} <= set(pushed)
+    assert sum(len(x.split()) for x in fed) == len(want)
+    assert len(pushed) < 20  # words that come again are remembered
