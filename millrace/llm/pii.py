@@ -9,7 +9,10 @@ the same digits, the same last seven digits, the same name before an at sign) sh
 skip potentials, each with the next one of its kind. Nodes in pattern spans are
 observed. Loopy belief propagation carries their labels along the skip edges, so
 that `555-2485` is a phone number where `+1 (988) 555-2485` stands elsewhere in the
-text. All potentials are trained on pattern spans in a bounded sample of documents.
+text. Each document's messages pass until they settle, whatever other documents are at
+hand. All potentials are trained together, by pseudo-likelihood: each node's label given
+its features, its neighbours' labels and those of its similar nodes, on pattern spans in
+a bounded sample of documents.
 
 Cases: a null or empty text has no spans. Overlapping spans of different kinds all
 count. Texts are read whole; the patterns are matched in time linear in the text.
@@ -23,13 +26,14 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +41,16 @@ from millrace.llm.common import map_text
 from millrace.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
-#: About so many documents, drawn by a hash of their ids, are read to train the field, and so many of their tokens used.
-SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 8000, 20000
+#: About so many documents of so many characters in all, drawn by a hash of their ids, are read to train the field,
+#: of them only those of at most so many characters, and about so many of their tokens used.
+SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, SAMPLE_LONGEST, SAMPLE_TOKENS = 8000, 40_000_000, 200_000, 20000
 BUCKETS = 1 << 12
 ROUNDS, RATE, PENALTY = 150, 0.2, 1e-3
 #: What a token of which nothing is known has for being no personal data.
 PRIOR = 1.5
-SWEEPS, DAMPING = 25, 0.5
-#: Skip potentials start from so many agreeing and disagreeing pairs, and are not over the bound.
+#: A document's messages have settled where none moves by more than this, which ends after so many sweeps at last.
+SETTLED, SWEEPS, DAMPING = 1e-4, 300, 0.5
+#: Skip potentials start from counts, with so many agreeing and disagreeing pairs more; no potential is over the bound.
 AGREE, DISAGREE, BOUND = 10.0, 0.5, 4.0
 
 _HINT = re.compile(r"[0-9@]")
@@ -101,18 +107,18 @@ def joined(spans: list[Span]) -> str:
 
 
 class Graph:
-    """Nodes, features and edges of some documents; label 0 is none, label k + 1 is kind k, -1 is unknown."""
+    """Nodes, features and edges of some documents in flat arrays; label 0 is none, label k + 1 is kind k, -1 is unknown."""
 
     def __init__(self) -> None:
-        self.at: list[tuple[int, int, int]] = []  # document, start, end
-        self.label: list[int] = []
-        self.features: list[list[int]] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.at = array("q")  # document, start, end of each node
+        self.label = array("b")
+        self.features = array("i")  # as many of each node
+        self.chain = array("q")  # two nodes of each edge
+        self.skip = array("q")
 
     def add(self, document: int, text: str, base: list[Span], gold: bool = False) -> None:
         """Adds a document; where `gold`, nodes outside the spans are known to be none."""
-        keys: dict[tuple[str, str], list[int]] = defaultdict(list)
+        keys, owners = array("Q"), array("q")
         last, upto, inside = -2, 0, []
         for i, place, token, before, after in _hinted(text):
             while upto < len(base) and base[upto][0] < place + len(token):
@@ -121,17 +127,23 @@ class Graph:
             inside = [s for s in inside if s[1] > place]
             core = token.strip(_EDGE) or token
             start = place + token.find(core)
-            node = len(self.at)
-            self.at.append((document, start, start + len(core)))
+            node = len(self.label)
+            self.at.extend((document, start, start + len(core)))
             over = [s[2] for s in inside if s[0] < start + len(core) and s[1] > start]
             self.label.append(min(over) + 1 if over else 0 if gold else -1)
-            self.features.append(_features(token, core, before, after))
+            self.features.extend(_features(token, core, before, after))
             if last == i - 1:
-                self.chain.append((node - 1, node))
+                self.chain.extend((node - 1, node))
             last = i
             for key in _keys(core):
-                keys[key].append(node)
-        self.skip += sorted({pair for nodes in keys.values() for pair in pairwise(nodes)})
+                keys.append(xxhash.xxh64_intdigest("\0".join(key).encode("utf-8", "surrogatepass")))
+                owners.append(node)
+        key, owner = np.asarray(keys), np.asarray(owners)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        again = np.flatnonzero(key[1:] == key[:-1])
+        pairs = np.unique(np.stack((owner[again], owner[again + 1]), 1), axis=0)
+        self.skip.frombytes(pairs[pairs[:, 0] < pairs[:, 1]].astype(np.int64).tobytes())
 
 
 def _hinted(text: str) -> Iterator[tuple[int, int, str, str, str]]:
@@ -179,63 +191,98 @@ class Field:
 
     @classmethod
     def train(cls, graph: Graph) -> Field:
+        """Maximises the pseudo-likelihood by Adam: unary weights, transitions and the reward of agreement together.
+
+        Transitions and the reward start from counts, and are drawn back to them.
+        """
         n, labels = len(KINDS) + 1, np.array(graph.label, np.int64)
+        chain, skip = (np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip))
         chosen = np.arange(len(labels))[:: max(1, -(-len(labels) // SAMPLE_TOKENS))]
-        width = len(graph.features[0])
-        x = np.array(graph.features, np.int64)[chosen]
-        y = labels[chosen]
+        x = np.array(graph.features, np.int64).reshape(len(labels), -1)[chosen]
+        width, y = x.shape[1], labels[chosen]
+        # How many neighbours of each label a node has: before it, after it, and similar ones.
+        before, after, alike = np.zeros((3, len(labels), n))
+        np.add.at(before, (chain[:, 1], labels[chain[:, 0]]), 1)
+        np.add.at(after, (chain[:, 0], labels[chain[:, 1]]), 1)
+        np.add.at(alike, (skip[:, 0], labels[skip[:, 1]]), 1)
+        np.add.at(alike, (skip[:, 1], labels[skip[:, 0]]), 1)
+        before, after, alike = before[chosen], after[chosen], alike[chosen]
         w, b = np.zeros((BUCKETS, n)), np.zeros(n)
         b[0] = PRIOR
-        first, second = np.zeros_like(w), np.zeros_like(w)
+        lift, agreement = _lift(chain, labels, n), _agreement(skip, labels, n)
+        c, r = lift.copy(), agreement
+        first, second = [np.zeros_like(w), np.zeros_like(c), 0.0], [np.zeros_like(w), np.zeros_like(c), 0.0]
         for step in range(1, ROUNDS + 1):
-            p = _softmax(w[x].sum(1) + b)
+            p = _softmax(w[x].sum(1) + b + before @ c + after @ c.T + r * alike)
             p[np.arange(len(y)), y] -= 1
-            g = np.stack([np.bincount(x.ravel(), np.repeat(p[:, k], width), BUCKETS) for k in range(n)], 1) / len(y) + PENALTY * w
-            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-            w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        return cls(w, b, _lift(graph.chain, labels, n), _agreement(graph.skip, labels, n))
+            slopes = (
+                np.stack([np.bincount(x.ravel(), np.repeat(p[:, k], width), BUCKETS) for k in range(n)], 1) / len(y) + PENALTY * w,
+                (before.T @ p + p.T @ after) / len(y) + PENALTY * (c - lift),
+                float((p * alike).sum()) / len(y) + PENALTY * (r - agreement),
+            )
+            moves = []
+            for i, g in enumerate(slopes):
+                first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
+                moves.append(RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8))
+            w = w - moves[0]
+            c = np.clip(c - moves[1], -BOUND, BOUND)
+            r = float(np.clip(r - moves[2], 0, BOUND))
+        return cls(w, b, c, np.eye(n) * r)
 
     def decode(self, graph: Graph) -> np.ndarray:
-        """The most likely label of each node, by loopy sum-product belief propagation over all documents at once."""
-        own = self.unary[np.array(graph.features, np.int64)].sum(1) + self.bias
-        labels = np.array(graph.label)
+        """The most likely label of each node, by loopy sum-product belief propagation in each document."""
+        labels = np.array(graph.label, np.int64)
+        n, k = len(labels), len(self.bias)
+        document = np.unique(np.array(graph.at, np.int64).reshape(n, -1)[:, 0], return_inverse=True)[1]
+        features = np.array(graph.features, np.int32).reshape(n, -1)
+        own = np.tile(self.bias.astype(np.float32), (n, 1))
+        for column in features.T:
+            own += self.unary[column].astype(np.float32)
         known = labels >= 0
         own[known] = -50.0
         own[known, labels[known]] = 0.0
-        edges = [(a, b, self.chain) for a, b in graph.chain] + [(a, b, self.skip) for a, b in graph.skip]
-        if not edges:
-            return own.argmax(1)
-        source = np.array([e[0] for e in edges] + [e[1] for e in edges])
-        target = np.array([e[1] for e in edges] + [e[0] for e in edges])
-        potential = np.array([e[2] for e in edges] + [e[2].T for e in edges])
-        back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
-        message = np.zeros((len(source), own.shape[1]))
+        # Four kinds of messages: along the chain and back, along the skips and back.
+        ends = [np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip)]
+        source = [ends[0][:, 0], ends[0][:, 1], ends[1][:, 0], ends[1][:, 1]]
+        target = [source[1], source[0], source[3], source[2]]
+        through = [np.exp(m).astype(np.float32) for m in (self.chain, self.chain.T, self.skip, self.skip.T)]
+        message = [np.zeros((len(x), k), np.float32) for x in source]
+        belief = own.copy()
+        moving = np.ones(document.max(initial=-1) + 1, bool)
         for _ in range(SWEEPS):
+            moved = np.zeros(len(moving), np.float32)
+            found = []
+            for i in range(4):
+                live = np.flatnonzero(moving[document[source[i]]])
+                out = belief[source[i][live]] - message[i ^ 1][live]
+                out -= out.max(1, keepdims=True)
+                new = np.log(np.exp(out, out=out) @ through[i])
+                new -= new.max(1, keepdims=True)
+                np.maximum.at(moved, document[source[i][live]], np.abs(new - message[i][live]).max(1, initial=0))
+                found.append((live, new))
+            for i, (live, new) in enumerate(found):
+                message[i][live] = DAMPING * message[i][live] + (1 - DAMPING) * new
             belief = own.copy()
-            np.add.at(belief, target, message)
-            out = (belief[source] - message[back])[:, :, None] + potential
-            top = out.max(1)
-            new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-            new -= new.max(1, keepdims=True)
-            moved = np.abs(new - message).max()
-            message = DAMPING * message + (1 - DAMPING) * new
-            if moved < 1e-4:
+            for i in range(4):
+                for label in range(k):
+                    belief[:, label] += np.bincount(target[i], message[i][:, label], n).astype(np.float32)
+            moving &= moved > SETTLED
+            if not moving.any():
                 break
-        belief = own.copy()
-        np.add.at(belief, target, message)
         return belief.argmax(1)
 
     def added(self, texts: dict[int, str], graph: Graph) -> dict[int, list[Span]]:
         """Spans of unobserved nodes with a label; neighbours of one kind are one span."""
         found: dict[int, list[Span]] = defaultdict(list)
-        if graph.at:
+        if len(graph.label):
             labels = self.decode(graph)
-            for (document, start, end), label, known in zip(graph.at, labels.tolist(), graph.label, strict=True):
-                if label and known < 0:
-                    own = found[document]
-                    if own and own[-1][2] == label - 1 and not texts[document][own[-1][1] : start].strip(_EDGE):
-                        start = own.pop()[0]
-                    own.append((start, end, label - 1))
+            at = np.array(graph.at, np.int64).reshape(len(labels), 3)
+            new = np.flatnonzero((labels > 0) & (np.array(graph.label) < 0))
+            for (document, start, end), label in zip(at[new].tolist(), labels[new].tolist(), strict=True):
+                own = found[document]
+                if own and own[-1][2] == label - 1 and not texts[document][own[-1][1] : start].strip(_EDGE):
+                    start = own.pop()[0]
+                own.append((start, end, label - 1))
         return found
 
     def dump(self) -> str:
@@ -258,39 +305,44 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _pairs(edges: list[tuple[int, int]], labels: np.ndarray, n: int) -> np.ndarray:
-    a = np.array(edges, np.int64).reshape(-1, 2)
-    return np.bincount(labels[a[:, 0]] * n + labels[a[:, 1]], minlength=n * n).reshape(n, n).astype(float)
+def _pairs(edges: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(labels[edges[:, 0]] * n + labels[edges[:, 1]], minlength=n * n).reshape(n, n).astype(float)
 
 
-def _lift(edges: list[tuple[int, int]], labels: np.ndarray, n: int) -> np.ndarray:
+def _lift(edges: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
     """How much more often two labels are neighbours than by chance, in logarithms."""
     c = _pairs(edges, labels, n)
     by_chance = c.sum(1, keepdims=True) * c.sum(0, keepdims=True) / max(1.0, c.sum())
     return np.clip(np.log((c + 1) / (by_chance + 1)), -BOUND, BOUND)
 
 
-def _agreement(edges: list[tuple[int, int]], labels: np.ndarray, n: int) -> np.ndarray:
-    """Rewards for two similar tokens with one label, from how often pattern spans treat them alike."""
+def _agreement(edges: np.ndarray, labels: np.ndarray, n: int) -> float:
+    """A reward for two similar tokens with one label, from how often pattern spans treat them alike."""
     c = _pairs(edges, labels, n)
     alike = np.trace(c)
-    weight = np.log((alike + AGREE) / (c.sum() - alike + DISAGREE))
-    return np.eye(n) * np.clip(weight, 0, BOUND)
+    return float(np.clip(np.log((alike + AGREE) / (c.sum() - alike + DISAGREE)), 0, BOUND))
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Field | None:
-    """Trains the field on the pattern spans of about `sample` documents, in one task of bounded size."""
-    total = documents.count()
-    if not total:
+    """Trains the field on the pattern spans of about `sample` documents, in one task of bounded size.
+
+    Documents are drawn by a hash of id and text, so that rows that share an id are not drawn together.
+    """
+    seen = documents.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).first()
+    if not seen["n"]:
         return None
     ship(documents.sparkSession)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
-    texts = documents.where(F.coalesce(drawn, F.lit(False))).select("text").where(F.col("text").rlike("[0-9@]"))
+    share = min(1.0, sample / seen["n"], SAMPLE_CHARACTERS / max(1, seen["size"] or 0))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))
+    short = F.length("text") <= SAMPLE_LONGEST
+    texts = documents.where(drawn & short).select("text").distinct().where(F.col("text").rlike("[0-9@]"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         graph = Graph()
         for i, text in enumerate(sorted(frame["text"])):
             graph.add(i, text, base_spans(text), gold=True)
+        if not len(graph.label):
+            return pd.DataFrame({"field": []})
         return pd.DataFrame({"field": [Field.train(graph).dump()]})
 
     got = texts.groupBy(F.lit(0).alias("one")).applyInPandas(learn, "field string").first()
@@ -311,12 +363,20 @@ def find(texts: list[str | None], field: Field | None) -> list[tuple[list[Span],
     return [(b, sorted(b + extra.get(i, []), key=lambda s: (s[0], s[2], s[1]))) for i, b in enumerate(base)]
 
 
-#: Texts whose graphs are one field problem.
-TOGETHER = 500
+#: Texts, and characters of them, whose fields are decoded in one go; a longer text is one by itself.
+TOGETHER, CHARACTERS = 500, 2_000_000
 
 
-def _each(texts: list[str | None], field: Field | None) -> list[tuple[list[Span], list[Span]]]:
-    return [x for at in range(0, len(texts), TOGETHER) for x in find(texts[at : at + TOGETHER], field)]
+def _each(texts: list[str | None], field: Field | None) -> Iterator[tuple[list[Span], list[Span]]]:
+    held: list[str | None] = []
+    size = 0
+    for t in texts:
+        if held and (len(held) == TOGETHER or size + len(t or "") > CHARACTERS):
+            yield from find(held, field)
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    yield from find(held, field)
 
 
 def spans(documents: DataFrame, field: Field | None) -> DataFrame:
@@ -329,7 +389,7 @@ def spans(documents: DataFrame, field: Field | None) -> DataFrame:
         own = Field.load(shared.value)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = _each(b.column(1).to_pylist(), own)
+            found = list(_each(b.column(1).to_pylist(), own))
             columns = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
             digest = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
             return pa.RecordBatch.from_arrays(

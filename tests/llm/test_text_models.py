@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -155,7 +156,7 @@ def test_belief_propagation_is_exact_on_a_tree():
     n, k = 5, len(pii.KINDS) + 1
     field = pii.Field(rng.normal(size=(pii.BUCKETS, k)), np.zeros(k), rng.normal(size=(k, k)), np.eye(k) * 1.5)
     graph = pii.Graph()
-    graph.at = [(0, i, i + 1) for i in range(n)]
+    graph.at = [(0, i, i + 1) for i in range(n)]  # as the flat arrays have them
     graph.label, graph.features = [-1] * n, [[i] for i in range(n)]
     graph.chain, graph.skip = [(0, 1), (1, 2), (3, 4)], [(1, 3)]
     marginal = np.zeros((n, k))
@@ -167,6 +168,40 @@ def test_belief_propagation_is_exact_on_a_tree():
     assert field.decode(graph).tolist() == marginal.argmax(1).tolist()
 
 
+def test_fields_do_not_depend_on_other_documents(spark):
+    field = pii.fit(table(spark, BIG, "documents"))
+    texts = [r["text"] for r in table(spark, BIG, "documents").orderBy("doc_id").limit(300).collect()]
+    texts += ["call +1 (988) 555-2485 now " + "then 988-555-2485 again " * 200, None, "", "1.2.3.4 1-2-3-4 x@y.z"]
+    assert pii.find(texts, field) == [pii.find([t], field)[0] for t in texts]
+
+
+def test_skip_potentials_are_trained():
+    graph, texts = pii.Graph(), []
+    for i in range(300):
+        texts.append(f"mail a{i}@b.de or see a{i}@b.de and +1 (988) 555-{1000 + i} or +1 (988) 555-{1000 + i} of {i} items")
+        graph.add(i, texts[-1], pii.base_spans(texts[-1]), gold=True)
+    field = pii.Field.train(graph)
+    reward = field.skip[0, 0]
+    assert (field.skip == np.eye(5) * reward).all() and 1 < reward <= pii.BOUND
+    labels = np.array(graph.label)
+    skip = np.array(graph.skip).reshape(-1, 2)
+    assert (labels[skip[:, 0]] == labels[skip[:, 1]]).all()
+    graph.label = [-1] * len(labels)
+    assert (field.decode(graph) == labels).mean() > 0.95
+
+
+def test_a_text_of_numbers_takes_bounded_memory():
+    rng = np.random.default_rng(0)
+    text = " ".join(map(str, rng.integers(10**6, 10**8, 20_000)))
+    k = len(pii.KINDS) + 1
+    field = pii.Field(np.zeros((pii.BUCKETS, k)), np.array([1.5, 0, 0, 0, 0]), np.zeros((k, k)), np.eye(k) * 3)
+    tracemalloc.start()
+    pii.find([text], field)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150 * len(text)
+
+
 def test_pii_cases(spark, odd, empty):
     field = pii.fit(odd)
     got = rows(pii.spans(odd, field), "doc_id")
