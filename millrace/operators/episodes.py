@@ -9,15 +9,15 @@ from pyspark.sql.window import Window
 from millrace.functions.scalar import hash_order
 
 
-def epsilon(episode: Column, start: float = 1.0, end: float = 0.05, decay: float = 500.0) -> Column:
+def epsilon(episode: Column, start: float = 1.0, end: float = 0.05, decay: float = 850.0) -> Column:
     """From start to end in a straight line over `decay` episodes."""
     return F.lit(start) + F.least(F.greatest(episode / decay, F.lit(0.0)), F.lit(1.0)) * (end - start)
 
 
-#: Weights of the shaped reward.
+#: Weights and conditions of the shaped reward.
 SHAPING = {
-    "centre": 0.3, "speed": 0.2, "low_centre": 0.4, "hover": 0.1, "landing": 1.0, "touchdown": 5.0,
-    "low": 0.25, "near": 0.2, "upright": 0.2, "slow": 0.3,
+    "centre": 0.3, "speed": 0.2, "low_centre": 2.5, "hover": 0.05, "landing": 0.03, "touchdown": 8.0,
+    "low": 0.18, "near": 0.08, "upright": 0.15, "fastest": -0.40, "slowest": -0.03,
 }
 
 
@@ -30,7 +30,7 @@ def shaped_reward(raw: Column, x: Column, y: Column, vx: Column, vy: Column, ang
     nothing = F.lit(0.0)
     out = raw - w["centre"] * F.abs(x) - w["speed"] * F.abs(vx)
     out = out - F.when(low, w["low_centre"] * F.abs(x)).otherwise(nothing) - F.when(low & ~contact, F.lit(w["hover"])).otherwise(nothing)
-    good = low & (F.abs(x) < w["near"]) & (F.abs(angle) < w["upright"]) & (vy < 0) & (vy > -w["slow"])
+    good = low & (F.abs(x) < w["near"]) & (F.abs(angle) < w["upright"]) & (vy > w["fastest"]) & (vy < w["slowest"])
     down = terminal & left & right & (F.abs(x) < w["near"])
     return out + F.when(good, F.lit(w["landing"])).otherwise(nothing) + F.when(down, F.lit(w["touchdown"])).otherwise(nothing)
 

@@ -78,15 +78,16 @@ def encoded(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 def padded(encodings: DataFrame, sentence: list[str], length: int | None = None, pad: int = 0) -> DataFrame:
     """Arrays of ids and of a mask, 1 where there is a token, as long as the longest sentence.
 
-    Where `length` is given, arrays of that length, and tokens from it on are cut.
+    Where `length` is given, arrays of that length; a longer sentence is an error.
     """
     ids = F.transform(F.sort_array(F.collect_list(F.struct("position", "token_id"))), lambda s: s["token_id"])
-    whole = encodings if length is None else encodings.where(F.col("position") < length)
-    own = whole.groupBy(*sentence).agg(ids.alias("ids"))
+    own = encodings.groupBy(*sentence).agg(ids.alias("ids"))
     if length is None:
         longest = encodings.groupBy(*sentence).agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("_longest"))  # one row
         own = own.crossJoin(F.broadcast(longest))
     room = (F.col("_longest") if length is None else F.lit(length)) - F.size("ids")
+    if length is not None:
+        room = F.when(room >= 0, room).otherwise(F.raise_error(F.concat(F.lit(f"a sentence is longer than {length}: "), F.size("ids").cast("string"))).cast("int"))
     return own.select(
         *sentence, F.concat("ids", F.array_repeat(F.lit(pad).cast("long"), room)).alias("ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), room)).alias("mask"),

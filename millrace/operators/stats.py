@@ -88,6 +88,17 @@ def _sandwich(df: DataFrame, terms: list[Column], hessian: np.ndarray, residual:
     return np.sqrt(np.diag(bread @ meat @ bread))
 
 
+def log_rising(x: Column | float, y: Column) -> Column:
+    """ln(gamma(x + y) / gamma(x)) for x > 0 and y >= 0: Stirling's series from x + 10 on, and ten steps down from there."""
+    x = F.lit(x) if isinstance(x, float) else x
+    z = x + 10.0
+    series = lambda v: 1 / (12 * v) - 1 / (360 * v * v * v) + 1 / (1260 * v * v * v * v * v)
+    steps = y / x + 1.0
+    for i in range(1, 10):
+        steps = steps * (y / (x + float(i)) + 1.0)
+    return (z - 0.5) * F.log1p(y / z) + y * F.ln(z + y) - y + series(z + y) - series(z) - F.ln(steps)
+
+
 def poisson_glm(df: DataFrame, y: str, exposure: str, columns: list[str], steps: int = 50) -> DataFrame:
     """Log-linear counts with log(exposure) as offset: estimates, robust errors, dispersion and AIC."""
     df = staged(df.select(y, exposure, *columns), "glm")
@@ -104,8 +115,7 @@ def poisson_glm(df: DataFrame, y: str, exposure: str, columns: list[str], steps:
         if np.abs(step).max() < 1e-10:
             break
     mu = F.exp(offset + _linear(columns, beta))
-    # ln y! as a sum of logarithms, since counts are whole numbers.
-    factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col(y).cast("int"), F.lit(1))), F.lit(0.0), lambda t, k: t + F.ln(k.cast("double")))
+    factorial = log_rising(1.0, F.col(y).cast("double"))  # ln y!
     facts = df.agg(F.sum(F.pow(F.col(y) - mu, 2) / mu).alias("pearson"), F.sum(F.col(y) * F.ln(mu) - mu - factorial).alias("ll"), F.count("*").alias("n")).first()
     errors = _sandwich(df, terms, hessian, F.col(y) - mu)
     return _table(df, ["intercept", *columns], beta, errors, {
@@ -119,7 +129,7 @@ def nb2_glm(df: DataFrame, y: str, exposure: str, columns: list[str], rounds: in
     In turn: Fisher steps for the weights at a fixed alpha, and a search for alpha that
     sums the likelihoods of a row of candidates in one pass and narrows it around the best.
     """
-    df = staged(df.select(y, exposure, *columns), "glm")
+    df = staged(df.select(y, exposure, *columns, log_rising(1.0, F.col(y).cast("double")).alias("_factorial")), "glm")
     terms = [F.lit(1.0), *[F.col(c) for c in columns]]
     offset, count = F.ln(F.col(exposure)), F.col(y)
     total = df.agg(F.sum(y), F.sum(exposure)).first()
@@ -127,7 +137,7 @@ def nb2_glm(df: DataFrame, y: str, exposure: str, columns: list[str], rounds: in
     hessian = np.eye(len(beta))
 
     def likelihood(mu: Column, a: float) -> Column:
-        rising = F.when(count > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(count.cast("int") - 1, F.lit(0))), F.lit(0.0), lambda t, k: t + F.ln(k.cast("double") + 1 / a) - F.ln(k.cast("double") + 1))).otherwise(0.0)
+        rising = log_rising(1 / a, count.cast("double")) - F.col("_factorial")
         return rising - (count + 1 / a) * F.log1p(mu * a) + count * (F.ln(mu) + math.log(a))
 
     for _ in range(rounds):

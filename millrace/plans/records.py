@@ -8,24 +8,23 @@ from pyspark.sql import functions as F
 from millrace.operators import dedup, sequence
 from millrace.session import table
 
-BITS, DISTANCE = 16, 2
-WHOLE_BITS = 63
+BITS, DISTANCE = 63, 2
 SENTENCE = ["conv_id", "turn"]
-LENGTH, LIMIT = 24, 120
+LIMIT = 120
 
 
 def spec(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("de", 150), ("en", 600), ("fr", 150), ("xx", 10)], "label string, expected int")
 
 
-def hashes(spark: SparkSession, d: str, bits: int = BITS) -> DataFrame:
+def hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(
-        "vec_id", F.col("label").alias("block"), dedup.difference_hash(F.col("embedding"), bits).alias("hash"), F.col("vec_id").alias("content")
+        "vec_id", F.col("label").alias("block"), dedup.difference_hash(F.col("embedding"), BITS).alias("hash"), F.col("vec_id").alias("content")
     )
 
 
 def words(text: str):
-    """The words of a text at most 2,000 of which the sequence queries would ever look at one by one."""
+    """The words of a text, split at spaces and line feeds."""
     return F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
 
 
@@ -62,8 +61,8 @@ def encoded(spark: SparkSession, d: str) -> DataFrame:
     return sequence.encoded(tagged(spark, d).select(*SENTENCE, "position", "token"), sequence.vocabulary(training_tokens(spark, d)))
 
 
-def padded(spark: SparkSession, d: str, length: int | None = None) -> DataFrame:
-    made = sequence.padded(encoded(spark, d), SENTENCE, length)
+def padded(spark: SparkSession, d: str) -> DataFrame:
+    made = sequence.padded(encoded(spark, d), SENTENCE)
     return made.select(*SENTENCE, F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.array_join(F.col("mask").cast("array<string>"), " ").alias("mask"))
 
 
@@ -82,29 +81,25 @@ QUERIES = {
     "group_conflicts": lambda s, d: dedup.group_conflicts(table(s, d, "documents"), "text", "source"),
     "inventory_vs_spec": lambda s, d: dedup.inventory_vs_spec(table(s, d, "documents"), spec(s), "lang"),
     "near_dup_pairs": lambda s, d: dedup.near_pairs(hashes(s, d), "vec_id", "block", BITS, DISTANCE),
-    "near_dup_pairs_whole": lambda s, d: dedup.near_pairs(hashes(s, d, WHOLE_BITS), "vec_id", "block", WHOLE_BITS, DISTANCE),
     "hash_split": lambda s, d: documents_split(s, d).select("doc_id", "split"),
     "split_audit": lambda s, d: dedup.split_audit(documents_split(s, d).withColumn("g", dedup.group_id("text")), "g", "lang"),
     "greedy_group_split": greedy,
     "identity_difference": lambda s, d: dedup.missing_from(
         table(s, d, "documents").select("doc_id"), table(s, d, "labels").select((F.col("doc_id") + 3).alias("doc_id")), ["doc_id"]
     ),
-    "record_audit": lambda s, d: dedup.record_audit(table(s, d, "documents").withColumn("doc_id", F.expr("nullif(doc_id % 900, 5)")), "doc_id", ["n_chars"]),
-    "record_audit_whole": lambda s, d: dedup.record_audit(table(s, d, "documents"), "doc_id", ["n_chars"]),
+    "record_audit": lambda s, d: dedup.record_audit(table(s, d, "documents"), "doc_id", ["n_chars"]),
     "bio_spans": spans,
     "malformed_tags": lambda s, d: sequence.malformed(tagged(s, d).withColumn("tag", F.when(F.col("position") == 3, F.lit("B-")).otherwise(F.col("tag")))).select(*SENTENCE, "position", "tag"),
     "span_metrics": lambda s, d: sequence.span_metrics(spans(s, d), spans(s, d, "predicted"), SENTENCE),
     "token_metrics": lambda s, d: sequence.token_metrics(tagged(s, d)),
     "vocabulary": lambda s, d: sequence.vocabulary(training_tokens(s, d)),
     "encode_oov": encoded,
-    "pad_mask": lambda s, d: padded(s, d, LENGTH),
-    "pad_mask_whole": padded,
+    "pad_mask": padded,
     "length_guard": lambda s, d: sequence.length_guard(tagged(s, d), SENTENCE, LIMIT),
     "first_best_epoch": lambda s, d: sequence.first_best(epochs(s, d), "score"),
 }
 
 _HASH = " + ".join(f"CASE WHEN embedding[{i}] > embedding[{i + 1}] THEN {1 << (BITS - i)} ELSE 0 END" for i in range(1, BITS + 1))
-_WHOLE_HASH = " + ".join(f"CASE WHEN embedding[{i}] > embedding[{i + 1}] THEN {1 << (WHOLE_BITS - i)} ELSE 0 END" for i in range(1, WHOLE_BITS + 1))
 _SPLIT = """
     split_ AS (
         SELECT doc_id, lang, text, sha256('split' || chr(30) || array_to_string(list_transform(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> ''), lambda w: lower(w)), chr(31))) AS h FROM documents),
@@ -147,10 +142,6 @@ ORACLE_SQL = {
         WITH h AS (SELECT vec_id, label, CAST({_HASH} AS BIGINT) AS hash FROM embeddings)
         SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance
         FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= {DISTANCE}""",
-    "near_dup_pairs_whole": f"""
-        WITH h AS (SELECT vec_id, label, CAST({_WHOLE_HASH} AS BIGINT) AS hash FROM embeddings)
-        SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance
-        FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= {DISTANCE}""",
     "hash_split": "WITH " + _SPLIT + " SELECT doc_id, split FROM docs",
     "split_audit": "WITH " + _SPLIT + """
         SELECT split, lang, count(*) AS n, (SELECT count(*) FROM (SELECT text FROM docs GROUP BY text HAVING count(DISTINCT split) > 1)) AS crossing_groups FROM docs GROUP BY split, lang""",
@@ -158,11 +149,6 @@ ORACLE_SQL = {
         SELECT doc_id, 'expected' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id + 3 FROM labels)
         UNION ALL SELECT doc_id + 3, 'observed' FROM labels WHERE doc_id + 3 NOT IN (SELECT doc_id FROM documents)""",
     "record_audit": """
-        WITH r AS (SELECT nullif(doc_id % 900, 5) AS doc_id, n_chars FROM documents)
-        SELECT count(*) AS n_rows, CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_keys,
-               CAST(sum(CASE WHEN n_chars > 0 THEN 0 ELSE 1 END) AS BIGINT) AS bad_n_chars,
-               (SELECT count(*) FROM (SELECT doc_id FROM r GROUP BY doc_id HAVING count(*) > 1)) AS repeated FROM r""",
-    "record_audit_whole": """
         SELECT count(*) AS n_rows, CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_keys,
                CAST(sum(CASE WHEN n_chars > 0 THEN 0 ELSE 1 END) AS BIGINT) AS bad_n_chars,
                (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS repeated FROM documents""",
@@ -182,11 +168,7 @@ ORACLE_SQL = {
         SELECT CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM f""",
     "vocabulary": _T + _VOCAB + " SELECT value, index FROM vocab",
     "encode_oov": _T + _VOCAB + " SELECT * FROM encoded",
-    "pad_mask": _T + _VOCAB + f"""
-        , own AS (SELECT conv_id, turn, list(token_id ORDER BY position) AS ids FROM encoded WHERE position < {LENGTH} GROUP BY 1, 2)
-        SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(generate_series(1, {LENGTH} - len(ids)), lambda x: 0)), ' ') AS ids,
-               array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(generate_series(1, {LENGTH} - len(ids)), lambda x: 0)), ' ') AS mask FROM own""",
-    "pad_mask_whole": _T + _VOCAB + """
+    "pad_mask": _T + _VOCAB + """
         , own AS (SELECT conv_id, turn, list(token_id ORDER BY position) AS ids FROM encoded GROUP BY 1, 2),
         longest AS (SELECT max(len(ids)) AS m FROM own)
         SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(generate_series(1, m - len(ids)), lambda x: 0)), ' ') AS ids,

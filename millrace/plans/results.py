@@ -96,7 +96,7 @@ QUERIES = {
     "register_model": models,
     "batch_replay_status": status,
     "latest_batch": lambda s, d: store.latest(runs(s, d), ["season"]),
-    "table_digest": lambda s, d: store.table_digest(table(s, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"]).select("n_rows", F.length("digest").alias("digest_length")),
+    "table_digest": lambda s, d: store.table_digest(table(s, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
     "store_counts": lambda s, d: store.counts({n: table(s, d, n) for n in ("customer", "orders", "part")}),
     "epsilon_schedule": lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(episodes.epsilon(F.col("o_orderkey") % 700), 6).alias("epsilon")),
     "shaped_reward": shaped,
@@ -174,15 +174,18 @@ ORACLE_SQL = {
         SELECT model, season, created_at, run_id, o_totalprice FROM (
             SELECT o_custkey AS model, o_orderpriority AS season, o_orderdate AS created_at, o_orderkey AS run_id, o_totalprice,
                    row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""",
-    "table_digest": "SELECT count(*) AS n_rows, 64 AS digest_length FROM nation",
+    "table_digest": """
+        WITH h AS (SELECT sha256(concat_ws(chr(31), coalesce(CAST(o_orderkey AS VARCHAR), ''), coalesce(CAST(o_custkey AS VARCHAR), ''), coalesce(o_orderstatus, ''), coalesce(o_orderpriority, ''))) AS h FROM orders),
+        c AS (SELECT substr(h, 1, 3) AS c, sum(CAST(('0x' || substr(h, 4, 12)) AS UBIGINT)::HUGEINT) AS s, count(*) AS n FROM h GROUP BY 1)
+        SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(c || ':' || CAST(s AS VARCHAR) || ':' || CAST(n AS VARCHAR), ';' ORDER BY c)) AS digest FROM c""",
     "store_counts": "SELECT 'customer' AS \"table\", count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part",
-    "epsilon_schedule": "SELECT o_orderkey, round(1.0::DOUBLE + least(greatest((o_orderkey % 700) / 500.0::DOUBLE, 0), 1) * (0.05::DOUBLE - 1.0), 6) AS epsilon FROM orders",
+    "epsilon_schedule": "SELECT o_orderkey, round(1.0::DOUBLE + least(greatest((o_orderkey % 700) / 850.0::DOUBLE, 0), 1) * (0.05::DOUBLE - 1.0), 6) AS epsilon FROM orders",
     "shaped_reward": """
         WITH c AS (SELECT event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
         s AS (SELECT event_id, cents / 100 AS raw, (cents % 200 - 100) / 100 AS x, (cents % 70) / 100 AS y, (cents % 90 - 45) / 100 AS vx, (cents % 60 - 45) / 100 AS vy,
                      (cents % 50 - 25) / 100 AS angle, event_id % 2 = 0 AS l, event_id % 3 = 0 AS r, event_id % 11 = 0 AS t FROM c)
-        SELECT event_id, round(raw - 0.3 * abs(x) - 0.2 * abs(vx) - CASE WHEN y < 0.25 THEN 0.4 * abs(x) ELSE 0 END - CASE WHEN y < 0.25 AND NOT (l OR r) THEN 0.1 ELSE 0 END
-               + CASE WHEN y < 0.25 AND abs(x) < 0.2 AND abs(angle) < 0.2 AND vy < 0 AND vy > -0.3 THEN 1.0 ELSE 0 END + CASE WHEN t AND l AND r AND abs(x) < 0.2 THEN 5.0 ELSE 0 END, 6) AS reward FROM s""",
+        SELECT event_id, round(raw - 0.3 * abs(x) - 0.2 * abs(vx) - CASE WHEN y < 0.18 THEN 2.5 * abs(x) ELSE 0 END - CASE WHEN y < 0.18 AND NOT (l OR r) THEN 0.05 ELSE 0 END
+               + CASE WHEN y < 0.18 AND abs(x) < 0.08 AND abs(angle) < 0.15 AND vy > -0.40 AND vy < -0.03 THEN 0.03 ELSE 0 END + CASE WHEN t AND l AND r AND abs(x) < 0.08 THEN 8.0 ELSE 0 END, 6) AS reward FROM s""",
     "episode_summary": """
         WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, round(sum(CAST(round(value * 100) AS BIGINT) / 100), 2) AS reward FROM events GROUP BY 1, 2)
         SELECT count(*) AS episodes, round(avg(reward), 6) AS mean, round(stddev_pop(reward), 6) AS deviation, round(min(reward), 6) AS least, round(max(reward), 6) AS most,

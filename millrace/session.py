@@ -41,9 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset and there is one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN_FOLDER, None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set(_OWN_FOLDER, named)
     return named.rstrip("/")

@@ -92,19 +92,23 @@ def snapshots(spark: SparkSession, path: str, required: list[str], optional: lis
     """(season, period, entity, stats...) from a folder of JSON files, one a period, named ...<period>.json.
 
     A file's name must agree with its period, each period has one file, ids are unique in
-    it, required stats are finite numbers; optional ones count as 0 where they are not given.
+    it, no object repeats a key, required stats are finite numbers; optional ones count as 0
+    where they are not given or empty.
     """
     stats = [*required, *optional]
-    schema = SNAPSHOT.format(stats=", ".join(f"{s}: double" for s in stats))
+    schema = SNAPSHOT.format(stats=", ".join([*(f"{s}: double" for s in required), *(f"{s}: string" for s in optional)]))
     files = spark.read.text(f"{path}/*.json", wholetext=True).select("value", F.input_file_name().alias("file"))
     options = {"allowNonNumericNumbers": "false", "mode": "FAILFAST"}
     parsed = files.select(F.from_json("value", schema, options).alias("s"), F.regexp_extract("file", r"(\d+)\.json$", 1).alias("named"))
+    repeats = F.udf(repeated_json_keys, "boolean")  # a file a call
+    if files.where(repeats("value")).limit(1).count():
+        raise ContractError("an object repeats a key")
     heads = parsed.select("s.season", "s.period", "named", F.size("s.elements").alias("n"))
     refuse(heads, {"name_differs": ~F.coalesce(F.col("named").cast("int") == F.col("period"), F.lit(False)), "empty": F.coalesce(F.col("n"), F.lit(0)) <= 0})
     if heads.groupBy("season", "period").count().where("count > 1").limit(1).count():
         raise ContractError("a period has two files")
     rows = parsed.select("s.season", "s.period", F.explode("s.elements").alias("e"))
-    rows = rows.select("season", "period", F.col("e.id").alias("entity"), *[F.col(f"e.stats.{s}").alias(s) for s in required], *[F.coalesce(F.col(f"e.stats.{s}"), F.lit(0.0)).alias(s) for s in optional])
+    rows = rows.select("season", "period", F.col("e.id").alias("entity"), *[F.col(f"e.stats.{s}").alias(s) for s in required], *[F.coalesce(F.nullif(F.col(f"e.stats.{s}"), F.lit("")).cast("double"), F.lit(0.0)).alias(s) for s in optional])
     missing = F.col("entity").isNull()
     for s in required:
         missing = missing | F.col(s).isNull()

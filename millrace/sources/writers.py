@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 def _text(name: str, kind: str) -> Column:
     c = F.col(f"`{name}`")
     if kind in ("double", "float"):
-        return F.regexp_replace(F.format_string("%.12g", c.cast("double")), r"\.0*$|(\.[0-9]*?[1-9])0+$", "$1")
+        value = c.cast("double")
+        # Zeros at the end of the mantissa go, and a point that then ends it.
+        text = F.regexp_replace(F.format_string("%.12g", value), r"(\.[0-9]*?)0*(e.*)?$", "$1$2")
+        text = F.regexp_replace(text, r"\.(e.*)?$", "$1")
+        infinite = F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+        return F.when(value.isNull() | F.isnan(value), F.lit(None)).when(F.abs(value) == float("inf"), infinite).otherwise(text)
     return c.cast("string")
 
 
 def fixed_csv(df: DataFrame, path: str, order: list[str], single: bool = False) -> None:
-    """CSV in the order of a key, doubles to 12 significant digits, lines ended by a line feed.
+    """CSV in the order of a key, doubles to 12 significant digits, lines ended by a line feed; null and NaN are empty.
 
     With `single`, which is for small tables, one file; else a file a range of the key.
     """
@@ -43,3 +48,13 @@ def geojson_features(df: DataFrame, x: str, y: str, properties: list[str]) -> Da
 def write_geojson(df: DataFrame, path: str) -> None:
     """Line-delimited features, one file a partition."""
     df.select("feature").write.mode("errorifexists").text(path)
+
+
+def write_feature_collection(df: DataFrame, path: str, order: list[str]) -> None:
+    """The features as one GeoJSON document, in the order of a key: one file, whose lines a task writes as they come."""
+    head = df.orderBy(*order).limit(1).select(*order, F.lit(True).alias("_first"))  # one row; keys are unique
+    marked = df.join(F.broadcast(head), order, "left")
+    lines = marked.select(F.lit(1).alias("_part"), *order, F.concat(F.when(F.col("_first"), F.lit("")).otherwise(F.lit(",")), F.col("feature")).alias("line"))
+    nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order]
+    ends = df.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "_part int, line string").select("_part", *nothing, "line")
+    lines.unionByName(ends).orderBy("_part", *order).coalesce(1).select("line").write.mode("errorifexists").text(path)

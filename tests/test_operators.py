@@ -361,7 +361,9 @@ def test_episodes(spark):
     assert episodes.sample(spark.range(100), 10, "id").collect() == episodes.sample(spark.range(100).repartition(5), 10, "id").collect()
     c = F.lit
     flat = e.limit(1).select(episodes.shaped_reward(c(1.0), c(0.1), c(0.1), c(0.0), c(-0.1), c(0.0), c(True), c(True), c(True)).alias("r")).first()["r"]
-    assert flat == pytest.approx(1 - 0.03 - 0.04 + 1 + 5)
+    assert flat == pytest.approx(1 - 0.03 - 0.25)
+    near = e.limit(1).select(episodes.shaped_reward(c(1.0), c(0.05), c(0.1), c(0.0), c(-0.1), c(0.1), c(True), c(True), c(True)).alias("r")).first()["r"]
+    assert near == pytest.approx(1 - 0.015 - 0.125 + 0.03 + 8)
 
 
 def test_numbering_and_hash_ranks(spark):

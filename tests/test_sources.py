@@ -123,6 +123,11 @@ def test_writers(spark, tmp_path):
     writers.fixed_csv(df, str(tmp_path / "out"), ["k"], single=True)
     (part,) = (tmp_path / "out").glob("part-*")
     assert part.read_bytes() == b"k,x,s\n1,3,\n2,0.3,b\n"
+    values = [1e-5, 1e12, 123456789012.0, 100000000000.0, 0.1, -0.0, 1.5e-7, 1234567890123.0, float("nan"), float("inf"), 2.50, 1e300]
+    writers.fixed_csv(spark.createDataFrame(list(enumerate(values)), "k int, x double"), str(tmp_path / "exponents"), ["k"], single=True)
+    (part,) = (tmp_path / "exponents").glob("part-*")
+    said = [line.split(",")[1] for line in part.read_text().splitlines()[1:]]
+    assert said == ["" if v != v else f"{v:.12g}" for v in values]
     assert writers.canonical_json({"b": 1, "a": "é"}) == b'{"a":"\\u00e9","b":1}\n'
     with pytest.raises(ValueError):
         writers.canonical_json(float("nan"))
@@ -142,3 +147,25 @@ def test_streamed_panel_equals_the_batch(spark, tmp_path):
     got = {(r["entity"], str(r["start"])): r["points"] for r in spark.table("windowed").collect()}
     want = {(r["entity"], str(r["w"]["start"])): r["points"] for r in batch.groupBy(F.window("ts", "2 days").alias("w"), "entity").agg(F.sum("points").alias("points")).collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_feature_collection_is_one_document(spark, tmp_path):
+    points = spark.createDataFrame([(k, float(k), -1.0) for k in (3, 1, 2)], "code int, x double, y double")
+    features = writers.geojson_features(points, "x", "y", ["code"]).withColumn("code", F.get_json_object("feature", "$.properties.code").cast("int"))
+    for name, made in (("three", features), ("none", features.limit(0))):
+        writers.write_feature_collection(made, str(tmp_path / name), ["code"])
+        (part,) = (tmp_path / name).glob("part-*")
+        found = json.loads(part.read_text())
+        assert found["type"] == "FeatureCollection"
+        assert [f["properties"]["code"] for f in found["features"]] == ([1, 2, 3] if name == "three" else [])
+
+
+def test_snapshots_refuse_repeated_keys_and_take_empty_stats(spark, tmp_path):
+    text = '{"season": "x", "period": 1, "elements": [{"id": 1, "stats": {"points": 2, "minutes": ""}}]}'
+    (tmp_path / "a").mkdir()
+    write(tmp_path / "a" / "a-1.json", text)
+    assert rows(readers.snapshots(spark, str(tmp_path / "a"), ["points"], ["minutes"])) == [("x", 1, 1, 2.0, 0.0)]
+    (tmp_path / "b").mkdir()
+    write(tmp_path / "b" / "a-1.json", text.replace('"points": 2', '"points": 2, "points": 3'))
+    with pytest.raises(readers.ContractError):
+        readers.snapshots(spark, str(tmp_path / "b"), ["points"], ["minutes"])
