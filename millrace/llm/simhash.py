@@ -21,7 +21,9 @@ pair to be within one bit of each other in one of them (Layout). Balls of radius
 looked up segment by segment, among sets of about the same size; what is found is
 verified by the complete distance and then by the sets themselves. In a first
 round each text comes with the nearest and the smallest of what it looks at; a second
-one takes all pairs that are left between different components.
+one finds all pairs that are left between different components, and verifies them where
+the sets of both are at hand: blocks of similar sets meet two by two, and only edges that
+connect components come out.
 
 Cases: null and empty texts, and those of white space only, have the fingerprint
 zero, which is linked like any other. A null id cannot be a component's smallest;
@@ -451,7 +453,7 @@ def _dealt(nodes: DataFrame, total: int, layout: Layout, every: bool) -> DataFra
     segments = F.array(*[F.struct(F.lit(k).alias("segment"), layout.value(k).alias("v")) for k in range(layout.count)])
     flips = [0, *(1 << b for b in range(prefix))]
     visits = F.array(*[F.struct(F.lit(step).cast("long").alias("step"), F.lit(flip).cast("long").alias("flip")) for step in (0, 1) for flip in flips])
-    columns = ["node", "root", "n", *layout.names]
+    columns = [c for c in nodes.columns if c not in layout.names] + layout.names
     rows = (
         nodes.select(*columns, size.alias("size"), F.explode(segments).alias("s"))
         .select(*columns, "size", "s.*", F.explode(visits).alias("t"))
@@ -483,8 +485,8 @@ def near_pairs(
 
     For each row, the values of a ball of radius 1 round its low bits are looked up
     among the table's own rows, and what is found is verified by the complete distance.
-    `every`: all such pairs that no earlier segment has. Else for each row the nearest
-    and the smallest of what it looks at: at most 2 * WINDOW entries with a value, and the
+    `every`: all such pairs that no earlier segment has, by their places. Else by their
+    nodes, and for each row the nearest and the smallest of what it looks at: at most 2 * WINDOW entries with a value, and the
     smallest of them all. A row that would have more to look at, as have all of a table
     that is `split`, comes as a pair with itself.
     """
@@ -561,7 +563,7 @@ def near_pairs(
         for looked in looked_up(flip):
             for left, right, apart in verified(*looked):
                 if every:
-                    yield np.minimum(node[left], node[right]), np.maximum(node[left], node[right]), apart
+                    yield left, right, apart
                     continue
                 for x, y in ((left, right), (right, left)):
                     np.minimum.at(smallest, x, node[y])
@@ -580,32 +582,96 @@ def near_pairs(
         yield left_over, left_over, np.zeros(len(left_over), np.int64)
 
 
-def _pairs(nodes: DataFrame, layout: Layout, every: bool) -> DataFrame:
-    """Pairs a <= b of nodes (node, root, n, fp0 ...) and their distance: see near_pairs()."""
+def _pairs(nodes: DataFrame, layout: Layout) -> DataFrame:
+    """Some pairs a <= b of nodes (node, root, n, fp0 ...) and their distance, a few a node: see near_pairs()."""
     total = nodes.count()
-    dealt = _dealt(nodes, total, layout, every)
     low_bits = layout.bits - layout.prefix(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _by_key(batches, 2):
             split, segment, own, low, node, root, n, *words = columns[2:]
             fps = np.stack(words, 1).view(np.uint64)
-            found, size = [], 0
-            for got in near_pairs(layout, low_bits, bool(split[0]), int(segment[0]), own, low, node, root, n, fps, every):
-                found.append(got)
-                size += len(got[0])
-                if size >= PAIRS_AT_ONCE:
-                    yield _batch(found)
-                    found, size = [], 0
-            if size:
-                yield _batch(found)
-
-    def _batch(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b", "d"])
+            for got in near_pairs(layout, low_bits, bool(split[0]), int(segment[0]), own, low, node, root, n, fps, False):
+                if len(got[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["a", "b", "d"])
 
+    dealt = _dealt(nodes.select("node", "root", "n", *layout.names), total, layout, False)
     return dealt.repartition("table", "part").sortWithinPartitions("table", "part").mapInArrow(run, "a long, b long, d long")
 
 
+def _units(nodes: DataFrame, layout: Layout) -> DataFrame:
+    """unit and node: for each two blocks (or one) with near pairs of different roots between them, the nodes of these pairs.
+
+    So pairs, of which a dense group has very many, never leave the task that finds them.
+    """
+    total = nodes.count()
+    low_bits = layout.bits - layout.prefix(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _by_key(batches, 2):
+            split, segment, own, low, node, root, n, block, *words = columns[2:]
+            fps = np.stack(words, 1).view(np.uint64)
+            found = np.empty((0, 2), np.int64)
+            for left, right, _ in near_pairs(layout, low_bits, bool(split[0]), int(segment[0]), own, low, node, root, n, fps, True):
+                least, most = np.minimum(block[left], block[right]), np.maximum(block[left], block[right])
+                unit = _mixed(least.view(np.uint64) * _MIX[1] + most.view(np.uint64), 1).view(np.int64)
+                some = np.stack((np.concatenate((unit, unit)), np.concatenate((node[left], node[right]))), 1)
+                found = np.unique(np.concatenate((found, some)), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["unit", "node"])
+
+    dealt = _dealt(nodes.select("node", "root", "n", "block", *layout.names), total, layout, True)
+    found = dealt.repartition("table", "part").sortWithinPartitions("table", "part").mapInArrow(run, "unit long, node long")
+    return found.distinct()
+
+
+def unit_edges(node: np.ndarray, root: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], far: int) -> list[tuple[int, int]]:
+    """Edges between similar sets of a unit that connect what these roots and the edges before do not."""
+    every, number = np.unique(root, return_inverse=True)
+    forest = _Forest(len(every))
+    n = np.array([len(s) for s in sets])
+    edges = []
+    for i in range(len(node) - 1):
+        apart = np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(1, dtype=np.int64)
+        may = (apart <= far) & (forest.root[number[i + 1 :]] != forest.root[number[i]])
+        may &= np.minimum(n[i + 1 :], n[i]) * SIMILAR_OF[1] >= np.maximum(n[i + 1 :], n[i]) * SIMILAR_OF[0]
+        places = np.flatnonzero(may)
+        for j in (places[np.argsort(apart[places], kind="stable")] + i + 1).tolist():
+            if forest.root[number[i]] != forest.root[number[j]] and similar(sets[i], sets[j]):
+                forest.link(number[i : i + 1], number[j : j + 1])
+                edges.append((int(node[i]), int(node[j])))
+    return edges
+
+
+def _verified_units(units: DataFrame, nodes: DataFrame, sets: DataFrame, layout: Layout) -> DataFrame:
+    """Edges a, b between similar sets of each unit (unit, node), by nodes (node, root, fp0 ...) and sets (node, set)."""
+    names = layout.names
+    rows = units.join(nodes.select("node", "root", *names), "node").join(sets.select("node", "set"), "node").select("unit", "node", "root", "set", *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            node, root, sets, *words = zip(*held, strict=True)
+            edges = unit_edges(np.array(node), np.array(root), np.array(words, np.int64).T.copy().view(np.uint64), list(sets), layout.far)
+            a, b = zip(*edges, strict=True) if edges else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for unit, node, root, packed, *words in zip(*columns, strict=True):
+                if held and unit != last:
+                    yield done()
+                    held = []
+                last = unit
+                held.append((node, root, np.frombuffer(packed, "<u8"), *words))
+        if held:
+            yield done()
+
+    return rows.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
     """The columns of each run of rows that are equal in the first `width` columns, of sorted batches of numbers."""
     held: list[list[np.ndarray]] = []
@@ -702,7 +768,7 @@ def _groups(documents: DataFrame, described: DataFrame, shingle: int, layout: La
     """node and root of the nodes that are not roots of their groups; None if no two nodes may be similar."""
     names = layout.names
     each = staged(described.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *names)]), "distinct")
-    found = staged(_pairs(each.withColumn("root", F.col("node")), layout, False), "near")
+    found = staged(_pairs(each.withColumn("root", F.col("node")), layout), "near")
     if found.isEmpty():
         return None
     some = found.where("a <> b")
@@ -713,10 +779,10 @@ def _groups(documents: DataFrame, described: DataFrame, shingle: int, layout: La
     sets = staged(_sets(documents, described, staged(_blocks(found), "blocks"), shingle), "sets")
     edges = staged(_verified(first, sets), "edges")
     # All others between the components that these have.
-    rooted = each.join(sets.select("node"), "node", "left_semi").join(components(edges), "node", "left")
-    active = staged(rooted.select("node", F.coalesce("root", "node").alias("root"), "n", *names), "active")
-    others = staged(_pairs(active, layout, True).select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
-    return components(edges.unionByName(staged(_verified(others, sets), "edges")))
+    rooted = each.join(sets.select("node", "block"), "node").join(components(edges), "node", "left")
+    active = staged(rooted.select("node", F.coalesce("root", "node").alias("root"), "n", "block", *names), "active")
+    units = staged(_units(active, layout), "units")
+    return components(edges.unionByName(staged(_verified_units(units, active, sets, layout), "edges")))
 
 
 def _with_row(documents: DataFrame) -> DataFrame:
