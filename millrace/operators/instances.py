@@ -21,29 +21,40 @@ BOUNDARY = 3
 ACTIVE = (4, 5, 6)
 
 
-def boundary_excluded(points: DataFrame) -> DataFrame:
-    """Predictions that are left out, with their size and boundary points."""
-    sizes = points.where(~F.col("pred").isin(*IGNORED)).groupBy("plot", "pred").agg(
-        F.count("*").alias("n"), F.sum(flag(F.col("cls") == BOUNDARY)).alias("boundary")
+def counted(points: DataFrame) -> DataFrame:
+    """How many points each (plot, pred, ref) has (column n), of them in the boundary class (boundary) and where the reference counts (live).
+
+    All else comes from these counts: points are read and shuffled once, as an exchange that later steps share.
+    """
+    return points.groupBy("plot", "pred", "ref").agg(
+        F.count("*").alias("n"), F.sum(flag(F.col("cls") == BOUNDARY)).alias("boundary"), F.sum(flag(F.col("cls").isin(*ACTIVE) & (F.col("ref") > 0))).alias("live")
     )
+
+
+def _excluded(counts: DataFrame) -> DataFrame:
+    sizes = counts.where(~F.col("pred").isin(*IGNORED)).groupBy("plot", "pred").agg(F.sum("n").alias("n"), F.sum("boundary").alias("boundary"))
     return sizes.where(2 * F.col("boundary") > F.col("n"))
 
 
+def boundary_excluded(points: DataFrame) -> DataFrame:
+    """Predictions that are left out, with their size and boundary points."""
+    return _excluded(counted(points))
+
+
 def active(points: DataFrame) -> DataFrame:
-    """Points with whether their prediction and their reference count."""
-    out = boundary_excluded(points).select("plot", "pred", F.lit(True).alias("_out"))
-    return points.join(out, ["plot", "pred"], "left").select(
-        "plot", "pred", "ref",
-        (~F.col("pred").isin(*IGNORED) & F.col("_out").isNull()).alias("pa"), (F.col("cls").isin(*ACTIVE) & (F.col("ref") > 0)).alias("ra"),
-    )
+    """The counts of counted(), with whether the prediction counts (pa)."""
+    counts = counted(points)
+    out = _excluded(counts).select("plot", "pred", F.lit(True).alias("_out"))
+    own = ~F.col("pred").isin(*IGNORED) & F.col("_out").isNull()
+    return counts.join(out, ["plot", "pred"], "left").select("plot", "pred", "ref", "n", "live", F.coalesce(own, F.lit(False)).alias("pa"))
 
 
 def overlaps(points: DataFrame) -> DataFrame:
     """Pairs (plot, pred, ref) that share points: the shared ones, and the size of the union. No pair without any is made."""
     a = active(points)
-    preds = a.where("pa").groupBy("plot", "pred").agg(F.count("*").alias("_p"))
-    refs = a.where("ra").groupBy("plot", "ref").agg(F.count("*").alias("_r"))
-    shared = a.where("pa AND ra").groupBy("plot", "pred", "ref").agg(F.count("*").alias("shared"))
+    preds = a.where("pa").groupBy("plot", "pred").agg(F.sum("n").alias("_p"))
+    refs = a.where("live > 0").groupBy("plot", "ref").agg(F.sum("live").alias("_r"))
+    shared = a.where("pa AND live > 0").select("plot", "pred", "ref", F.col("live").alias("shared"))
     return shared.join(preds, ["plot", "pred"]).join(refs, ["plot", "ref"]).select(
         "plot", "pred", "ref", "shared", (F.col("_p") + F.col("_r") - F.col("shared")).alias("whole")
     )
@@ -119,8 +130,8 @@ def plot_scores(points: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row a plot: points, instances, true and false positives, false negatives, precision, recall, F1, matched IoU."""
     a = active(points)
     sizes = a.groupBy("plot").agg(
-        F.count("*").alias("points"), F.sum(flag(F.col("pa") | F.col("ra"))).alias("evaluated"),
-        F.countDistinct(F.when(F.col("pa"), F.col("pred"))).alias("predicted"), F.countDistinct(F.when(F.col("ra"), F.col("ref"))).alias("referenced"),
+        F.sum("n").alias("points"), F.sum(F.when(F.col("pa"), F.col("n")).otherwise(F.col("live"))).alias("evaluated"),
+        F.countDistinct(F.when(F.col("pa"), F.col("pred"))).alias("predicted"), F.countDistinct(F.when(F.col("live") > 0, F.col("ref"))).alias("referenced"),
     )
     out = boundary_excluded(points).groupBy("plot").agg(F.count("*").alias("excluded"))
     found = matches(points, threshold).groupBy("plot").agg(

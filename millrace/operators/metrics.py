@@ -79,11 +79,19 @@ def confusion_matrix(df: DataFrame, labels: list) -> DataFrame:
 def class_counts(df: DataFrame, labels: list) -> DataFrame:
     """True positives, predictions and support of each label, also of those that do not occur."""
     every = df.sparkSession.createDataFrame([(k,) for k in labels], "label int")
-    hits = df.where(F.col("actual") == F.col("predicted")).groupBy(F.col("actual").alias("label")).agg(F.count("*").alias("tp"))
-    said = df.groupBy(F.col("predicted").alias("label")).agg(F.count("*").alias("predicted"))
-    real = df.groupBy(F.col("actual").alias("label")).agg(F.count("*").alias("support"))
-    out = F.broadcast(every).join(hits, "label", "left").join(said, "label", "left").join(real, "label", "left")
-    return out.na.fill(0, ["tp", "predicted", "support"])
+    return F.broadcast(every).join(sides(df, "actual", "predicted", "label"), "label", "left").na.fill(0, ["tp", "predicted", "support"])
+
+
+def sides(df: DataFrame, actual: str, predicted: str, label: str) -> DataFrame:
+    """tp, predicted and support of each label that occurs on either side: one pass, by the counts of pairs of labels."""
+    pairs = df.groupBy(F.col(actual).alias("_a"), F.col(predicted).alias("_p")).agg(F.count("*").alias("_n"))
+    none = F.lit(0).cast("long")
+    both = F.array(
+        F.struct(F.col("_a").alias("label"), F.when(F.col("_a") == F.col("_p"), F.col("_n")).otherwise(none).alias("tp"), none.alias("predicted"), F.col("_n").alias("support")),
+        F.struct(F.col("_p").alias("label"), none.alias("tp"), F.col("_n").alias("predicted"), none.alias("support")),
+    )
+    each = pairs.select(F.explode(both).alias("s")).where(F.col("s.label").isNotNull())
+    return each.groupBy(F.col("s.label").alias(label)).agg(*[F.sum(f"s.{c}").alias(c) for c in ("tp", "predicted", "support")])
 
 
 def class_prf(df: DataFrame, labels: list) -> DataFrame:

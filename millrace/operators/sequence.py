@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.scalar import flag, ratio, whole_match
+from millrace.operators.metrics import sides
 from millrace.operators.ranking import numbered
 
 PAD, UNK = "<pad>", "<unk>"
@@ -49,11 +50,8 @@ def span_metrics(expected: DataFrame, predicted: DataFrame, sentence: list[str])
 
 def token_metrics(tokens: DataFrame, expected: str = "tag", predicted: str = "predicted") -> DataFrame:
     """Accuracy, macro F1 and support-weighted F1 over the tags that occur on either side."""
-    hit = tokens.where(F.col(expected) == F.col(predicted)).groupBy(F.col(expected).alias("tag")).agg(F.count("*").alias("tp"))
-    real = tokens.groupBy(F.col(expected).alias("tag")).agg(F.count("*").alias("support"))
-    said = tokens.groupBy(F.col(predicted).alias("tag")).agg(F.count("*").alias("said"))
-    c = real.join(said, "tag", "full").join(hit, "tag", "left").na.fill(0)
-    f1 = ratio(2 * F.col("tp"), F.col("support") + F.col("said"))
+    c = sides(tokens, expected, predicted, "tag")
+    f1 = ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))
     return c.agg(
         F.sum("support").alias("n"), ratio(F.sum("tp"), F.sum("support"), 6).alias("accuracy"), F.round(F.avg(f1), 6).alias("macro_f1"),
         ratio(F.sum(f1 * F.col("support")), F.sum("support"), 6).alias("weighted_f1"),
@@ -106,3 +104,16 @@ def first_best(history: DataFrame, score: str, epoch: str = "epoch") -> DataFram
         best["epoch"].alias("best_epoch"), (-best["minus"]).alias("best_score"),
         ((F.min(epoch) == 1) & (F.max(epoch) == F.count("*")) & (F.countDistinct(epoch) == F.count("*"))).alias("consecutive"),
     )
+
+
+def early_stop(history: DataFrame, run: list[str], score: str, patience: int, epoch: str = "epoch") -> DataFrame:
+    """A row a run: the epoch after which it stops, since `patience` epochs in a row were no better than the best, and the best one until then.
+
+    A run that never waits so long stops after its last epoch. Epochs run from 1 without a gap.
+    """
+    w = Window.partitionBy(*run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    best = F.max(F.struct(F.col(score), (-F.col(epoch)).alias("minus"))).over(w)
+    seen = history.withColumn("_best", best).withColumn("_waited", F.col(epoch) + F.col("_best.minus"))
+    end = F.struct(F.col(epoch).alias("at"), (-F.col("_best.minus")).alias("best"))
+    last = F.coalesce(F.min(F.when(F.col("_waited") >= patience, end)), F.max(end))
+    return seen.groupBy(*run).agg(last["at"].alias("stopped"), last["best"].alias("best_epoch"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import contracts, flows, panel, records, results, spatial
+from millrace.plans import contracts, flows, panel, records, results, spatial, stores
 
-_FAMILIES = (flows, spatial, panel, records, results, contracts)
+_FAMILIES = (flows, spatial, panel, records, results, contracts, stores)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLE_SQL.items()}

@@ -50,7 +50,7 @@ def strict_csv(spark: SparkSession, path: str, columns: list[str], exact: bool =
     bad = "_corrupt"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, bad]])
     rows = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, quote='"', escape='"')
-    rows = rows.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in names], bad).cache()  # Spark wants the bad column cached or used with others
+    rows = rows.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in names], bad)
     blank = F.lit(True)
     for c in names:
         blank = blank & (F.coalesce(F.col(c), F.lit("")) == "")
