@@ -24,7 +24,7 @@ ACTIVE = (4, 5, 6)
 def counted(points: DataFrame) -> DataFrame:
     """How many points each (plot, pred, ref) has (column n), of them in the boundary class (boundary) and where the reference counts (live).
 
-    All else comes from these counts: points are read and shuffled once, as an exchange that later steps share.
+    All else comes from these counts, so no point is joined. Each use plans them anew with the columns that it needs.
     """
     return points.groupBy("plot", "pred", "ref").agg(
         F.count("*").alias("n"), F.sum(flag(F.col("cls") == BOUNDARY)).alias("boundary"), F.sum(flag(F.col("cls").isin(*ACTIVE) & (F.col("ref") > 0))).alias("live")

@@ -408,3 +408,9 @@ def test_padding_is_to_the_longest_sentence(spark):
     tokens = [("a", i, i + 2) for i in range(40)] + [("b", 0, 9)]
     got = {r["s"]: (r["ids"], r["mask"]) for r in sequence.padded(spark.createDataFrame(tokens, "s string, position int, token_id long"), ["s"]).collect()}
     assert got == {"a": (list(range(2, 42)), [1] * 40), "b": ([9] + [0] * 39, [1] + [0] * 39)}
+
+
+def test_early_stop_waits_for_patience_and_keeps_the_first_best(spark):
+    scores = {"a": [1.0, 3.0, 3.0, 2.0, 9.0], "b": [1.0, 2.0, 1.0], "c": [5.0]}
+    history = spark.createDataFrame([(k, i + 1, s) for k, v in scores.items() for i, s in enumerate(v)], "run string, epoch int, score double")
+    assert rows(sequence.early_stop(history, ["run"], "score", 2)) == [("a", 4, 2), ("b", 3, 2), ("c", 1, 1)]
