@@ -71,6 +71,9 @@ BIT_APART, MISSED, FAR = 0.17, 0.01, 0.25
 SIZE_STEP, SIZES_APART, MAX_SIZES = 1.26, 8, 256
 #: Rows of a table of keep_first(), about; rows beyond which a table is dealt out in parts; what a row looks at to each side at first.
 NEAR_GROUP, TABLE_ROWS, WINDOW = 1 << 16, 1 << 18, 32
+#: Bits of the parities of a set's hashes by which pairs are ruled out that cannot be similar.
+PARITY_BITS = 512
+PARITIES = [f"odd{k}" for k in range(PARITY_BITS // 64)]
 #: Sets that may be similar are verified in blocks of about so many.
 BLOCK = 500
 #: Tables of ids of up to so many rows are broadcast.
@@ -368,6 +371,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common * SIMILAR_OF[1] >= (len(a) + len(b) - common) * SIMILAR_OF[0]
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of PARITY_BITS classes of hashes: whether the set has an odd number of them.
+
+    Where two sets' bits differ, an element is in one set only, so as many elements or
+    more are: a bound that no pair of sets is below.
+    """
+    odd = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def may_be_similar(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets of these parities and sizes (of both together) can be similar: those that are have few elements in one set only."""
+    apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+    part, whole = SIMILAR_OF
+    return apart * (whole + part) <= sizes * (whole - part)
+
+
 class Layout(NamedTuple):
     """Segments of the fingerprints of sets: `count` of `bits` each."""
 
@@ -479,12 +499,14 @@ def _dealt(nodes: DataFrame, total: int, layout: Layout, every: bool) -> DataFra
 
 
 def near_pairs(
-    layout: Layout, low_bits: int, split: bool, segment: int, own: np.ndarray, low: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray, every: bool
+    layout: Layout, low_bits: int, split: bool, segment: int, own: np.ndarray, low: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, fps: np.ndarray,
+    every: bool, odd: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of a table's rows, with their distances: of different roots, sizes that allow similarity, and a small distance.
 
     For each row, the values of a ball of radius 1 round its low bits are looked up
     among the table's own rows, and what is found is verified by the complete distance.
+    Where parities are given, pairs that these rule out are left out.
     `every`: all such pairs that no earlier segment has, by their places. Else by their
     nodes, and for each row the nearest and the smallest of what it looks at: at most 2 * WINDOW entries with a value, and the
     smallest of them all. A row that would have more to look at, as have all of a table
@@ -550,6 +572,9 @@ def near_pairs(
             apart = np.bitwise_count(fps[left] ^ fps[right]).sum(1, dtype=np.int64)
             may = apart <= layout.far
             left, right, apart = left[may], right[may], apart[may]
+            if odd is not None and len(left):
+                may = may_be_similar(odd[left], odd[right], n[left] + n[right])
+                left, right, apart = left[may], right[may], apart[may]
             if every and segment and len(left):
                 earlier = (np.bitwise_count(values[left, :segment] ^ values[right, :segment]) <= 1).any(1)
                 left, right, apart = left[~earlier], right[~earlier], apart[~earlier]
@@ -602,7 +627,8 @@ def _pairs(nodes: DataFrame, layout: Layout) -> DataFrame:
 def _units(nodes: DataFrame, layout: Layout) -> DataFrame:
     """unit and node: for each two blocks (or one) with near pairs of different roots between them, the nodes of these pairs.
 
-    So pairs, of which a dense group has very many, never leave the task that finds them.
+    So pairs, of which a dense group has very many, never leave the task that finds them;
+    and those that are near but cannot be similar are ruled out there by their parities.
     """
     total = nodes.count()
     low_bits = layout.bits - layout.prefix(total)
@@ -610,9 +636,9 @@ def _units(nodes: DataFrame, layout: Layout) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _by_key(batches, 2):
             split, segment, own, low, node, root, n, block, *words = columns[2:]
-            fps = np.stack(words, 1).view(np.uint64)
+            odd, fps = (np.stack(w, 1).view(np.uint64) for w in (words[: len(PARITIES)], words[len(PARITIES) :]))
             found = np.empty((0, 2), np.int64)
-            for left, right, _ in near_pairs(layout, low_bits, bool(split[0]), int(segment[0]), own, low, node, root, n, fps, True):
+            for left, right, _ in near_pairs(layout, low_bits, bool(split[0]), int(segment[0]), own, low, node, root, n, fps, True, odd):
                 least, most = np.minimum(block[left], block[right]), np.maximum(block[left], block[right])
                 unit = _mixed(least.view(np.uint64) * _MIX[1] + most.view(np.uint64), 1).view(np.int64)
                 some = np.stack((np.concatenate((unit, unit)), np.concatenate((node[left], node[right]))), 1)
@@ -620,7 +646,7 @@ def _units(nodes: DataFrame, layout: Layout) -> DataFrame:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["unit", "node"])
 
-    dealt = _dealt(nodes.select("node", "root", "n", "block", *layout.names), total, layout, True)
+    dealt = _dealt(nodes.select("node", "root", "n", "block", *PARITIES, *layout.names), total, layout, True)
     found = dealt.repartition("table", "part").sortWithinPartitions("table", "part").mapInArrow(run, "unit long, node long")
     return found.distinct()
 
@@ -733,12 +759,14 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _sets(documents: DataFrame, described: DataFrame, blocks: DataFrame, shingle: int) -> DataFrame:
-    """node, block and set (its hashes as bytes) of the nodes of blocks (node, block)."""
+    """node, block, set (its hashes as bytes) and parities of the nodes of blocks (node, block)."""
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = pa.array([shingle_set(t, shingle).tobytes() for t in b.column(3).to_pylist()], pa.binary())
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], names=["node", "block", "copies", "set"])
+            sets = [shingle_set(t, shingle) for t in b.column(3).to_pylist()]
+            odd = np.array([parities(s) for s in sets], np.uint64).reshape(-1, len(PARITIES)).view(np.int64)
+            columns = [*(b.column(i) for i in range(3)), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, np.ascontiguousarray(odd.T))]
+            return pa.RecordBatch.from_arrays(columns, names=["node", "block", "copies", "set", *PARITIES])
 
         return batch
 
@@ -746,11 +774,12 @@ def _sets(documents: DataFrame, described: DataFrame, blocks: DataFrame, shingle
     first = rows.groupBy("node", "block").agg(F.min("row").alias("row"), F.min_by("copies", "row").alias("copies"))
     first = staged(first, "first")
     texts = documents.select("row", "text").join(_few(first), "row").select("node", "block", "copies", "text")
-    sets = map_text(texts, "node long, block long, copies long, set binary", make)
-    once = sets.where("copies = 1").select("node", "block", "set")
+    sets = map_text(texts, "node long, block long, copies long, set binary, " + ", ".join(f"{c} long" for c in PARITIES), make)
+    own = ["set", *PARITIES]
+    once = sets.where("copies = 1").select("node", "block", *own)
     if first.where("copies > 1").isEmpty():
         return once
-    return once.unionByName(sets.where("copies > 1").groupBy("node", "block").agg(F.first("set").alias("set")))
+    return once.unionByName(sets.where("copies > 1").groupBy("node", "block").agg(F.first(F.struct(*own)).alias("s")).select("node", "block", "s.*"))
 
 
 def _blocks(found: DataFrame) -> DataFrame:
@@ -779,8 +808,8 @@ def _groups(documents: DataFrame, described: DataFrame, shingle: int, layout: La
     sets = staged(_sets(documents, described, staged(_blocks(found), "blocks"), shingle), "sets")
     edges = staged(_verified(first, sets), "edges")
     # All others between the components that these have.
-    rooted = each.join(sets.select("node", "block"), "node").join(components(edges), "node", "left")
-    active = staged(rooted.select("node", F.coalesce("root", "node").alias("root"), "n", "block", *names), "active")
+    rooted = each.join(sets.select("node", "block", *PARITIES), "node").join(components(edges), "node", "left")
+    active = staged(rooted.select("node", F.coalesce("root", "node").alias("root"), "n", "block", *PARITIES, *names), "active")
     units = staged(_units(active, layout), "units")
     return components(edges.unionByName(staged(_verified_units(units, active, sets, layout), "edges")))
 

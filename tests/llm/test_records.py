@@ -399,6 +399,21 @@ def test_keep_first_finds_every_pair_of_five_word_similarity(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(made, shingle=5).collect()) == sorted(map(min, least.values()))
 
 
+def test_parities_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 900))
+        a, b, _ = near_copies(rng, n, int(rng.integers(1, min(n, 60) + 1)))
+        one, other = simhash.shingle_set(a, 5), simhash.shingle_set(b, 5)
+        may = simhash.may_be_similar(simhash.parities(one)[None], simhash.parities(other)[None], np.array([len(one) + len(other)]))[0]
+        assert may or not simhash.similar(one, other)
+        ruled_out += not may
+    assert ruled_out > 30
+    least = simhash.parities(simhash.shingle_set("", 5))
+    assert np.bitwise_count(least).sum() == 1 and len(least) == len(simhash.PARITIES)
+
+
 def test_recall_of_pairs_at_the_threshold(spark):
     rng = np.random.default_rng(77)
     docs, near = [], []
