@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, digest, langid, packing, pii, sharding, simhash, topk, toxicity, warc
+from millrace.llm import ann, bpe, digest, kmeans, langid, packing, periodic, pii, sharding, simhash, topk, toxicity, warc
 from millrace.session import table
 
 PACKING_TOKENIZER, BPE_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -62,11 +62,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(documents, pii.fit(documents))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.detect(periodic.repeating(table(spark, sf_dir, "documents"))))
+
+
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(kmeans.usable())
+    return kmeans.clustered(vectors.select("vec_id", kmeans.quantised().alias("vec")))
+
+
+def op13_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(ann.usable() & F.col("vec_id").isNotNull())
+    vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("vec"))
+    return ann.search(vectors.where(F.col("vec_id") % 50 == 0), ann.index(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_packing, op3_warc, op4_toxicity, op5_top_k,
-        op6_fingerprints, op7_simhash, op8_sharding, op9_bpe, op10_pii,
+        op6_fingerprints, op7_simhash, op8_sharding, op9_bpe, op10_pii, op11_periodic_runs, op12_kmeans, op13_ann,
     )
 }
 
@@ -99,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
     """,
+    "op12_kmeans": kmeans.lloyd_sql(),
 }
