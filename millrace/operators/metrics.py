@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions.scalar import ratio
+from millrace.operators.ranking import average_ranked, top_of
 
 EPSILON = 2.220446049250313e-16  # of a double
 MAX_RELEVANCE = 50.0
@@ -33,34 +33,42 @@ def _pearson(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(cov, F.when(root > 1e-12, root)), F.lit(0.0))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank from 1 in ascending order, ties sharing the mean of their places."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def spearman(df: DataFrame, by: list[str]) -> DataFrame:
+    """Pearson's coefficient of average ranks in each group; a group with all rows is ranked by many tasks."""
+    needed = df.select(*by, "actual", "predicted")
+    ranks = average_ranked(average_ranked(needed, by, "actual", "_ra"), by, "predicted", "_rp")
+    return ranks.groupBy(*by).agg(_pearson(F.col("_ra"), F.col("_rp")).alias("spearman"))
 
 
-def spearman(df: DataFrame, by: list[str]) -> DataFrame:
-    ranks = df.withColumns({"_ra": average_rank("actual", by), "_rp": average_rank("predicted", by)})
-    return ranks.groupBy(*by).agg(_pearson(F.col("_ra").cast("double"), F.col("_rp").cast("double")).alias("spearman"))
+def _relevance() -> Column:
+    return F.least(F.greatest(F.col("actual"), F.lit(0.0)), F.lit(MAX_RELEVANCE))
 
 
-def _places(df: DataFrame, by: list[str], entity: str) -> DataFrame:
-    order = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(c), entity))
-    return df.withColumns({"_pa": order("actual"), "_pp": order("predicted"), "_n": F.count("*").over(Window.partitionBy(*by))})
+def _discounted(df: DataFrame, by: list[str], k: int, first: str, entity: str, name: str) -> DataFrame:
+    """The discounted gain of the first k rows of each group, by falling `first`, then entity."""
+    gain = F.pow(F.lit(2.0), F.col("actual")) - 1
+    top = top_of(df, by, [F.desc(first), F.col(entity)], k, "_place")
+    return top.groupBy(*by).agg(F.sum(gain / F.log2(F.col("_place") + 1.0)).alias(name))
 
 
 def ndcg(df: DataFrame, by: list[str], k: int = 10, entity: str = "entity") -> DataFrame:
     """Gain 2^relevance - 1 with relevance cut to [0, 50], discount log2(place + 1), k at most the group's size."""
-    gain = F.pow(F.lit(2.0), F.least(F.greatest(F.col("actual"), F.lit(0.0)), F.lit(MAX_RELEVANCE))) - 1
-    cut = df.withColumn("actual", F.least(F.greatest(F.col("actual"), F.lit(0.0)), F.lit(MAX_RELEVANCE)))
-    part = lambda place: F.sum(F.when(F.col(place) <= k, gain / F.log2(F.col(place) + 1.0)).otherwise(0.0))
-    return _places(cut, by, entity).groupBy(*by).agg(ratio(part("_pp"), part("_pa")).alias("ndcg"))
+    cut = df.select(*by, entity, "predicted", _relevance().alias("actual"))
+    both = _discounted(cut, by, k, "predicted", entity, "_own").join(_discounted(cut, by, k, "actual", entity, "_best"), by)
+    return both.select(*by, ratio(F.col("_own"), F.col("_best")).alias("ndcg"))
 
 
 def topk_overlap(df: DataFrame, by: list[str], k: int = 10, entity: str = "entity") -> DataFrame:
-    """Share of the k highest actual values that are among the k highest predictions."""
-    top = F.least(F.lit(k), F.col("_n"))
-    both = (F.col("_pa") <= top) & (F.col("_pp") <= top)
-    return _places(df, by, entity).groupBy(*by).agg(ratio(F.sum(both.cast("int")), F.max(top)).alias("overlap"))
+    """Share of the k highest actual values that are among the k highest predictions.
+
+    The last of the k highest actual values of a group, with its entity, tells whether a row is among them.
+    """
+    narrow = df.select(*by, entity, "actual", "predicted")
+    actual = top_of(narrow, by, [F.desc("actual"), F.col(entity)], k, "_place")
+    last = actual.groupBy(*by).agg(F.count("*").alias("_top"), F.max_by(F.struct(F.col("actual").alias("a"), F.col(entity).alias("e")), "_place").alias("_last"))
+    predicted = top_of(narrow, by, [F.desc("predicted"), F.col(entity)], k, "_place").join(last, by)
+    both = (F.col("actual") > F.col("_last.a")) | ((F.col("actual") == F.col("_last.a")) & (F.col(entity) <= F.col("_last.e")))
+    return predicted.groupBy(*by).agg(ratio(F.sum(both.cast("int")), F.max("_top")).alias("overlap"))
 
 
 def metric_bundle(df: DataFrame, by: list[str], k: int = 10) -> DataFrame:
