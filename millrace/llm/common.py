@@ -20,6 +20,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(rest == 0, F.lit(True))
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column, by the name that Spark resolves; an error if there is none, or more than one."""
+    found = df.select(name).columns[0]
+    return df.columns.index(found) if found in df.columns else [c.lower() for c in df.columns].index(name.lower())
+
+
 def map_text(
     df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]
 ) -> DataFrame:

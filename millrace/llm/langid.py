@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import held_out, map_text
+from millrace.llm.common import held_out, map_text, place_of
 
 #: n-grams of 1 to 3 letters, with a space for the edge of a word.
 ORDERS = (1, 2, 3)
@@ -221,12 +221,13 @@ def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
 def keep_identified(documents: DataFrame, profiles: Profiles) -> DataFrame:
     """The documents, with all their columns, that have a language: those of `und` are rejected."""
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
+    place = place_of(documents, "text")
 
     def choose():
         known = shared.value
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            texts = b.column(place).to_pylist()
             return b.filter(pa.array([known.predict(t)[0] != UNKNOWN for t in texts], pa.bool_()))
 
         return batch

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_text
+from millrace.llm.common import map_text, place_of
 from millrace.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -418,12 +418,12 @@ def redacted(text: str, found: list[Span]) -> str:
 def redact(documents: DataFrame, field: Field | None) -> DataFrame:
     """The documents, with all their columns, without personal data in text; n_chars follows the text."""
     shared = documents.sparkSession.sparkContext.broadcast(field.dump() if field else None)
+    place = place_of(documents, "text")
 
     def make():
         own = Field.load(shared.value)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            place = b.schema.get_field_index("text")
             texts = b.column(place).to_pylist()
             new = [t if t is None else redacted(t, a) for t, (_, a) in zip(texts, _each(texts, own), strict=True)]
             columns = list(b.columns)

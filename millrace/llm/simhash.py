@@ -85,7 +85,7 @@ _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94
 
 _LOW_BITS = np.uint64(0x0101010101010101)
 
-_hash = partial(xxhash.xxh64_intdigest, seed=SEED)
+_hash, _check = (partial(xxhash.xxh64_intdigest, seed=seed) for seed in (SEED, SEED + 1))
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -441,24 +441,36 @@ class Layout(NamedTuple):
 
 
 def _described(documents: DataFrame, shingle: int, layout: Layout) -> DataFrame:
-    """For each row (doc_id, row, text): node, a hash of its set of shingles, the set's size and fingerprint."""
+    """For each row (doc_id, row, text): node and check, two hashes of its set of shingles, the set's size and fingerprint."""
     names = layout.names
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
-            node = np.array([_hash(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            node, check = (np.array([f(s.tobytes()) for s in sets], np.uint64).view(np.int64) for f in (_hash, _check))
             fps = np.array([layout.fingerprint(s) for s in sets], np.uint64).view(np.int64)
-            columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(fps.T))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "n", *names])
+            columns = [b.column(0), b.column(1), pa.array(node), pa.array(check), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(fps.T))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "check", "n", *names])
 
         return batch
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row long, node long, n long, " + ", ".join(f"{x} long" for x in names)
+    schema = f"doc_id {kind}, row binary, node long, check long, n long, " + ", ".join(f"{x} long" for x in names)
     return map_text(documents.select("doc_id", "row", "text"), schema, make)
 
 
+def _distinct(described: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """The rows, and a row for each node: n and the fingerprint. Sets that share a node by chance, but not the check, get nodes of their own."""
+    each = lambda rows: staged(rows.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"), *[F.min(c).alias(c) for c in ("n", *layout.names)]), "distinct")
+    nodes = each(described)
+    mixed = nodes.where("low <> high").select("node", F.col("low").alias("_low"))
+    if not mixed.isEmpty():  # of 10 ** 10 sets about three pairs
+        apart = F.when(F.col("check") != F.col("_low"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        described = staged(described.join(_few(mixed), "node", "left").withColumn("node", apart).drop("_low"), "described")
+        nodes = each(described)
+    return described, nodes.drop("low", "high")
+
+
 def _dealt(nodes: DataFrame, total: int, layout: Layout, every: bool) -> DataFrame:
     """Rows of the tables, for nodes (node, root, n, fp0 ...): table, part, split, segment, own, low and the node's columns.
 
@@ -793,10 +805,9 @@ def _blocks(found: DataFrame) -> DataFrame:
     return hubs.join(sizes, "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
 
 
-def _groups(documents: DataFrame, described: DataFrame, shingle: int, layout: Layout) -> DataFrame | None:
+def _groups(documents: DataFrame, described: DataFrame, each: DataFrame, shingle: int, layout: Layout) -> DataFrame | None:
     """node and root of the nodes that are not roots of their groups; None if no two nodes may be similar."""
     names = layout.names
-    each = staged(described.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *names)]), "distinct")
     found = staged(_pairs(each.withColumn("root", F.col("node")), layout), "near")
     if found.isEmpty():
         return None
@@ -814,15 +825,18 @@ def _groups(documents: DataFrame, described: DataFrame, shingle: int, layout: La
     return components(edges.unionByName(staged(_verified_units(units, active, sets, layout), "edges")))
 
 
-def _with_row(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("row", F.xxhash64(*documents.columns))
+def _identity(documents: DataFrame) -> Column:
+    """128 bits of all columns of a row, and of which of them are null (a hash of columns passes over nulls)."""
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in documents.columns])
+    half = lambda k: F.lpad(F.hex(F.xxhash64(F.lit(k), nulls, *[F.col(f"`{c}`") for c in documents.columns])), 16, "0")
+    return F.unhex(F.concat(half(0), half(1)))
 
 
 def _decided(documents: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Of documents with a column row: what is kept (doc_id, row, how many rows are equal to it), and the rows that go."""
+    """Of documents (doc_id, row, text): what is kept (doc_id, row, how many rows are equal to it), and the rows that go."""
     layout = Layout.of(documents.count())
-    described = staged(_described(documents, shingle, layout), "described")
-    roots = _groups(documents, described, shingle, layout)
+    described, each = _distinct(staged(_described(documents, shingle, layout), "described"), layout)
+    roots = _groups(documents, described, each, shingle, layout)
     rows = described.groupBy("row", "node").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     root = F.col("node")
     if roots is not None:
@@ -835,7 +849,7 @@ def _decided(documents: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
 
 def near_groups(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """The ids of the rows of which each group of near copies keeps one, that with the smallest id: column doc_id."""
-    return _decided(_with_row(documents), shingle)[0].select("doc_id")
+    return _decided(documents.select("doc_id", "text", _identity(documents).alias("row")), shingle)[0].select("doc_id")
 
 
 def keep_first(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
@@ -844,13 +858,15 @@ def keep_first(documents: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
     Rows are told apart by all their columns and not by their ids: rows with the same
     id and other texts are documents of their own, as are rows without an id, which
     come last in the order of ids. Of rows that are equal in all columns one stays.
-    Texts are not shuffled unless very many rows go.
+    Further columns may have any name. Texts are not shuffled unless very many rows go.
     """
-    rows = _with_row(documents)
-    kept, gone = _decided(rows, shingle)
+    own = next(name for k in range(len(documents.columns) + 1) if (name := f"_row{k}") not in map(str.lower, documents.columns))
+    rows = documents.withColumn(own, _identity(documents))
+    kept, gone = _decided(rows.select("doc_id", "text", F.col(own).alias("row")), shingle)
     again = staged(kept.where("copies > 1").select("row"), "again")
-    left = rows.join(_few(gone.unionByName(again)), "row", "left_anti").select(*documents.columns)
+    named = lambda df: df.withColumnRenamed("row", own)
+    left = rows.join(_few(named(gone.unionByName(again))), own, "left_anti").drop(own)
     if again.isEmpty():
         return left
-    one = rows.join(_few(again), "row", "left_semi").dropDuplicates(["row"]).select(*documents.columns)
+    one = rows.join(_few(named(again)), own, "left_semi").dropDuplicates([own]).drop(own)
     return left.unionByName(one)

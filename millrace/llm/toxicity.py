@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, map_text
+from millrace.llm.common import held_out, map_text, place_of
 from millrace.session import ship
 
 #: Bounds of the sample that the classifiers are trained on; scoring reads everything.
@@ -233,12 +233,13 @@ def score(documents: DataFrame, scorer: Scorer) -> DataFrame:
 def keep_clean(documents: DataFrame, scorer: Scorer) -> DataFrame:
     """The documents, with all their columns, that score under 0.5."""
     shared = documents.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias))
+    place = place_of(documents, "text")
 
     def make():
         known = Scorer(*shared.value)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            texts = b.column(place).to_pylist()
             return b.filter(pa.array([known.score(t) < 0.5 for t in texts], pa.bool_()))
 
         return batch
