@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.scalar import flag, ratio
-from millrace.session import ship
+from millrace.operators.graphs import components
+from millrace.session import ship, staged
 
 IGNORED = (0, -1)
 BOUNDARY = 3
@@ -95,19 +96,32 @@ def matches(points: DataFrame, threshold: float = 0.5) -> DataFrame:
     From a threshold of one half on, several pairs of a prediction are all exactly one
     half, and each of their references has no other pair (and the other way round), so
     the first pair in order of score and id is a largest matching; that is decided by
-    windows. Below it, pairs that are the only ones of both their sides are matches, and
-    the others go through augmenting paths, plot by plot.
+    windows. Below it, augmenting paths go through the connected parts of the graph of pairs.
     """
     p = overlaps(points).where(F.col("shared") >= F.lit(threshold) * F.col("whole")).withColumn("iou", F.col("shared") / F.col("whole"))
     if threshold >= 0.5:
         first = lambda own, other: F.row_number().over(Window.partitionBy("plot", own).orderBy(F.desc("iou"), other))
         ordered = p.withColumns({"_a": first("pred", "ref"), "_b": first("ref", "pred")})
         return ordered.where("_a = 1 AND _b = 1").select(*[F.col(c).cast("long").alias(c) for c in ("plot", "pred", "ref")], "iou")
-    ship(points.sparkSession)
-    by_pred = p.groupBy("plot", "pred").agg(F.count("*").alias("_dp"))
-    by_ref = p.groupBy("plot", "ref").agg(F.count("*").alias("_dr"))
-    degrees = p.join(by_pred, ["plot", "pred"]).join(by_ref, ["plot", "ref"])
+    return _matched_by_component(staged(p.select(*[F.col(c).cast("long").alias(c) for c in ("plot", "pred", "ref")], "iou"), "pairs"))
+
+
+def _matched_by_component(pairs: DataFrame) -> DataFrame:
+    """A largest matching of (plot, pred, ref, iou), connected part by connected part.
+
+    A pair that is the only one of both its sides is a match. The others are cut into
+    connected parts first; a part, not a plot, is what a task holds. From a threshold t
+    on, no instance has more than 1 / t partners, so parts are small beside plots.
+    Parts have no pair between them, so what is found does not depend on the cut.
+    """
+    ship(pairs.sparkSession)
+    by_pred = pairs.groupBy("plot", "pred").agg(F.count("*").alias("_dp"))
+    by_ref = pairs.groupBy("plot", "ref").agg(F.count("*").alias("_dr"))
+    degrees = pairs.join(by_pred, ["plot", "pred"]).join(by_ref, ["plot", "ref"])
     alone = (F.col("_dp") == 1) & (F.col("_dr") == 1)
+    tied = staged(degrees.where(~alone).select("plot", "pred", "ref", "iou"), "tied")
+    side = lambda kind, c: F.struct("plot", F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    roots = components(tied.select(side(0, "pred").alias("a"), side(1, "ref").alias("b")))
     schema = "plot long, pred long, ref long, iou double"
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
@@ -117,9 +131,8 @@ def matches(points: DataFrame, threshold: float = 0.5) -> DataFrame:
         found = set(maximum_matching(scores))
         return frame[[(a, b) in found for a, b in zip(frame["pred"], frame["ref"], strict=True)]][["plot", "pred", "ref", "iou"]]
 
-    cast = [F.col(c).cast("long").alias(c) for c in ("plot", "pred", "ref")]
-    tied = degrees.where(~alone).select(*cast, "iou").groupBy("plot").applyInPandas(solve, schema)
-    return degrees.where(alone).select(*cast, "iou").unionByName(tied)
+    parts = tied.withColumn("node", side(0, "pred")).join(roots, "node").select("root", "plot", "pred", "ref", "iou")
+    return degrees.where(alone).select("plot", "pred", "ref", "iou").unionByName(parts.groupBy("root").applyInPandas(solve, schema))
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:

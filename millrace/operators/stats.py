@@ -75,10 +75,22 @@ def _linear(columns: list[str], beta: np.ndarray) -> Column:
     return z
 
 
+#: Of a standard normal distribution, 97.5 % are below.
+_BOUND = 1.959963984540054
+
+
+class NotConverged(ValueError):
+    """A fit that has not reached its optimum, or that has none."""
+
+
 def _table(df: DataFrame, names: list[str], beta: np.ndarray, errors: np.ndarray, facts: dict[str, float]) -> DataFrame:
-    rows = [(k, float(b), float(e)) for k, b, e in zip(names, beta, errors, strict=True)]
-    rows += [(k, float(v), None) for k, v in facts.items()]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, robust_error double")
+    """Estimates with robust errors, two-sided p-values and limits of 95 % by the normal distribution; then facts of the fit."""
+    rows = []
+    for k, b, e in zip(names, beta, errors, strict=True):
+        b, e = float(b), float(e)
+        rows.append((k, b, e, math.erfc(abs(b / e) / math.sqrt(2)) if e else 0.0, b - _BOUND * e, b + _BOUND * e))
+    rows += [(k, float(v), None, None, None, None) for k, v in facts.items()]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, robust_error double, p_value double, confidence_low double, confidence_high double")
 
 
 def _sandwich(df: DataFrame, terms: list[Column], hessian: np.ndarray, residual: Column) -> np.ndarray:
@@ -88,6 +100,22 @@ def _sandwich(df: DataFrame, terms: list[Column], hessian: np.ndarray, residual:
     return np.sqrt(np.diag(bread @ meat @ bread))
 
 
+def _rates(df: DataFrame, rate: Column) -> dict[str, float]:
+    """The number of rows and the range of predicted rates."""
+    row = df.agg(F.count("*").alias("n"), F.min(rate).alias("a"), F.max(rate).alias("b")).first()
+    return {"observations": row["n"], "predicted_rate_min": row["a"], "predicted_rate_max": row["b"]}
+
+
+def _solved(hessian: np.ndarray, score: np.ndarray, what: str) -> np.ndarray:
+    try:
+        step = np.linalg.solve(hessian, score)
+    except np.linalg.LinAlgError:
+        raise NotConverged(f"{what}: the predictors are not independent") from None
+    if not np.isfinite(step).all():
+        raise NotConverged(f"{what}: a step is not finite")
+    return step
+
+
 def log_rising(x: Column | float, y: Column) -> Column:
     """ln(gamma(x + y) / gamma(x)) for x > 0 and y >= 0: Stirling's series from x + 10 on, and ten steps down from there."""
     x = F.lit(x) if isinstance(x, float) else x
@@ -99,83 +127,175 @@ def log_rising(x: Column | float, y: Column) -> Column:
     return (z - 0.5) * F.log1p(y / z) + y * F.ln(z + y) - y + series(z + y) - series(z) - F.ln(steps)
 
 
+#: How far up arguments are taken before the series below are used, whose next terms are then under 1e-15.
+_SHIFT = 10
+#: The coefficients, by powers of 1 / z squared, of the asymptotic series of digamma (after ln z - 1 / (2 z)).
+_DIGAMMA = (-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132)
+
+
+def _tail(z: Column) -> Column:
+    """digamma(z) - ln(z) for z of 10 or more."""
+    w = 1 / (z * z)
+    series = F.lit(0.0)
+    for c in reversed(_DIGAMMA):
+        series = (series + c) * w
+    return series - 0.5 / z
+
+
+def _tail_slope(z: Column) -> Column:
+    """trigamma(z) for z of 10 or more: the same series, term by term."""
+    w = 1 / (z * z)
+    series = F.lit(0.0)
+    for i, c in reversed(list(enumerate(_DIGAMMA, 1))):
+        series = (series - 2 * i * c) * w
+    return (1 + series) / z + 0.5 * w
+
+
+def digamma_rise(x: Column, y: Column) -> Column:
+    """digamma(x + y) - digamma(x) for x > 0 and y >= 0, as a sum of small terms and not as a difference of large ones."""
+    z = x + float(_SHIFT)
+    steps = F.lit(0.0)
+    for i in range(_SHIFT):
+        steps = steps + y / ((x + float(i)) * (x + y + float(i)))
+    return F.log1p(y / z) + _tail(z + y) - _tail(z) + steps
+
+
+def trigamma_rise(x: Column, y: Column) -> Column:
+    """trigamma(x + y) - trigamma(x)."""
+    z = x + float(_SHIFT)
+    steps = F.lit(0.0)
+    for i in range(_SHIFT):
+        u = x + float(i)
+        steps = steps + y * (2 * u + y) / (u * u * (u + y) * (u + y))
+    return _tail_slope(z + y) - _tail_slope(z) - steps
+
+
 def poisson_glm(df: DataFrame, y: str, exposure: str, columns: list[str], steps: int = 50) -> DataFrame:
-    """Log-linear counts with log(exposure) as offset: estimates, robust errors, dispersion and AIC."""
+    """Log-linear counts with log(exposure) as offset: estimates, robust errors, limits, dispersion and AIC."""
     df = staged(df.select(y, exposure, *columns), "glm")
+    beta, hessian = _poisson_weights(df, y, exposure, columns, steps)
+    terms = [F.lit(1.0), *[F.col(c) for c in columns]]
+    rate = F.exp(_linear(columns, beta))
+    mu = F.col(exposure) * rate
+    factorial = log_rising(1.0, F.col(y).cast("double"))  # ln y!
+    facts = df.agg(F.sum(F.pow(F.col(y) - mu, 2) / mu).alias("pearson"), F.sum(F.col(y) * F.ln(mu) - mu - factorial).alias("ll"), F.count("*").alias("n")).first()
+    errors = _sandwich(df, terms, hessian, F.col(y) - mu)
+    return _table(df, ["intercept", *columns], beta, errors, {
+        "pearson_dispersion": facts["pearson"] / max(facts["n"] - len(beta), 1), "log_likelihood": facts["ll"], "aic": 2 * len(beta) - 2 * facts["ll"], **_rates(df, rate),
+    })
+
+
+def _poisson_weights(df: DataFrame, y: str, exposure: str, columns: list[str], steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of a log-linear model of counts, and the Hessian there."""
     terms = [F.lit(1.0), *[F.col(c) for c in columns]]
     offset = F.ln(F.col(exposure))
     total = df.agg(F.sum(y), F.sum(exposure)).first()
+    if not total[0] or not total[1]:
+        raise NotConverged("poisson: no counts")
     beta = np.array([math.log(total[0] / total[1]), *[0.0] * len(columns)])
-    hessian = np.eye(len(beta))
     for _ in range(steps):
         mu = F.exp(offset + _linear(columns, beta))
         hessian, score, _ = gram(df, terms, (F.col(y) - mu) / mu, mu)
-        step = np.linalg.solve(hessian, score)
+        step = _solved(hessian, score, "poisson")
         beta = beta + step
         if np.abs(step).max() < 1e-10:
-            break
-    mu = F.exp(offset + _linear(columns, beta))
-    factorial = log_rising(1.0, F.col(y).cast("double"))  # ln y!
-    facts = df.agg(F.sum(F.pow(F.col(y) - mu, 2) / mu).alias("pearson"), F.sum(F.col(y) * F.ln(mu) - mu - factorial).alias("ll"), F.count("*").alias("n")).first()
-    errors = _sandwich(df, terms, hessian, F.col(y) - mu)
-    return _table(df, ["intercept", *columns], beta, errors, {
-        "pearson_dispersion": facts["pearson"] / max(facts["n"] - len(beta), 1), "log_likelihood": facts["ll"], "aic": 2 * len(beta) - 2 * facts["ll"],
-    })
+            return beta, hessian
+    raise NotConverged(f"poisson: {steps} steps were not enough")
 
 
-def nb2_glm(df: DataFrame, y: str, exposure: str, columns: list[str], rounds: int = 12) -> DataFrame:
-    """Counts with variance mu + alpha mu^2 by maximum likelihood.
+def nb2_glm(df: DataFrame, y: str, exposure: str, columns: list[str], steps: int = 60) -> DataFrame:
+    """Counts with variance mu + alpha mu^2 by maximum likelihood: estimates with robust errors, for alpha too.
 
-    In turn: Fisher steps for the weights at a fixed alpha, and a search for alpha that
-    sums the likelihoods of a row of candidates in one pass and narrows it around the best.
+    Newton's method for the weights and ln(alpha) together, from the Poisson weights and a
+    moment estimate of alpha: a step is one aggregation for the likelihood, its slopes and
+    curvatures, and is halved while the likelihood falls. Ends when no step is above 1e-10;
+    data that vary less than Poisson counts have no such optimum and are refused.
     """
-    df = staged(df.select(y, exposure, *columns, log_rising(1.0, F.col(y).cast("double")).alias("_factorial")), "glm")
+    df = staged(df.select(F.col(y).cast("double").alias(y), F.col(exposure).cast("double").alias(exposure), *columns, log_rising(1.0, F.col(y).cast("double")).alias("_factorial")), "glm")
     terms = [F.lit(1.0), *[F.col(c) for c in columns]]
-    offset, count = F.ln(F.col(exposure)), F.col(y)
-    total = df.agg(F.sum(y), F.sum(exposure)).first()
-    beta, alpha, best = np.array([math.log(total[0] / total[1]), *[0.0] * len(columns)]), 0.1, -math.inf
-    hessian = np.eye(len(beta))
-
-    def likelihood(mu: Column, a: float) -> Column:
-        rising = log_rising(1 / a, count.cast("double")) - F.col("_factorial")
-        return rising - (count + 1 / a) * F.log1p(mu * a) + count * (F.ln(mu) + math.log(a))
-
-    for _ in range(rounds):
-        for _ in range(25):
-            mu = F.exp(offset + _linear(columns, beta))
-            hessian, score, _ = gram(df, terms, (count - mu) / mu, mu / (1 + mu * alpha))
-            step = np.linalg.solve(hessian, score)
-            beta = beta + step
-            if np.abs(step).max() < 1e-9:
-                break
-        mu = F.exp(offset + _linear(columns, beta))
-        low, high, was = math.log(1e-8), math.log(100.0), best
-        for _ in range(4):
-            tried = np.exp(np.linspace(low, high, 13))
-            got = df.agg(*[F.sum(likelihood(mu, float(a))).alias(f"l{i}") for i, a in enumerate(tried)]).first()
-            i = int(np.argmax(list(got)))
-            alpha, best = float(tried[i]), float(got[i])
-            width = (high - low) / 12
-            low, high = math.log(alpha) - width, math.log(alpha) + width
-        if abs(best - was) < 1e-9 * abs(best):
+    names = ["intercept", *columns]
+    p = len(terms)
+    beta, _ = _poisson_weights(df, y, exposure, columns, 50)
+    mu = F.col(exposure) * F.exp(_linear(columns, beta))
+    moment = df.agg((F.sum(F.pow(F.col(y) - mu, 2) - mu) / F.sum(mu * mu)).alias("a")).first()["a"]
+    at = np.append(beta, math.log(min(max(moment, 1e-3), 10.0)))
+
+    def slopes(x: np.ndarray) -> tuple[Column, Column, Column, Column, Column, Column, Column]:
+        """By row: likelihood, its slope and curvature in the linear term, both mixed, slope and curvature in ln(alpha), and mu."""
+        alpha = math.exp(x[p])
+        theta, n = F.lit(1 / alpha), F.col(y)
+        mu = F.col(exposure) * F.exp(_linear(columns, x[:p]))
+        some = 1 + alpha * mu
+        value = log_rising(theta, n) - F.col("_factorial") - (n + theta) * F.log1p(alpha * mu) + n * (F.ln(mu) + math.log(alpha))
+        first = digamma_rise(theta, n) - F.log1p(alpha * mu) + (mu - n) / (theta + mu)  # in theta
+        second = trigamma_rise(theta, n) + mu / (theta * (theta + mu)) - (mu - n) / ((theta + mu) * (theta + mu))
+        return value, (n - mu) / some, -mu * (1 + alpha * n) / (some * some), -(n - mu) * mu * alpha / (some * some), -theta * first, theta * first + theta * theta * second, mu
+
+    def totals(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        value, s, c, mixed, sa, ca, _ = slopes(x)
+        rows = {f"a{i}_{j}": F.sum(c * terms[i] * terms[j]) for i in range(p) for j in range(i, p)}
+        rows |= {f"s{i}": F.sum(s * terms[i]) for i in range(p)} | {f"m{i}": F.sum(mixed * terms[i]) for i in range(p)}
+        got = df.agg(*[f.alias(k) for k, f in rows.items()], F.sum(value).alias("v"), F.sum(sa).alias("sa"), F.sum(ca).alias("ca")).first()
+        hessian = np.empty((p + 1, p + 1))
+        for i in range(p):
+            for j in range(i, p):
+                hessian[i, j] = hessian[j, i] = got[f"a{i}_{j}"]
+            hessian[i, p] = hessian[p, i] = got[f"m{i}"]
+        hessian[p, p] = got["ca"]
+        return got["v"], np.array([*(got[f"s{i}"] for i in range(p)), got["sa"]]), hessian
+
+    value, score, hessian = totals(at)
+    for _ in range(steps):
+        curved = hessian.copy()
+        if np.linalg.eigvalsh(curved).max() >= 0:  # not yet near the top: up the slope of ln(alpha), the weights as if it were fixed
+            curved[p, :p] = curved[:p, p] = 0.0
+            curved[p, p] = -max(abs(hessian[p, p]), abs(score[p]))
+        step = -_solved(curved, score, "nb2")
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+        if at[p] < -18 or at[p] > 12:
+            raise NotConverged("nb2: the dispersion has no optimum above 0")
+        if np.abs(step).max() < 1e-10:
             break
-    errors = _sandwich(df, terms, hessian, (count - mu) / (1 + mu * alpha))
-    return _table(df, ["intercept", *columns], beta, errors, {"alpha": alpha, "log_likelihood": best, "aic": 2 * (len(beta) + 1) - 2 * best})
+        share = 1.0
+        while True:
+            tried = at + share * step
+            new, new_score, new_hessian = totals(tried)
+            if new >= value - 1e-12 * abs(value) or share < 1e-6:
+                break
+            share /= 2
+        at, value, score, hessian = tried, new, new_score, new_hessian
+    else:
+        raise NotConverged(f"nb2: {steps} steps were not enough")
+
+    # Robust errors in the weights and alpha itself; at the optimum slopes are zero, so the change of variable only scales.
+    alpha = math.exp(at[p])
+    scale = np.append(np.ones(p), 1 / alpha)
+    _, s, _, _, sa, _, mu = slopes(at)
+    meat, _, _ = gram(df, [*[t * s for t in terms], sa / alpha], F.lit(0.0))
+    bread = np.linalg.inv(hessian * np.outer(scale, scale))
+    errors = np.sqrt(np.diag(bread @ meat @ bread))
+    return _table(df, [*names, "alpha"], np.append(at[:p], alpha), errors, {
+        "log_likelihood": value, "aic": 2 * (p + 1) - 2 * value, **_rates(df, mu / F.col(exposure)),
+    })
 
 
 def binomial_glm(df: DataFrame, successes: str, trials: str, columns: list[str], steps: int = 50) -> DataFrame:
-    """Logistic regression of a proportion, each row weighted by its trials: estimates and robust errors."""
+    """Logistic regression of a proportion, each row weighted by its trials: estimates, robust errors and limits."""
     df = staged(df.select(successes, trials, *columns), "glm")
     terms = [F.lit(1.0), *[F.col(c) for c in columns]]
     beta = np.zeros(len(terms))
-    hessian = np.eye(len(beta))
     y, n = F.col(successes), F.col(trials)
     for _ in range(steps):
         p = 1 / (1 + F.exp(-_linear(columns, beta)))
         hessian, score, _ = gram(df, terms, (y - n * p) / (n * p * (1 - p)), n * p * (1 - p))
-        step = np.linalg.solve(hessian, score)
+        step = _solved(hessian, score, "binomial")
         beta = beta + step
         if np.abs(step).max() < 1e-10:
             break
+    else:
+        raise NotConverged(f"binomial: {steps} steps were not enough; the outcome may be certain for some rows")
     p = 1 / (1 + F.exp(-_linear(columns, beta)))
-    return _table(df, ["intercept", *columns], beta, _sandwich(df, terms, hessian, y - n * p), {})
+    value = df.agg(F.sum(y * F.ln(p) + (n - y) * F.log1p(-p)).alias("v")).first()["v"]
+    return _table(df, ["intercept", *columns], beta, _sandwich(df, terms, hessian, y - n * p), {
+        "log_likelihood": value, "aic": 2 * len(beta) - 2 * value, **_rates(df, p),
+    })

@@ -19,7 +19,7 @@ def spec(spark: SparkSession) -> DataFrame:
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(
-        "vec_id", F.col("label").alias("block"), dedup.difference_hash(F.col("embedding"), BITS).alias("hash"), F.col("vec_id").alias("content")
+        "vec_id", F.col("label").alias("block"), dedup.difference_hash(F.col("embedding"), BITS).alias("hash"), F.sha2(F.col("embedding").cast("string"), 256).alias("content")
     )
 
 
@@ -33,10 +33,11 @@ def documents_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of equal texts with their language and size."""
-    return table(spark, d, "documents").groupBy(dedup.group_id("text").alias("group_id")).agg(
-        F.min("lang").alias("label"), F.count("*").cast("int").alias("size")
+    """Groups of equal texts with their language and size; those with several languages are for review first (group_conflicts)."""
+    each = table(spark, d, "documents").where(F.col("text").isNotNull()).groupBy(dedup.group_id("text").alias("group_id")).agg(
+        F.min("lang").alias("label"), F.count("*").cast("int").alias("size"), F.countDistinct("lang").alias("_labels")
     )
+    return each.where("_labels <= 1").drop("_labels")
 
 
 def greedy(spark: SparkSession, d: str) -> DataFrame:
@@ -139,9 +140,9 @@ ORACLE_SQL = {
         SELECT label, CAST(coalesce(expected, 0) AS BIGINT) AS expected, coalesce(observed, 0) AS observed, coalesce(observed, 0) = coalesce(expected, 0) AS agrees
         FROM seen FULL JOIN spec USING (label)""",
     "near_dup_pairs": f"""
-        WITH h AS (SELECT vec_id, label, CAST({_HASH} AS BIGINT) AS hash FROM embeddings)
+        WITH h AS (SELECT vec_id, label, embedding, CAST({_HASH} AS BIGINT) AS hash FROM embeddings)
         SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance
-        FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= {DISTANCE}""",
+        FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id AND a.embedding <> b.embedding WHERE bit_count(xor(a.hash, b.hash)) <= {DISTANCE}""",
     "hash_split": "WITH " + _SPLIT + " SELECT doc_id, split FROM docs",
     "split_audit": "WITH " + _SPLIT + """
         SELECT split, lang, count(*) AS n, (SELECT count(*) FROM (SELECT text FROM docs GROUP BY text HAVING count(DISTINCT split) > 1)) AS crossing_groups FROM docs GROUP BY split, lang""",

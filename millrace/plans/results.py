@@ -158,14 +158,21 @@ ORACLE_SQL = {
         SELECT site, plots, tp, fp, fn, {_PRF}, mean_f1, median_f1 FROM sums""",
     "variant_pairs": _S + "," + _scores_sql(2, "q") + """
         SELECT a.plot, a.f1 AS a, b.f1 AS b, round(b.f1 - a.f1, 6) AS gain FROM p_scores a JOIN q_scores b ON a.plot = b.plot""",
-    "aggregate_reconstruction": "SELECT 1::BIGINT AS only_stored, 1::BIGINT AS only_made",
+    "aggregate_reconstruction": _S + f"""
+        , made AS (SELECT site, count(*) AS plots, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(avg(f1), 6) AS mean_f1, round(median(f1), 6) AS median_f1
+                   FROM p_scores GROUP BY GROUPING SETS ((site), ())),
+        stored AS (SELECT site, plots, CASE WHEN site = 1 THEN tp + 1 ELSE tp END AS tp, fp, fn, mean_f1, median_f1 FROM made)
+        SELECT (SELECT count(*) FROM (SELECT * FROM stored EXCEPT ALL SELECT * FROM made)) AS only_stored,
+               (SELECT count(*) FROM (SELECT * FROM made EXCEPT ALL SELECT * FROM stored)) AS only_made""",
     "boundary_excluded": _P + " SELECT * FROM p_out",
     "instance_iou": _P + " SELECT plot, pred, ref, shared, whole, round(iou, 6) AS iou FROM p_iou",
     "matched_counts": _P + """
         , excluded AS (SELECT plot, count(*) AS excluded FROM p_out GROUP BY 1)
         SELECT a.plot, count(*) AS points, CAST(sum(CASE WHEN pa OR ra THEN 1 ELSE 0 END) AS BIGINT) AS evaluated, count(DISTINCT CASE WHEN pa THEN pred END) AS predicted,
                count(DISTINCT CASE WHEN ra THEN ref END) AS referenced, coalesce(max(excluded), 0) AS excluded FROM p_active a LEFT JOIN excluded e ON e.plot = a.plot GROUP BY a.plot""",
-    "dense_index": "SELECT count(*) AS n, true AS dense FROM orders",
+    "dense_index": """
+        WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+        SELECT count(*) AS n, min(i) = 0 AND max(i) = count(*) - 1 AND count(DISTINCT i) = count(*) AS dense FROM o""",
     "register_model": "SELECT DISTINCT p_brand, p_type, sha256(p_brand || chr(31) || p_type) AS model_id FROM part",
     "batch_replay_status": """
         SELECT c_custkey AS batch_id, sha256(c_name || chr(31) || CAST(c_nationkey AS VARCHAR)) AS idempotency_key,

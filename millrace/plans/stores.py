@@ -12,6 +12,7 @@ from millrace.session import new_path, table
 from millrace.sources import readers, writers
 
 PATIENCE = 3
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def fixed_csv(spark: SparkSession, d: str) -> DataFrame:
@@ -40,11 +41,11 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
     """Each priority's orders as a batch that is written twice; the second time finds it there."""
     root = new_path(spark, "store")
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    for run in ("1-URGENT", "5-LOW"):
+    for run in PRIORITIES:
         own = orders.where(F.col("o_orderpriority") == run)
         if not store.write_batch(spark, root, run, own) or store.write_batch(spark, root, run, own):
             raise RuntimeError("a batch is written once")
-    return spark.read.parquet(f"{root}/run=1-URGENT", f"{root}/run=5-LOW")
+    return spark.read.parquet(*[f"{root}/run={run}" for run in PRIORITIES])
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +95,7 @@ ORACLE_SQL = {
     "csv_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, trim(c_name) AS c_name, trim(c_mktsegment) AS c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer",
     "geojson_features": """
         SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || c_custkey || ',' || c_nationkey || ']},"properties":{"c_name":"' || c_name || '"}}' AS feature FROM customer""",
-    "stored_batches": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')",
+    "stored_batches": "SELECT o_orderkey, o_orderpriority FROM orders",
     "store_page": "SELECT o_orderpriority AS run_id, o_custkey AS rank, o_orderkey AS entity FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY rank, entity LIMIT 100",
     "store_lookup": "SELECT o_custkey AS entity, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "unknown_models": "SELECT o_orderkey AS batch_id, o_custkey AS model_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",

@@ -109,7 +109,7 @@ def test_poisson_and_negative_binomial(spark):
     assert got["pearson_dispersion"]["estimate"] == pytest.approx(((y - mu) ** 2 / mu).sum() / (len(y) - 3))
     ll = sum(c * math.log(m) - m - math.lgamma(c + 1) for c, m in zip(y, mu, strict=True))
     assert got["aic"]["estimate"] == pytest.approx(6 - 2 * ll)
-    nb = {r["term"]: r["estimate"] for r in stats.nb2_glm(df, "y", "e", ["a", "b"], rounds=4).collect()}
+    nb = {r["term"]: r["estimate"] for r in stats.nb2_glm(df, "y", "e", ["a", "b"]).collect()}
 
     def likelihood(b, alpha):
         m = exposure * np.exp(d @ b)
@@ -134,7 +134,7 @@ def test_binomial(spark):
     for _ in range(50):
         m = 1 / (1 + np.exp(-d @ beta))
         beta = beta + np.linalg.solve(d.T @ (d * (n * m * (1 - m))[:, None]), d.T @ (k - n * m))
-    got = [r["estimate"] for r in stats.binomial_glm(df, "k", "n", ["a"]).collect()]
+    got = [r["estimate"] for r in stats.binomial_glm(df, "k", "n", ["a"]).collect()[:2]]
     assert got == pytest.approx(beta.tolist(), abs=1e-8)
 
 
