@@ -12,13 +12,18 @@ put so that the overlap expected by chance is 0 and the most possible is 1.
 Cases: a null text is an empty one. An empty text has no filter; two empty
 digests are alike (1), an empty and another one are not (0). A text shorter than
 a window is one feature. Equal texts have equal digests, wherever they stand.
-Rows with a null id come last in the order of ids; rows that repeat an id stay
-beside each other in the order of their texts.
+Ids may be of any type that has an order. Rows with a null id come last in the
+order of ids; rows that repeat an id stay beside each other, in the order of a hash
+of their texts, so that an id with very many rows is read by many tasks. Ties of
+that hash are in the order of the texts; rows that are equal in id and text are all
+in one range. An empty table gives no rows. Further columns may have any name; they
+are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -26,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,11 @@ FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
 CLASSES = 512
 #: Bytes whose windows are worked on at once.
 STRETCH = 1 << 20
-#: Rows of a range of ids, and the most ranges; a range is read in order by one task.
-RANGE_ROWS, MAX_RANGES = 1000, 8192
+#: Filters of the shorter of two digests that are compared with the other's at once.
+FILTERS_AT_ONCE = 256
+#: Rows of a range of ids, about. A range is read in order by one task, a text at a time. The first id of each range goes to
+#: the driver and to all tasks; beyond so many ranges they have more rows instead (at 10 ** 10 texts 100,000 each).
+RANGE_ROWS, MAX_RANGES = 1000, 100_000
 
 _SUMMANDS = np.concatenate(([0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))))
 _STEPS = np.diff(_SUMMANDS)
@@ -154,12 +161,16 @@ class Digest:
         if not self.size or not other.size:
             return float(self.size == other.size)
         short, long = (self, other) if (len(self.bits), self.size) <= (len(other.bits), other.size) else (other, self)
-        a, b = short.bits.astype(np.float32), long.bits.astype(np.float32)
-        na, nb = a.sum(1)[:, None].astype(np.float64), b.sum(1)[None, :].astype(np.float64)
-        most = np.minimum(na, nb)
-        chance = na * nb / FILTER_BITS
-        normal = ((a @ b.T).astype(np.float64) - chance) / np.maximum(most - chance, 1e-9)
-        return float(np.clip(normal, 0, 1).max(1).mean())
+        b = long.bits.astype(np.float32)
+        nb, best = b.sum(1)[None, :].astype(np.float64), []
+        for at in range(0, len(short.bits), FILTERS_AT_ONCE):
+            a = short.bits[at : at + FILTERS_AT_ONCE].astype(np.float32)
+            na = a.sum(1)[:, None].astype(np.float64)
+            most = np.minimum(na, nb)
+            chance = na * nb / FILTER_BITS
+            normal = ((a @ b.T).astype(np.float64) - chance) / np.maximum(most - chance, 1e-9)
+            best.append(np.clip(normal, 0, 1).max(1))
+        return float(np.concatenate(best).mean())
 
 
 def rarity_of(documents: DataFrame) -> np.ndarray:
@@ -195,6 +206,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _orderly(value: object) -> tuple:
+    """A value as Spark orders it: a number that is none is greater than all others."""
+    return (1,) if isinstance(value, float) and value != value else (0, value)
+
+
+def _ranged(documents: DataFrame) -> DataFrame:
+    """Rows (r, tail, doc_id, text, _h): each in its range r of ids, the first of a range also as the tail of the one before.
+
+    The very first row is the tail of the last range. Where ranges begin comes from range
+    partitions of the ids, with a hash of the text, alone.
+    """
+    spark = documents.sparkSession
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    parts = max(1, min(MAX_RANGES, -(-documents.count() // RANGE_ROWS)))
+    ids = rows.select("doc_id", "_h").repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), F.col("_h"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("first")
+    found = ids.groupBy(F.spark_partition_id().alias("p")).agg(first).orderBy("p").select("first.*").collect()
+    shared = spark.sparkContext.broadcast([(r["none"], _orderly(r["doc_id"]), r["_h"]) for r in found])
+
+    @F.arrow_udf("struct<r: int, to: int>")
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        firsts = shared.value
+        keys = [(i is None, _orderly(i), h) for i, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True)]
+        at = [bisect.bisect_right(firsts, k) - 1 for k in keys]
+        to = [(r - 1) % len(firsts) if firsts[r] == k else None for r, k in zip(at, keys, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(to, pa.int32())], names=["r", "to"])
+
+    placed = rows.withColumn("_p", place("doc_id", "_h"))
+    own = F.struct(F.col("_p.r").alias("r"), F.lit(False).alias("tail"))
+    also = F.struct(F.col("_p.to").alias("r"), F.lit(True).alias("tail"))
+    to = F.explode(F.when(F.col("_p.to").isNotNull(), F.array(own, also)).otherwise(F.array(own)))
+    sent = placed.withColumn("_to", to).select(F.col("_to.r").alias("r"), F.col("_to.tail").alias("tail"), "doc_id", "text", "_h")
+    return sent.repartition(max(1, len(found)), "r").sortWithinPartitions(
+        "r", "tail", F.col("doc_id").asc_nulls_last(), "_h", F.col("text").asc_nulls_first()
+    )
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """Digests of every document (doc_id, text), of its edited text, and their likenesses.
 
@@ -205,32 +253,6 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(rarity_of(documents))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    parts = max(1, min(MAX_RANGES, -(-documents.count() // RANGE_ROWS)))
-    bounds = documents.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    ids = F.col("doc_id").cast("double")
-    if len(splits) > 2:
-        cut = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket")
-        ranged = cut.transform(documents.select("doc_id", "text", F.coalesce(ids, F.lit(float("inf"))).alias("_id")))
-        ranged = ranged.select("doc_id", "text", F.col("_bucket").cast("int").alias("_range"))
-    else:
-        ranged = documents.select("doc_id", "text", F.lit(0).alias("_range"))
-    # A row a range, of which there are at most MAX_RANGES: its first id (null where it has no other).
-    firsts = sorted((r["_range"], r["_first"]) for r in ranged.groupBy("_range").agg(F.min("doc_id").alias("_first")).collect())
-    edges = spark.createDataFrame(
-        [(r, first, firsts[i - 1][0]) for i, (r, first) in enumerate(firsts)], f"_range int, _first {kind}, _before int"
-    )
-    own = F.struct(F.col("_range").alias("r"), F.lit(False).alias("tail"))
-    also = F.struct(F.col("_before").alias("r"), F.lit(True).alias("tail"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("_first"))
-    sent = (
-        ranged.join(F.broadcast(edges), "_range")
-        .withColumn("_to", F.explode(F.when(is_first, F.array(own, also)).otherwise(F.array(own))))
-        .select(F.col("_to.r").alias("r"), F.col("_to.tail").alias("tail"), "doc_id", "text")
-    )
-    ordered = sent.repartition(max(1, len(firsts)), "r").sortWithinPartitions(
-        "r", "tail", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
@@ -238,13 +260,13 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         done = None  # the range whose tail has come
         rows: list[tuple] = []
 
-        def emit() -> pa.RecordBatch:
+        def emit(ids: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [ids, *kinds], strict=True)], names=names)
 
         for b in batches:
-            for r, tail, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r, tail, doc_id, text in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
                 if tail and done == r:
                     continue
                 here = _Text(text, rarity)
@@ -252,14 +274,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                     rows.append(_row(waiting[1], waiting[2], here, rarity))
                 waiting = None if tail else (r, doc_id, here)
                 done = r if tail else None
-            yield emit()
-
-    out = pa.schema([
-        ("doc_id", pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()), ("n_chars", pa.int64()),
-        ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
-        ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_features", pa.int64()),
-    ])
-    return ordered.mapInArrow(
+            yield emit(b.column(2).type)
+
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_features"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+    return _ranged(documents).mapInArrow(
         run,
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double, n_features long",

@@ -166,6 +166,38 @@ def test_digest_cases(odd, empty):
     assert digest.fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,3)", "double", "date", "long", "boolean"])
+def test_digests_of_any_ids_in_many_ranges(spark, monkeypatch, kind):
+    """Ids of any type, a third of the rows with one id and some without, in ranges of few rows: each text is followed by the next."""
+    monkeypatch.setattr(digest, "RANGE_ROWS", 40)
+    made = {
+        "string": "concat('k', id)", "decimal(20,3)": "cast(id / 8 as decimal(20,3))", "double": "if(id = 7, double('nan'), id / 8)", "date": "date_add(date'2020-01-01', cast(id as int))",
+        "long": "9007199254740993 + id", "boolean": "id % 2 = 0",
+    }[kind]
+    docs = spark.range(900).selectExpr(f"case when id % 3 = 0 then (select min({made}) from range(50, 51)) when id % 50 = 1 then null else {made} end AS doc_id", "concat(repeat('words and more words ', 3), id * 7919 % 1000) AS text")
+    docs = docs.repartition(5)
+    got = digest.fingerprints(docs)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).collect()
+    want = sorted((repr(a["doc_id"]), hashlib.sha256(digest.edited(a["text"], b["text"]).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((repr(r["doc_id"]), r["edited_sha256"]) for r in got.collect()) == want
+
+
+def test_an_id_with_many_rows_is_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(digest, "RANGE_ROWS", 50)
+    docs = spark.range(1000).selectExpr("if(id % 3 = 0, id, 5L) AS doc_id", "concat('t', id) AS text")
+    sizes = [r["n"] for r in digest._ranged(docs).groupBy("r").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 12 and max(sizes) < 150
+
+
+def test_likeness_block_by_block(monkeypatch):
+    rng = np.random.default_rng(0)
+    a, b = (digest.Digest(rng.integers(0, 1 << 62, n, np.int64).astype(np.uint64)) for n in (2000, 3000))
+    whole = a.likeness(b)
+    monkeypatch.setattr(digest, "FILTERS_AT_ONCE", 3)
+    assert a.likeness(b) == whole
+
+
 def plain_simhash(text):
     words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
