@@ -11,8 +11,8 @@ observed. Loopy belief propagation carries their labels along the skip edges, so
 that `555-2485` is a phone number where `+1 (988) 555-2485` stands elsewhere in the
 text. Each document's messages pass until they settle, whatever other documents are at
 hand. All potentials are trained together, by pseudo-likelihood: each node's label given
-its features, its neighbours' labels and those of its similar nodes, on pattern spans in
-a bounded sample of documents.
+its features, its neighbours' labels and those of its similar nodes, and given its features
+alone, on pattern spans in a bounded sample of documents.
 
 Cases: a null or empty text has no spans. Overlapping spans of different kinds all
 count. Texts are read whole; the patterns are matched in time linear in the text.
@@ -29,6 +29,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,9 @@ BUCKETS = 1 << 12
 ROUNDS, RATE, PENALTY = 150, 0.2, 1e-3
 #: What a token of which nothing is known has for being no personal data.
 PRIOR = 1.5
-#: A document's messages have settled where none moves by more than this, which ends after so many sweeps at last.
-SETTLED, SWEEPS, DAMPING = 1e-4, 300, 0.5
+#: A document's messages move by this part of the way at a time and have settled where none moves by more than that. After as
+#: many sweeps as the document has nodes, and so many more, steps shrink by a factor a sweep, so that messages that turn in circles settle too.
+STEP, SETTLED, PATIENCE, SHRINK = 0.5, 5e-5, 100, 0.97
 #: Skip potentials start from counts, with so many agreeing and disagreeing pairs more; no potential is over the bound.
 AGREE, DISAGREE, BOUND = 10.0, 0.5, 4.0
 
@@ -102,10 +104,33 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
+def overlong(text: str) -> list[tuple[int, int]]:
+    """Places where a pattern runs over several numbers and so finds none: of these nothing is learned."""
+    found = []
+    if _HINT.search(text):
+        found = [m.span() for m in _CARD.finditer(text) if m.end() - m.start() > 19 and len(re.sub("[^0-9]", "", m.group())) > 19]
+        if "+" in text:
+            found += [m.span() for m in _PHONE.finditer(text) if len(re.sub("[^0-9]", "", m.group())) > 15]
+    return sorted(found)
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
+#: Digits of a whole number by kind, and the most of one; other kinds are never in pieces.
+_WHOLE, _MOST = {2: 14, 3: 10}, {2: 19, 3: 15}
+
+
+def _one_number(text: str, a: Span, b: Span) -> bool:
+    """Whether two neighbours of one kind are pieces of one number: neither is a number by itself, and both together are not too long for one."""
+    kind = a[2]
+    if kind not in _WHOLE or text[a[1] : b[0]].strip(_EDGE) or text[b[0]] == "+":
+        return False
+    sizes = [len(re.sub("[^0-9]", "", text[s[0] : s[1]])) for s in (a, b)]
+    return sum(sizes) <= _MOST[kind] and sizes[1] < _WHOLE[kind] and (sizes[0] < _WHOLE[kind] or kind == 3)
+
+
 class Graph:
     """Nodes, features and edges of some documents in flat arrays; label 0 is none, label k + 1 is kind k, -1 is unknown."""
 
@@ -117,9 +142,10 @@ class Graph:
         self.skip = array("q")
 
     def add(self, document: int, text: str, base: list[Span], gold: bool = False) -> None:
-        """Adds a document; where `gold`, nodes outside the spans are known to be none."""
+        """Adds a document; where `gold`, nodes outside the spans, and not in an overlong match, are known to be none."""
         keys, owners = array("Q"), array("q")
         last, upto, inside = -2, 0, []
+        vague = overlong(text) if gold else []
         for i, place, token, before, after in _hinted(text):
             while upto < len(base) and base[upto][0] < place + len(token):
                 inside.append(base[upto])
@@ -130,7 +156,8 @@ class Graph:
             node = len(self.label)
             self.at.extend((document, start, start + len(core)))
             over = [s[2] for s in inside if s[0] < start + len(core) and s[1] > start]
-            self.label.append(min(over) + 1 if over else 0 if gold else -1)
+            none = gold and not any(a < start + len(core) and b > start for a, b in vague)
+            self.label.append(min(over) + 1 if over else 0 if none else -1)
             self.features.extend(_features(token, core, before, after))
             if last == i - 1:
                 self.chain.extend((node - 1, node))
@@ -193,11 +220,18 @@ class Field:
     def train(cls, graph: Graph) -> Field:
         """Maximises the pseudo-likelihood by Adam: unary weights, transitions and the reward of agreement together.
 
-        Transitions and the reward start from counts, and are drawn back to them.
+        Each node is learned from twice, with its neighbours' labels and with these masked, so
+        that neither the neighbours nor the node's own features are all that tells a label.
+        Transitions and the reward start from counts, and are drawn back to them. All transitions
+        between two different kinds are one potential: how often two kinds are neighbours depends
+        on what the patterns run over, so only that they are can be learned. Nodes of which
+        nothing is known are left out.
         """
         n, labels = len(KINDS) + 1, np.array(graph.label, np.int64)
         chain, skip = (np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip))
-        chosen = np.arange(len(labels))[:: max(1, -(-len(labels) // SAMPLE_TOKENS))]
+        chain, skip = (e[(labels[e] >= 0).all(1)] for e in (chain, skip))
+        known = np.flatnonzero(labels >= 0)
+        chosen = known[:: max(1, -(-len(known) // SAMPLE_TOKENS))]
         x = np.array(graph.features, np.int64).reshape(len(labels), -1)[chosen]
         width, y = x.shape[1], labels[chosen]
         # How many neighbours of each label a node has: before it, after it, and similar ones.
@@ -206,10 +240,14 @@ class Field:
         np.add.at(after, (chain[:, 0], labels[chain[:, 1]]), 1)
         np.add.at(alike, (skip[:, 0], labels[skip[:, 1]]), 1)
         np.add.at(alike, (skip[:, 1], labels[skip[:, 0]]), 1)
-        before, after, alike = before[chosen], after[chosen], alike[chosen]
+        before, after, alike = (np.concatenate((m[chosen], np.zeros((len(chosen), n)))) for m in (before, after, alike))
+        x, y = np.concatenate((x, x)), np.concatenate((y, y))
+        mixed = ~np.eye(n, dtype=bool)
+        mixed[0] = mixed[:, 0] = False
         w, b = np.zeros((BUCKETS, n)), np.zeros(n)
         b[0] = PRIOR
         lift, agreement = _lift(chain, labels, n), _agreement(skip, labels, n)
+        lift[mixed] = max(0.0, lift[mixed].mean())
         c, r = lift.copy(), agreement
         first, second = [np.zeros_like(w), np.zeros_like(c), 0.0], [np.zeros_like(w), np.zeros_like(c), 0.0]
         for step in range(1, ROUNDS + 1):
@@ -226,6 +264,7 @@ class Field:
                 moves.append(RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8))
             w = w - moves[0]
             c = np.clip(c - moves[1], -BOUND, BOUND)
+            c[mixed] = c[mixed].mean()
             r = float(np.clip(r - moves[2], 0, BOUND))
         return cls(w, b, c, np.eye(n) * r)
 
@@ -249,7 +288,9 @@ class Field:
         message = [np.zeros((len(x), k), np.float32) for x in source]
         belief = own.copy()
         moving = np.ones(document.max(initial=-1) + 1, bool)
-        for _ in range(SWEEPS):
+        waits = PATIENCE + np.bincount(document, minlength=len(moving))
+        for sweep in count():
+            step = (STEP * SHRINK ** np.maximum(0, sweep - waits)).astype(np.float32)
             moved = np.zeros(len(moving), np.float32)
             found = []
             for i in range(4):
@@ -261,18 +302,18 @@ class Field:
                 np.maximum.at(moved, document[source[i][live]], np.abs(new - message[i][live]).max(1, initial=0))
                 found.append((live, new))
             for i, (live, new) in enumerate(found):
-                message[i][live] = DAMPING * message[i][live] + (1 - DAMPING) * new
+                message[i][live] += step[document[source[i][live]], None] * (new - message[i][live])
             belief = own.copy()
             for i in range(4):
                 for label in range(k):
                     belief[:, label] += np.bincount(target[i], message[i][:, label], n).astype(np.float32)
-            moving &= moved > SETTLED
+            moving &= moved * step > SETTLED
             if not moving.any():
                 break
         return belief.argmax(1)
 
     def added(self, texts: dict[int, str], graph: Graph) -> dict[int, list[Span]]:
-        """Spans of unobserved nodes with a label; neighbours of one kind are one span."""
+        """Spans of unobserved nodes with a label; neighbours that are pieces of one number are one span."""
         found: dict[int, list[Span]] = defaultdict(list)
         if len(graph.label):
             labels = self.decode(graph)
@@ -280,7 +321,7 @@ class Field:
             new = np.flatnonzero((labels > 0) & (np.array(graph.label) < 0))
             for (document, start, end), label in zip(at[new].tolist(), labels[new].tolist(), strict=True):
                 own = found[document]
-                if own and own[-1][2] == label - 1 and not texts[document][own[-1][1] : start].strip(_EDGE):
+                if own and own[-1][2] == label - 1 and _one_number(texts[document], own[-1], (start, end, label - 1)):
                     start = own.pop()[0]
                 own.append((start, end, label - 1))
         return found
