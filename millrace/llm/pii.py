@@ -48,7 +48,7 @@ SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, SAMPLE_LONGEST, SAMPLE_TOKENS = 8000, 40_00
 BUCKETS = 1 << 12
 ROUNDS, RATE, PENALTY = 150, 0.2, 1e-3
 #: What a token of which nothing is known has for being no personal data.
-PRIOR = 1.5
+PRIOR = 4.0
 #: A document's messages move by this part of the way at a time and have settled where none moves by more than that. After as
 #: many sweeps as the document has nodes, and so many more, steps shrink by a factor a sweep, so that messages that turn in circles settle too.
 STEP, SETTLED, PATIENCE, SHRINK = 0.5, 5e-5, 100, 0.97

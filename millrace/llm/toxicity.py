@@ -37,6 +37,8 @@ from millrace.session import ship
 
 #: Bounds of the sample that the classifiers are trained on; scoring reads everything.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
+#: Characters of a text, and of all texts of a kind together, beyond which no text is drawn.
+LONGEST, CHARACTERS = 200_000, 60_000_000
 CLASSIFIERS = 3
 PREFIXES = (3, 4, 5, 6)
 MAX_FEATURES = 4096
@@ -169,27 +171,44 @@ class Scorer:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """Up to `most` different texts of rows (doc_id, text, key), in the order of a hash of their keys, each once, within the bounds in characters.
+
+    Keys and lengths are chosen first, so of a row that is there very often no task gets more than one text from another.
+    """
+    length = F.length(F.coalesce("text", F.lit("")))
+    keys = rows.where(length <= LONGEST).groupBy("key").agg(F.min(length).alias("n")).orderBy(F.xxhash64("key", F.lit("draw")), "key").limit(most).collect()
+    chosen, left = [], CHARACTERS
+    for r in keys:
+        left -= r["n"]
+        if left < 0:
+            break
+        chosen.append((r["key"],))
+    picked = rows.sparkSession.createDataFrame(chosen, "key long")
+    return rows.join(F.broadcast(picked), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+
 def fit(documents: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, unlabelled: int = MAX_UNLABELLED) -> Scorer:
     """Learns from the documents (doc_id, text) and labels (doc_id, toxic) whose ids are not held out.
 
     The prior is the share of toxic rows among the labelled ones. Up to `positives`
-    toxic ids are drawn by a hash of the id, and their texts found by a broadcast
-    join of so many ids; about `unlabelled` texts are drawn likewise from all
-    documents, whatever their labels.
+    toxic ids are drawn by a hash, and up to as many of their different texts; up to
+    `unlabelled` texts are drawn from all documents, whatever their labels. Texts of more
+    than LONGEST characters are not drawn, nor more than CHARACTERS characters of either kind.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     seen = known.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("double")).alias("t")).first()
-    learn = documents.where(~held_out()).select("doc_id", "text")
+    learn = documents.where(~held_out()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     total = learn.count()
     if not seen["n"] or not seen["t"] or not total:
         return Scorer({}, None)
     prior = min(0.99, max(1e-4, seen["t"] / seen["n"]))
-    ids = known.where(F.col("toxic") == 1).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    ids = known.where(F.col("toxic") == 1).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
     every = F.explode(F.array(*[F.lit(k) for k in range(CLASSIFIERS)])).alias("part")
-    positive = learn.join(F.broadcast(ids), "doc_id").select("text", F.lit(1).alias("positive"), every)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30))
-    others = learn.where(drawn < int(min(1.0, unlabelled / total) * (1 << 30))).select(
-        "text", F.lit(0).alias("positive"), F.pmod(drawn, F.lit(CLASSIFIERS)).cast("int").alias("part")
+    positive = _drawn(learn.join(F.broadcast(ids), "doc_id", "left_semi"), positives).select("text", F.lit(1).alias("positive"), every)
+    some = F.pmod(F.col("key"), F.lit(1 << 30)) < int(min(1.0, 2 * unlabelled / total) * (1 << 30))  # about twice as many, so that few are ordered
+    others = _drawn(learn.where(some), unlabelled).select(
+        "text", F.lit(0).alias("positive"), F.pmod(F.xxhash64("key", F.lit("part")), F.lit(CLASSIFIERS)).cast("int").alias("part")
     )
     ship(documents.sparkSession)
 

@@ -45,8 +45,21 @@ INDEX = "page_id long, url string, archive string, offset long, length long, pay
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Schemes of stores that Spark and Arrow name differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss"}
+
+
+def _uri(root: str) -> str:
+    """A path as Spark has it, as a URI for Arrow; both read their credentials from the environment of the cluster."""
+    scheme, mark, rest = root.partition("://")
+    if not mark:
+        scheme, rest = ("file", root.removeprefix("file:")) if not root.startswith("hdfs:/") else ("hdfs", root.removeprefix("hdfs:"))
+    return f"{_SCHEMES.get(scheme, scheme)}://{rest}"
+
+
 def _filesystem(root: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    """The file system of a path and the path in it: local, S3, GCS or Azure by Arrow's own clients, HDFS and others by libhdfs."""
+    return pa.fs.FileSystem.from_uri(_uri(root))
 
 
 def _urn(page_id: int | None) -> str:

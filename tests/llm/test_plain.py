@@ -160,6 +160,16 @@ def test_hidden_mentions_are_brought_back():
     assert hidden > 150 and right / hidden > 0.95 and right / added > 0.95
 
 
+def test_tables_of_numbers_are_left_alone():
+    draw = random.Random(9)
+    graph = pii.Graph()
+    for i, text in enumerate(mentions(draw, 400)):
+        graph.add(i, text, pii.base_spans(text), gold=True)
+    field = pii.Field.load(pii.Field.train(graph).dump())
+    for low, high in ((0, 50), (10**6, 10**7), (10**7, 10**8), (10**11, 10**12)):
+        assert pii.find([" ".join(str(draw.randrange(low, high)) for _ in range(3000))], field)[0] == ([], [])
+
+
 def test_messages_that_turn_in_circles_settle():
     """Strong potentials that disagree round a loop: steps shrink until nothing moves."""
     n = len(pii.KINDS) + 1

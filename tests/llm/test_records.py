@@ -44,6 +44,14 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_paths_as_spark_names_them(tmp_path):
+    assert warc._uri("/a/b") == "file:///a/b" == warc._uri("file:/a/b") == warc._uri("file:///a/b")
+    assert warc._uri("s3a://bucket/x") == "s3://bucket/x" and warc._uri("hdfs://name:9000/x") == "hdfs://name:9000/x" and warc._uri("hdfs:/x") == "hdfs:///x"
+    files, folder = warc._filesystem(f"file:{tmp_path}")
+    files.create_dir(f"{folder}/made")
+    assert (tmp_path / "made").is_dir()
+
+
 def test_warc_offsets_point_at_records(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     index = warc.write(pages, str(tmp_path)).collect()

@@ -222,3 +222,18 @@ def test_pieces_of_a_long_text_count_the_same(monkeypatch):
     whole = langid.listed(text)
     monkeypatch.setattr(langid, "PIECE", 37)
     assert langid.listed(text).tolist() == whole.tolist()
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
+    """A toxic id with a third of the rows, and texts beyond the bound: each text is drawn once, and no more characters than allowed."""
+    from millrace.llm import toxicity
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 1L, id) AS doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) AS text")
+    rows = rows.selectExpr("*", "xxhash64(doc_id, text) AS key")
+    drawn = [r["text"] for r in toxicity._drawn(rows, 500).collect()]
+    assert len(drawn) == len(set(drawn)) == 500
+    monkeypatch.setattr(toxicity, "CHARACTERS", 200)
+    assert 100 < sum(len(r["text"]) for r in toxicity._drawn(rows, 500).collect()) <= 200
+    monkeypatch.setattr(toxicity, "LONGEST", 7)
+    assert {len(r["text"]) for r in toxicity._drawn(rows, 500).collect()} <= {6, 7}
+    assert toxicity._drawn(rows.limit(0), 5).count() == 0
