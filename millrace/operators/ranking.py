@@ -32,7 +32,7 @@ def hash_ranked(df: DataFrame, by: list[str], digest: Column, name: str = "rank"
     return cut.withColumn("_here", here).join(starts, [*by, "_part"]).withColumn(name, F.col("_before") + F.col("_here") - 1).select(*df.columns, name)
 
 
-def _ranges(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def ranges(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """`df` in the order of `by` and `value`, cut into ranges (_range) of which one value, however common, may fill several."""
     salted = df.withColumn("_salt", F.rand(0))
     return staged(salted.repartitionByRange(*by, value, "_salt").withColumn("_range", F.spark_partition_id()).drop("_salt"), "ranges")
@@ -47,7 +47,7 @@ def average_ranked(df: DataFrame, by: list[str], value: str, name: str) -> DataF
     in more than one range, are added up over the ranges: a few rows a range, whatever the
     number of groups. Rows whose value is null get no rank and count for none.
     """
-    placed = _ranges(df, by, value)
+    placed = ranges(df, by, value)
     here = ["_range", *by]
     group = Window.partitionBy(*by)
     counts = placed.where(F.col(value).isNotNull()).groupBy(*here, F.col(value).alias("_v")).agg(F.count("*").alias("_equal"))

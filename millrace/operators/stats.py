@@ -12,7 +12,9 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from millrace.operators.ranking import ranges
 from millrace.session import staged
 
 
@@ -24,6 +26,25 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns(scaled).select(*df.columns)
 
 
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The exact median of each group, however many rows it has: by, n and median (the mean of the two middle values).
+
+    Rows are cut into ranges in the order of group and value; the sizes of a group's ranges, summed
+    up, say in which ranges its middle rows are, and only there rows are counted off. No task
+    holds a group, and no buffer all its values. Nulls are left out.
+    """
+    placed = ranges(df.select(*by, value).where(F.col(value).isNotNull()), by, value)
+    here, group = ["_range", *by], Window.partitionBy(*by)
+    sizes = placed.groupBy(*here).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = sizes.withColumns({"_before": before, "n": F.sum("_n").over(group)})
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    wanted = marked.where((F.col("_before") <= high) & (F.col("_before") + F.col("_n") > low)).select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(here)], "n", (low - F.col("_before")).alias("_low"), (high - F.col("_before")).alias("_high"))
+    met = placed.join(wanted, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(here)])  # two ranges a group at most
+    counted = met.withColumn("_at", F.row_number().over(Window.partitionBy(*here).orderBy(value)) - 1)
+    return counted.where((F.col("_at") == F.col("_low")) | (F.col("_at") == F.col("_high"))).groupBy(*by).agg(F.max("n").alias("n"), F.avg(value).alias("median"))
+
+
 def gram(df: DataFrame, terms: list[Column], target: Column, weight: Column | None = None, more: dict[str, Column] | None = None):
     """Weighted X'X, X'y and further sums of rows, by one aggregation."""
     w = F.lit(1.0) if weight is None else weight

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.functions.scalar import flag
+from millrace.functions.scalar import flag, whole_match
+from millrace.operators import geometry
 
 
 class ContractError(ValueError):
@@ -147,6 +148,48 @@ def geojson_polygons(spark: SparkSession, path: str, code: str) -> DataFrame:
     return vertices.select("code", "ring", "position", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
+#: Names of coordinate systems in degrees of longitude and latitude; a layer that names none is in these too.
+DEGREES = ("EPSG:4326", "urn:ogc:def:crs:OGC:1.3:CRS84", "urn:ogc:def:crs:EPSG::4326")
+_LAYER = "type string, crs struct<type: string, properties: struct<name: string>>"
+_AREA = "type string, geometry struct<type: string, coordinates: string>, properties map<string,string>"
+
+
+def geojson_areas(spark: SparkSession, path: str, code: str, pattern: str = ".+", decimals: int = 6) -> DataFrame:
+    """(code, part, ring, position, x, y) of the valid polygons of a layer of areas, as fixed-point numbers.
+
+    Polygons and multipolygons are taken; a polygon is a part of its own. Refused are a layer
+    in another coordinate system, one without areas, codes that do not match the pattern as a
+    whole or come twice, other or empty geometries, and polygons that are not valid
+    (operators.geometry.invalid()), with their reasons.
+    """
+    layer = spark.read.text(path, wholetext=True).select(F.from_json("value", _LAYER).alias("l"))
+    refuse(layer, {"no_layer": ~F.coalesce(F.col("l.type") == "FeatureCollection", F.lit(False)), "other_coordinates": ~F.coalesce("l.crs.properties.name", F.lit(DEGREES[0])).isin(*DEGREES)})
+    rows = _features(spark, path, _AREA).select(F.col(f"f.properties.{code}").alias("code"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
+    rings = "array<array<array<double>>>"
+    parts = F.when(F.col("kind") == "Polygon", F.array(F.from_json("c", rings))).when(F.col("kind") == "MultiPolygon", F.from_json("c", f"array<{rings}>"))
+    rows = rows.select("code", parts.alias("parts"))
+    if rows.limit(1).isEmpty():
+        raise ContractError("the layer is empty")
+    bare = F.exists("parts", lambda p: F.coalesce(F.size(p) < 1, F.lit(True)) | F.exists(p, lambda r: F.coalesce(F.size(r) < 1, F.lit(True)) | F.exists(r, lambda v: F.size(v) < 2)))
+    _unique(refuse(rows, {
+        "no_code": ~F.coalesce(whole_match(F.col("code"), pattern), F.lit(False)), "no_polygon": F.col("parts").isNull(), "empty": F.coalesce(F.size("parts") < 1, F.lit(True)) | F.coalesce(bare, F.lit(True)),
+    }))
+    vertices = rows.select("code", F.posexplode("parts").alias("part", "p")).select("code", "part", F.posexplode("p").alias("ring", "r")).select("code", "part", "ring", F.posexplode("r").alias("position", "v"))
+    fixed = geometry.fixed_point(vertices.select("code", "part", "ring", "position", F.col("v")[0].alias("x"), F.col("v")[1].alias("y")), decimals)
+    bad = geometry.invalid(fixed).groupBy("reason").agg(F.count("*").alias("n")).collect()
+    if bad:
+        raise ContractError(f"areas are not valid: { {r['reason']: r['n'] for r in bad} }")
+    return fixed
+
+
+def same_codes(areas: DataFrame, points: DataFrame) -> None:
+    """Refuses layers of areas and points whose codes differ."""
+    a, b = areas.select("code").distinct(), points.select("code").distinct()
+    only = a.exceptAll(b).count(), b.exceptAll(a).count()
+    if any(only):
+        raise ContractError(f"{only[0]} codes have no point, {only[1]} no area")
+
+
 def _features(spark: SparkSession, path: str, feature: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"features array<struct<{_colons(feature)}>>")["features"]).alias("f"))

@@ -58,3 +58,18 @@ def write_feature_collection(df: DataFrame, path: str, order: list[str]) -> None
     nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order]
     ends = df.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "_part int, line string").select("_part", *nothing, "line")
     lines.unionByName(ends).orderBy("_part", *order).coalesce(1).select("line").write.mode("errorifexists").text(path)
+
+
+def named_texts(df: DataFrame, path: str, key: str, name: str) -> None:
+    """One text file for each row of (key, text), under a name with the key in it; for few rows, since each is a rename."""
+    df.repartition(key).write.mode("errorifexists").partitionBy(key).text(f"{path}/.writing")
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.globStatus(hadoop.Path(f"{path}/.writing/{key}=*")):
+        value = folder.getPath().getName().partition("=")[2]
+        parts = [s.getPath() for s in files.listStatus(folder.getPath()) if s.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise ValueError(f"{len(parts)} files for {key} {value}")
+        files.rename(parts[0], hadoop.Path(f"{path}/{name.format(value)}"))
+    files.delete(hadoop.Path(f"{path}/.writing"), True)

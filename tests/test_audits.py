@@ -154,3 +154,12 @@ def test_only_what_can_be_made_again_is_stored(spark, tmp_path):
     assert store.current().number == 1 and store.read("rows").count() == 10
     assert store_rebuilt(store, {"season": "2024-25", "period": "4"}, rows, rows) == "inserted"
     assert store.read("rows").join(store.read("runs"), "run_id").groupBy("period").count().orderBy("period").collect() == [("3", 10), ("4", 10)]
+
+
+def test_the_time_of_a_run_is_recorded(spark, tmp_path):
+    before = spark.sql("select current_timestamp()").first()[0]
+    store = Store(spark, str(tmp_path))
+    store_rebuilt(store, {"k": "1"}, spark.range(3), spark.range(3))
+    said = store.read("runs").first()["recorded_at"]
+    assert before <= said <= spark.sql("select current_timestamp()").first()[0]
+    assert store_rebuilt(store, {"k": "1"}, spark.range(3), spark.range(3)) == "replayed" and store.read("runs").first()["recorded_at"] == said

@@ -200,3 +200,38 @@ def test_coordinates_out_of_reach_are_refused(spark):
     assert [tuple(r) for r in geometry.fixed_point(df.where("position = 0")).collect()] == [("a", 0, 0, 0, 1500000, -2250000)]
     with pytest.raises(Exception, match="out of reach"):
         geometry.fixed_point(df).collect()
+
+
+def layer(path, features, **more):
+    import json
+
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": kind, "coordinates": c}, "properties": {"code": code}} for code, kind, c in features], **more}))
+    return str(path)
+
+
+def ring(*points):
+    return [list(p) for p in (*points, points[0])]
+
+
+def test_layers_of_areas(spark, tmp_path):
+    from millrace.sources import readers
+
+    square, other = ring((0, 0), (1, 0), (1, 1), (0, 1)), ring((1, 0.5), (2, 0.5), (2, 2), (1, 2))
+    far = ring((5, 5), (6, 5), (6, 6))
+    good = [("E1", "Polygon", [square]), ("E2", "MultiPolygon", [[other], [far]])]
+    crs = {"crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}}
+    got = readers.geojson_areas(spark, layer(tmp_path / "a.json", good, **crs), "code", "E[0-9]")
+    assert got.count() == 5 + 5 + 4 and {tuple(r) for r in got.select("code", "part").distinct().collect()} == {("E1", 0), ("E2", 0), ("E2", 1)}
+    assert [tuple(r) for r in geometry.touching(got).collect()] == [("E1", "E2")]
+    points = spark.createDataFrame([("E1", 0.5, 0.5), ("E2", 1.5, 1.0)], "code string, x double, y double")
+    readers.same_codes(got, points)
+    with pytest.raises(readers.ContractError, match="1 codes have no point"):
+        readers.same_codes(got, points.where("code = 'E1'"))
+    bow = ring((0, 0), (1, 1), (1, 0), (0, 1))
+    cases = [
+        (good, {"crs": {"type": "name", "properties": {"name": "EPSG:27700"}}}, "other_coordinates"), ([], {}, "empty"), ([*good, good[0]], {}, "twice"), ([("X1", "Polygon", [square])], {}, "no_code"),
+        ([("E1", "Point", [0, 0])], {}, "no_polygon"), ([("E1", "Polygon", [])], {}, "empty"), ([("E1", "Polygon", [bow])], {}, "self_crossing"), ([("E1", "Polygon", [square[:-1]])], {}, "open_ring"),
+    ]
+    for i, (features, more, said) in enumerate(cases):
+        with pytest.raises(readers.ContractError, match=said):
+            readers.geojson_areas(spark, layer(tmp_path / f"c{i}.json", features, **more), "code", "E[0-9]")

@@ -42,7 +42,7 @@ def test_average_ranks_equal_brute_force(spark, groups, values):
 
 def test_one_group_is_ranked_by_many_tasks(spark):
     df = spark.range(20000).select(F.lit(1).alias("g"), (F.col("id") % 3).cast("double").alias("v"))
-    placed = ranking._ranges(df, ["g"], "v").groupBy("_range").count().collect()
+    placed = ranking.ranges(df, ["g"], "v").groupBy("_range").count().collect()
     assert len(placed) >= 4 and max(r["count"] for r in placed) < 10000
     got = {(r["v"], r["r"]) for r in ranking.average_ranked(df, ["g"], "v", "r").select("v", "r").distinct().collect()}
     assert got == {(0.0, 3334.0), (1.0, 10001.0), (2.0, 16667.5)}
@@ -69,3 +69,20 @@ def test_ranking_metrics_equal_plain_versions(spark):
             top = min(k, len(own))
             ids = lambda j: {r[0] for r in sorted(own, key=lambda r: (-r[j], r[0]))[:top]}  # noqa: B023, E731
             assert overlap[g] == pytest.approx(len(ids(1) & ids(2)) / top, rel=1e-12)
+
+
+@pytest.mark.parametrize("groups,values", [(1, 1), (1, 10**6), (3, 4), (200, 50)])
+def test_medians_equal_brute_force(spark, groups, values):
+    import statistics
+
+    from millrace.operators import stats
+
+    draw = random.Random(groups)
+    rows = [(draw.choice((None, *range(groups))), draw.choice((None, 1.0)) if draw.random() < 0.1 else draw.randrange(values) / 4) for _ in range(1501)]
+    got = {r["g"]: (r["n"], r["median"]) for r in stats.medians(spark.createDataFrame(rows, "g int, v double").repartition(5), ["g"], "v").collect()}
+    kept = defaultdict(list)
+    for g, v in rows:
+        if v is not None:
+            kept[g].append(v)
+    assert got == {g: (len(vs), statistics.median(vs)) for g, vs in kept.items()}
+    assert stats.medians(spark.createDataFrame([], "g int, v double"), ["g"], "v").count() == 0
