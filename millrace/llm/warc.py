@@ -38,6 +38,8 @@ READ_BYTES, GAP = 4 << 20, 64 << 10
 #: Index rows are dealt out to readers by stretches of an archive of so many bytes.
 STRETCH = 1 << 20
 LEVEL = 6
+#: Payloads that occur more than once are sent to all tasks if there are at most so many; else pages meet them in a shuffle.
+BROADCAST_ROWS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -111,7 +113,11 @@ def decided(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", "html", F.sha2(data, 256).alias("digest"), F.octet_length(data).alias("bytes"))
     own = own.withColumn("shared", F.when(F.col("bytes") >= SMALLEST, F.col("digest")))
     groups = own.where(F.col("shared").isNotNull()).groupBy("shared").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    met = join_unique(own, groups.where(F.col("n") > 1), "shared", "n", pages.count())
+    repeated = staged(groups.where(F.col("n") > 1), "repeated")
+    if repeated.count() <= BROADCAST_ROWS:  # pages stay where they are
+        met = own.join(F.broadcast(repeated.drop("n")), "shared", "left")
+    else:
+        met = join_unique(own, repeated, "shared", "n", pages.count())
     refers = F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first"))
     return met.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 

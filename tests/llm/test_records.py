@@ -513,3 +513,15 @@ def test_rarity_counts_windows_at_every_byte(spark):
     counts = np.bincount(digest.window_classes(text.encode()), minlength=digest.CLASSES)
     want = np.argsort(np.argsort(counts, kind="stable"), kind="stable")
     assert (digest.rarity_of(spark.createDataFrame([(1, text)], "doc_id long, text string")) == want).all()
+
+
+def test_warc_decides_alike_with_and_without_a_shuffle(spark, monkeypatch):
+    """The repeated payloads by broadcast, or met in a shuffle: the same records; pages are not shuffled in the first way."""
+    made = [(i, f"u{i}", "<p>" + "x" * (100 + i % 7)) for i in range(300)] + [(None, "n", "<p>" + "x" * 100), (5000, None, None), (5001, "e", "")]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    near = warc.decided(pages)
+    assert "Exchange hashpartitioning" not in near._jdf.queryExecution().executedPlan().toString()
+    one = rows(near)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
+    assert rows(warc.decided(pages)) == one
+    assert sum(r[4] is not None for r in one) == 294
