@@ -129,7 +129,33 @@ _VOCAB = """,
     encoded AS (SELECT conv_id, turn, position, token, coalesce(index, 1) AS token_id FROM tagged LEFT JOIN vocab ON lower(token) = value)"""
 _T = "WITH " + _TAGGED
 
+def _greedy_sql() -> str:
+    """One group after the other, with what each part has as lists: of all labels (three entries a label), and in all."""
+    shares = (0.7, 0.15, 0.15)
+
+    def cost(p: int) -> str:
+        have, whole, t, w = f"have[3 * (li - 1) + {p}]", f"whole[{p}]", f"(total * {shares[p - 1]}::DOUBLE)", f"(every * {shares[p - 1]}::DOUBLE)"
+        step = f"(size * (2 * ({have} - {t}) + size))"
+        own = f"CASE WHEN {have} + size <= {t} THEN {step} WHEN {have} >= {t} THEN 3 * {step} ELSE 3 * ({have} + size - {t}) * ({have} + size - {t}) - ({have} - {t}) * ({have} - {t}) END"
+        return f"({own}) / greatest({t}, 1) + 0.25::DOUBLE * size * (2 * ({whole} - {w}) + size) / greatest({w}, 1)"
+
+    return f"""
+        WITH RECURSIVE g AS (
+            SELECT 'sha256-' || sha256(text) AS group_id, min(lang) AS label, CAST(count(*) AS DOUBLE) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lang) <= 1),
+        t AS (SELECT *, sum(size) OVER (PARTITION BY label) AS total, sum(size) OVER () AS every, dense_rank() OVER (ORDER BY label) AS li FROM g),
+        o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY size DESC, total, coalesce(label, 'None'), sha256('7|' || group_id)) AS i FROM t),
+        step AS (
+            SELECT 0::BIGINT AS i, '' AS group_id, 0 AS part, list_transform(range((SELECT 3 * max(li) FROM o)), lambda x: 0::DOUBLE) AS have, [0::DOUBLE, 0::DOUBLE, 0::DOUBLE] AS whole
+            UNION ALL
+            SELECT i, group_id, part, list_transform(have, lambda x, j: x + CASE WHEN j = 3 * (li - 1) + part THEN size ELSE 0 END), list_transform(whole, lambda x, j: x + CASE WHEN j = part THEN size ELSE 0 END)
+            FROM (
+                SELECT *, CASE WHEN c1 <= c2 AND c1 <= c3 THEN 1 WHEN c2 <= c3 THEN 2 ELSE 3 END AS part
+                FROM (SELECT o.*, have, whole, {cost(1)} AS c1, {cost(2)} AS c2, {cost(3)} AS c3 FROM step JOIN o ON o.i = step.i + 1)))
+        SELECT o.group_id, label, CAST(size AS INTEGER) AS size, ['train', 'validation', 'test'][part] AS split FROM step JOIN o USING (i)"""
+
+
 ORACLE_SQL = {
+    "greedy_group_split": _greedy_sql(),
     "exact_groups": "SELECT 'sha256-' || sha256(text) AS group_id, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
     "group_conflicts": """
         SELECT 'sha256-' || sha256(text) AS group_id, count(DISTINCT source) AS n_labels, array_to_string(list_sort(list(DISTINCT source)), ',') AS labels

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import flows, spatial, stats
+from millrace.plans import fits
 from millrace.plans.flows import _A, _LINES, area_code, codes, summed
 from millrace.session import table
 
 METRES = 5000
+PERMUTATIONS = 199
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
@@ -74,20 +76,25 @@ def standardised_parts(spark: SparkSession, d: str) -> DataFrame:
     return z.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("size", "price", "constant")])
 
 
+def said(fit: DataFrame) -> DataFrame:
+    """A fit's table without p-values, which SQL has no function for, to 5 places."""
+    return fit.select("term", *[F.round(c, 5).alias(c) for c in ("estimate", "robust_error", "confidence_low", "confidence_high")])
+
+
 QUERIES = {
     "gravity_access": lambda s, d: spatial.gravity_access(areas(s, d), mass(s, d)),
     "mean_local_distance": lambda s, d: spatial.mean_local_distance(areas(s, d), flows.local_pairs(summed(s, d), codes(s, d))),
     "queen_edges": edges,
     "queen_islands": islands,
     "morans_i": lambda s, d: spatial.morans_i(balances(s, d), edges(s, d)).withColumn("moran_i", F.round("moran_i", 6)),
-    "moran_permutation": lambda s, d: spatial.moran_permutation(balances(s, d), edges(s, d)),
+    "moran_permutation": lambda s, d: spatial.moran_permutation(balances(s, d), edges(s, d), PERMUTATIONS).withColumn("observed", F.round("observed", 6)),
     "count_model_frame": lambda s, d: model_frame(s, d).select("origin", "fixed", "employed", "home", F.round("log_access", 6).alias("log_access"), F.round("home_share", 6).alias("home_share")),
     "standardize": standardised_parts,
     "ridge_fit": ridge,
     "ridge_score": ridge_scores,
-    "poisson_glm": lambda s, d: stats.poisson_glm(model_frame(s, d), "fixed", "employed", ["log_access", "home_share"]),
-    "nb2_glm": lambda s, d: stats.nb2_glm(model_frame(s, d), "fixed", "employed", ["log_access", "home_share"]),
-    "binomial_glm": lambda s, d: stats.binomial_glm(model_frame(s, d), "home", "employed", ["log_access"]),
+    "poisson_glm": lambda s, d: said(stats.poisson_glm(model_frame(s, d), "fixed", "employed", ["log_access", "home_share"])),
+    "nb2_glm": lambda s, d: said(stats.nb2_glm(model_frame(s, d), "fixed", "employed", ["log_access", "home_share"])),
+    "binomial_glm": lambda s, d: said(stats.binomial_glm(model_frame(s, d), "home", "employed", ["log_access"])),
 }
 
 _AREAS = """
@@ -99,6 +106,13 @@ _AREAS = """
 """
 _S = f"WITH {_LINES}, {_AREAS}"
 
+_MODEL = (_A + ", " + _AREAS).replace("FROM nation WHERE n_regionkey < 3", "FROM nation") + """
+    , access AS (SELECT a.code AS origin, round(sum(mass * exp(-sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 5000.0)), 6) AS access
+                 FROM areas a CROSS JOIN areas b JOIN mass ON mass.code = b.code GROUP BY a.code),
+    raw AS (SELECT origin, fixed, employed, home, ln(1 + access) AS la, home / employed AS hs FROM aggregates JOIN access USING (origin)),
+    frame AS (
+        SELECT origin, fixed, employed, home, (la - avg(la) OVER ()) / stddev_pop(la) OVER () AS log_access, (hs - avg(hs) OVER ()) / stddev_pop(hs) OVER () AS home_share FROM raw), """
+
 ORACLE_SQL = {
     "gravity_access": _S + """
         SELECT a.code AS origin,
@@ -120,12 +134,23 @@ ORACLE_SQL = {
         w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM twice)
         SELECT (SELECT count(*) FROM z) AS n, round(sum(w * p.z * q.z) / (SELECT sum(z * z) FROM z) * (SELECT count(*) FROM z) / sum(w), 6) AS moran_i
         FROM w JOIN z p ON p.code = i JOIN z q ON q.code = j""",
-    "count_model_frame": (_A.replace("FROM codes", "FROM codes") + ", " + _AREAS).replace("FROM nation WHERE n_regionkey < 3", "FROM nation") + """
-        , access AS (SELECT a.code AS origin, round(sum(mass * exp(-sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 5000.0)), 6) AS access
-                     FROM areas a CROSS JOIN areas b JOIN mass ON mass.code = b.code GROUP BY a.code),
-        raw AS (SELECT origin, fixed, employed, home, ln(1 + access) AS la, home / employed AS hs FROM aggregates JOIN access USING (origin))
-        SELECT origin, fixed, employed, home, round((la - avg(la) OVER ()) / stddev_pop(la) OVER (), 6) AS log_access,
-               round((hs - avg(hs) OVER ()) / stddev_pop(hs) OVER (), 6) AS home_share FROM raw""",
+    "count_model_frame": _MODEL[:-2] + "SELECT origin, fixed, employed, home, round(log_access, 6) AS log_access, round(home_share, 6) AS home_share FROM frame",
+    "poisson_glm": _MODEL + fits.poisson("frame", "fixed", "employed", ["log_access", "home_share"]),
+    "nb2_glm": _MODEL + fits.nb2("frame", "fixed", "employed", ["log_access", "home_share"]),
+    "binomial_glm": _MODEL + fits.binomial("frame", "home", "employed", ["log_access"]),
+    "ridge_fit": fits.ridge("SELECT p_size, p_partkey % 10 AS digit, length(p_name) AS name_length, p_retailprice FROM part", ["p_size", "digit", "name_length"], "p_retailprice", 4.0),
+    "moran_permutation": _S + f"""
+        , places AS (SELECT code, value, row_number() OVER (ORDER BY code) AS place FROM balances),
+        drawn AS (SELECT r AS round, value, row_number() OVER (PARTITION BY r ORDER BY sha256('7|' || r || '|' || code)) AS place FROM balances CROSS JOIN range({PERMUTATIONS}) t(r)),
+        dealt AS (SELECT round, p.code, d.value FROM drawn d JOIN places p USING (place) UNION ALL SELECT -1, code, value FROM balances),
+        z AS (SELECT round, code, value - avg(value) OVER (PARTITION BY round) AS z FROM dealt),
+        twice AS (SELECT a AS i, b AS j FROM edges UNION ALL SELECT b, a FROM edges),
+        w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM twice),
+        crossed AS (SELECT p.round, sum(w * p.z * q.z) / sum(w) AS c FROM w JOIN z p ON p.code = i JOIN z q ON q.code = j AND q.round = p.round GROUP BY 1),
+        moran AS (SELECT round, c * count(*) / sum(z * z) AS v, count(*) AS n FROM crossed JOIN z USING (round) GROUP BY round, c),
+        observed AS (SELECT v, n FROM moran WHERE round = -1)
+        SELECT round(o.v, 6) AS observed, o.n, (count(*) FILTER (abs(m.v + 1.0::DOUBLE / (o.n - 1)) >= abs(o.v + 1.0::DOUBLE / (o.n - 1)) - 1e-12::DOUBLE) + 1) / (count(*) + 1) AS p_value, count(*) AS permutations
+        FROM moran m CROSS JOIN observed o WHERE m.round >= 0 GROUP BY o.v, o.n""",
     "standardize": """
         SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) AS size,
                round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS price, 0.0::DOUBLE AS constant FROM part""",
