@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import ratio
 from millrace.operators.ranking import average_ranked, top_of
+from millrace.session import staged
 
 EPSILON = 2.220446049250313e-16  # of a double
 MAX_RELEVANCE = 50.0
@@ -72,7 +73,8 @@ def topk_overlap(df: DataFrame, by: list[str], k: int = 10, entity: str = "entit
 
 
 def metric_bundle(df: DataFrame, by: list[str], k: int = 10) -> DataFrame:
-    """Point metrics over all rows, and unweighted means over groups of the ranking metrics."""
+    """Point metrics over all rows, and unweighted means over groups of the ranking metrics; the rows are made once."""
+    df = staged(df.select(*by, "entity", "actual", "predicted"), "predictions")
     ranking = spearman(df, by).join(ndcg(df, by, k), by).join(topk_overlap(df, by, k), by)
     means = ranking.agg(F.avg("spearman").alias("spearman"), F.avg("ndcg").alias("ndcg"), F.avg("overlap").alias("overlap"))
     return point_metrics(df).crossJoin(F.broadcast(means))  # one row each
