@@ -191,6 +191,43 @@ def trigamma_rise(x: Column, y: Column) -> Column:
     return _tail_slope(z + y) - _tail_slope(z) - steps
 
 
+def _log1p_rest(u: Column) -> Column:
+    """log1p(u) - u for u > -1; near 0 by a series in u / (2 + u), since the difference would keep few digits."""
+    r = u / (u + 2.0)
+    w = r * r
+    series = F.lit(0.0)
+    for i in range(10, 0, -1):
+        series = (series + 2.0 / (2 * i + 1)) * w
+    return F.when(F.abs(u) < 0.25, r * (series - u)).otherwise(F.log1p(u) - u)
+
+
+def _stirling(z: Column) -> Column:
+    """ln(gamma(z)) less (z - 1/2) ln(z) - z + ln(2 pi) / 2, for z of 10 or more."""
+    w = 1 / (z * z)
+    return (((F.lit(1 / 1188) * w - 1 / 1680) * w + 1 / 1260) * w - 1 / 360) * w / z + 1 / (12 * z)
+
+
+def _nb2_terms(theta: float, y: Column, mu: Column) -> tuple[Column, Column, Column]:
+    """A count's log likelihood under variance mu + mu^2 / theta, with its slope and curvature in theta.
+
+    Sums of terms that are small themselves: with counts of millions the terms of the usual
+    formulas cancel but for their last digits, and what is left is their rounding. So they serve
+    small thetas only, and the likelihood of small counts.
+    """
+    t, u = F.lit(theta), (y - mu) / (mu + theta)
+    plain = log_rising(t, y) - log_rising(1.0, y) - y * F.log1p(theta / mu) - theta * F.log1p(mu / theta)
+    if theta < _SHIFT:
+        first = digamma_rise(t, y) - F.log1p(mu / theta) - u
+        second = trigamma_rise(t, y) + mu / (theta * (mu + theta)) + u / (mu + theta)
+        return plain, first, second
+    # The saddle point: two deviances, and what Stirling's formula leaves.
+    deviance = lambda x, own: own * (x * F.log1p(x) + _log1p_rest(x))
+    saddle = deviance(u, mu + theta) - deviance((y - mu) / mu, mu) - 0.5 * F.ln(2 * math.pi * y * (y / theta + 1.0)) + _stirling(y + theta) - _stirling(t) - _stirling(y)
+    first = _log1p_rest(u) + _tail(y + theta) - _tail(t)
+    second = u * u / (y + theta) + (_tail_slope(y + theta) - 1 / (y + theta)) - (_tail_slope(t) - 1 / theta)
+    return F.when(y < _SHIFT, plain).otherwise(saddle), first, second
+
+
 def poisson_glm(df: DataFrame, y: str, exposure: str, columns: list[str], steps: int = 50) -> DataFrame:
     """Log-linear counts with log(exposure) as offset: estimates, robust errors, limits, dispersion and AIC."""
     df = staged(df.select(y, exposure, *columns), "glm")
@@ -229,27 +266,25 @@ def nb2_glm(df: DataFrame, y: str, exposure: str, columns: list[str], steps: int
 
     Newton's method for the weights and ln(alpha) together, from the Poisson weights and a
     moment estimate of alpha: a step is one aggregation for the likelihood, its slopes and
-    curvatures, and is halved while the likelihood falls. Ends when no step is above 1e-10;
+    curvatures, and is halved while the likelihood falls by more than rounding. Ends when no step is above 1e-10;
     data that vary less than Poisson counts have no such optimum and are refused.
     """
-    df = staged(df.select(F.col(y).cast("double").alias(y), F.col(exposure).cast("double").alias(exposure), *columns, log_rising(1.0, F.col(y).cast("double")).alias("_factorial")), "glm")
+    df = staged(df.select(F.col(y).cast("double").alias(y), F.col(exposure).cast("double").alias(exposure), *columns), "glm")
     terms = [F.lit(1.0), *[F.col(c) for c in columns]]
     names = ["intercept", *columns]
     p = len(terms)
     beta, _ = _poisson_weights(df, y, exposure, columns, 50)
     mu = F.col(exposure) * F.exp(_linear(columns, beta))
-    moment = df.agg((F.sum(F.pow(F.col(y) - mu, 2) - mu) / F.sum(mu * mu)).alias("a")).first()["a"]
+    moment, rows, least = df.agg(F.sum(F.pow(F.col(y) - mu, 2) - mu) / F.sum(mu * mu), F.count("*"), -18 - F.ln(F.greatest(F.avg(mu), F.lit(1.0)))).first()
     at = np.append(beta, math.log(min(max(moment, 1e-3), 10.0)))
 
     def slopes(x: np.ndarray) -> tuple[Column, Column, Column, Column, Column, Column, Column]:
         """By row: likelihood, its slope and curvature in the linear term, both mixed, slope and curvature in ln(alpha), and mu."""
         alpha = math.exp(x[p])
-        theta, n = F.lit(1 / alpha), F.col(y)
+        theta, n = 1 / alpha, F.col(y)
         mu = F.col(exposure) * F.exp(_linear(columns, x[:p]))
         some = 1 + alpha * mu
-        value = log_rising(theta, n) - F.col("_factorial") - (n + theta) * F.log1p(alpha * mu) + n * (F.ln(mu) + math.log(alpha))
-        first = digamma_rise(theta, n) - F.log1p(alpha * mu) + (mu - n) / (theta + mu)  # in theta
-        second = trigamma_rise(theta, n) + mu / (theta * (theta + mu)) - (mu - n) / ((theta + mu) * (theta + mu))
+        value, first, second = _nb2_terms(theta, n, mu)
         return value, (n - mu) / some, -mu * (1 + alpha * n) / (some * some), -(n - mu) * mu * alpha / (some * some), -theta * first, theta * first + theta * theta * second, mu
 
     def totals(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -273,7 +308,7 @@ def nb2_glm(df: DataFrame, y: str, exposure: str, columns: list[str], steps: int
             curved[p, p] = -max(abs(hessian[p, p]), abs(score[p]))
         step = -_solved(curved, score, "nb2")
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
-        if at[p] < -18 or at[p] > 12:
+        if at[p] < least or at[p] > 12:  # counts of millions may vary more than Poisson's with a dispersion far below theirs
             raise NotConverged("nb2: the dispersion has no optimum above 0")
         if np.abs(step).max() < 1e-10:
             break
@@ -281,7 +316,7 @@ def nb2_glm(df: DataFrame, y: str, exposure: str, columns: list[str], steps: int
         while True:
             tried = at + share * step
             new, new_score, new_hessian = totals(tried)
-            if new >= value - 1e-12 * abs(value) or share < 1e-6:
+            if new >= value - 1e-10 * (abs(value) + rows) or share < 1e-6:  # what rounding may take away is no fall
                 break
             share /= 2
         at, value, score, hessian = tried, new, new_score, new_hessian

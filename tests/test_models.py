@@ -88,6 +88,32 @@ def test_nb2_reaches_the_optimum(spark, seed, alpha):
     assert got["observations"]["estimate"] == 300 and 0 < got["predicted_rate_min"]["estimate"] < got["predicted_rate_max"]["estimate"]
 
 
+def test_nb2_reaches_the_optimum_of_counts_of_millions(spark):
+    """The likelihood's usual terms leave only rounding of such counts, by which no step was ever good enough."""
+    rng = np.random.default_rng(9)
+    x, e = rng.standard_normal((25, 2)), rng.integers(550_000, 650_000, 25)
+    rate = np.exp(-1.1 + 0.001 * x[:, 0] + 0.009 * rng.standard_normal(25))
+    found = []
+    for k in (30, 3000):
+        fit = stats.nb2_glm(counted(spark, x, e * k, np.rint(e * k * rate)), "y", "e", ["a", "b"], steps=20)
+        found.append({r["term"]: r["estimate"] for r in fit.collect()})
+    # Nothing but the share of Poisson's variance differs, which is 1 / mu.
+    assert found[0]["alpha"] == pytest.approx(found[1]["alpha"] - 1 / (600_000 * 30 / 3), rel=1e-3)
+    assert found[0]["intercept"] == pytest.approx(found[1]["intercept"], abs=1e-6)
+
+
+@pytest.mark.parametrize("theta", [4.0, 12.0, 300.0])
+def test_nb2_terms(spark, theta):
+    rows = [(float(y), m) for y in (0, 4, 10, 90) for m in (0.5, y + 0.25, 1.1 * y + 3)]
+    got = spark.createDataFrame(rows, "y double, m double").select(*stats._nb2_terms(theta, F.col("y"), F.col("m"))).collect()
+    for (y, m), g in zip(rows, got, strict=True):
+        up = [1 / (theta + i) for i in range(int(y))]
+        value = math.lgamma(y + theta) - math.lgamma(theta) - math.lgamma(y + 1) - theta * math.log1p(m / theta) - y * math.log1p(theta / m)
+        first = math.fsum(up) - math.log1p(m / theta) + (m - y) / (theta + m)
+        second = -math.fsum(u * u for u in up) + m / (theta * (theta + m)) - (m - y) / (theta + m) ** 2
+        assert tuple(g) == pytest.approx((value, first, second), rel=1e-9, abs=1e-12)
+
+
 def test_fits_that_have_no_optimum_are_refused(spark):
     x, e, _ = counts(5)
     even = counted(spark, x, e, np.rint(e * np.exp(-2 + 0.3 * x[:, 0])).astype(int))
