@@ -244,3 +244,20 @@ def test_splits_that_are_refused(spark, rows, said):
         dedup.greedy_group_split(spark.createDataFrame(rows, "group_id string, label string, size int"), shares)
     with pytest.raises(ValueError, match="shares"):
         dedup.greedy_group_split(spark.createDataFrame(rows, "group_id string, label string, size int"), {"a": 0.5, "b": 0.6})
+
+
+def test_a_group_matches_many_parts_each_by_itself():
+    import pandas as pd
+
+    rows = [(0, 0, p, p + d, p, 0.5 - d / 10) for p in range(0, 40, 2) for d in (0, 1)] + [(0, 1, 3, 90, 91, 0.4), (1, 1, 3, 90, 91, 0.3)]
+    random.Random(1).shuffle(rows)
+    frame = pd.DataFrame(rows, columns=["plot", "kind", "id", "pred", "ref", "iou"])
+    got = sorted(instances._match_parts(frame).itertuples(index=False, name=None))
+    assert got == sorted([(0, p, p, 0.5) for p in range(0, 40, 2)] + [(0, 90, 91, 0.4), (1, 90, 91, 0.3)])
+    assert len(instances._match_parts(frame[:0])) == 0
+
+
+def test_components_settle_without_a_round_more(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "MAX_ROUNDS", 1)  # a star is one after a round
+    got = {r["node"]: r["root"] for r in graphs.components(spark.createDataFrame([(5, 1), (7, 1), (9, 8)], "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8}
