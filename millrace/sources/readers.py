@@ -11,6 +11,8 @@ import json
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions.scalar import flag, whole_match
 from millrace.operators import geometry
+from millrace.session import ship, staged
 
 
 class ContractError(ValueError):
@@ -209,17 +212,55 @@ def _unique(df: DataFrame) -> DataFrame:
 def bio(spark: SparkSession, path: str) -> DataFrame:
     """(file, sentence, position, token, tag) from lines `token tag`, with blank lines between sentences.
 
-    The last white space of a line parts token and tag. A running count of blank lines
-    numbers the sentences of a file.
+    The last white space of a line parts token and tag. Lines are counted as each split of a file
+    is read, and what the splits of a file add up to says where each begins; no task holds or
+    sorts a file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    order = Window.partitionBy("file").orderBy("line")
-    numbered = lines.withColumn("block", F.sum(flag(F.trim("text") == "")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.trim("text") != "")
-    parts = numbered.select("file", "block", "line", F.regexp_extract("text", r"^\s*(.+?)\s+(\S+)\s*$", 1).alias("token"), F.regexp_extract("text", r"^\s*(.+?)\s+(\S+)\s*$", 2).alias("tag"))
-    refuse(parts, {"no_tag": F.col("tag") == ""})
-    place = Window.partitionBy("file", "block").orderBy("line")
-    first = Window.partitionBy("file").orderBy("block")
-    return parts.select("file", (F.dense_rank().over(first) - 1).alias("sentence"), (F.row_number().over(place) - 1).alias("position"), "token", "tag")
+    ship(spark)
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "\r$", "").alias("text"))
+    read = staged(lines.withColumn("blank", F.trim("text") == "").mapInArrow(_counted_lines, "file string, split long, text string, blank boolean, line long, starts long, filled long, begin long"), "lines")
+    splits = read.groupBy("file", "split").agg(
+        F.max("starts").alias("_starts"), F.max("filled").alias("_filled"), F.max("begin").alias("_begin"), F.max(F.when(F.col("line") == 0, ~F.col("blank"))).alias("_first"), F.max_by("blank", "line").alias("_ended")
+    )
+    order = Window.partitionBy("file").orderBy("split")  # a row a split
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumns({"_opens": F.col("_first") & F.lag("_ended", 1, True).over(order), "_filled_before": F.coalesce(F.sum("_filled").over(before), F.lit(0))})
+    own = F.when(F.col("_begin") >= 0, F.col("_filled_before") + F.col("_begin")).when(F.col("_opens"), F.col("_filled_before"))
+    splits = splits.withColumn("_own", own).select(
+        "file", "split", "_opens", "_filled_before", F.coalesce(F.sum(F.col("_starts") + flag(F.col("_opens"))).over(before), F.lit(0)).alias("_starts_before"), F.last("_own", True).over(before).alias("_carried")
+    )
+    placed = read.where(~F.col("blank")).join(F.broadcast(splits), ["file", "split"])
+    begin = F.when(F.col("begin") >= 0, F.col("_filled_before") + F.col("begin")).when(F.col("_opens"), F.col("_filled_before")).otherwise(F.col("_carried"))
+    part = lambda i: F.regexp_extract("text", r"^\s*(.+?)\s+(\S+)\s*$", i)
+    sentence = F.col("_starts_before") + flag(F.col("_opens")) + F.col("starts") - 1
+    parts = placed.select("file", sentence.alias("sentence"), (F.col("_filled_before") + F.col("filled") - 1 - begin).cast("int").alias("position"), part(1).alias("token"), part(2).alias("tag"))
+    return refuse(parts, {"no_tag": F.col("tag") == ""})
+
+
+def _counted_lines(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Adds to lines, which come in order, counts within their split of a file: lines before (line), sentences begun
+    after a blank line (starts), lines that are not blank (filled), and how many were before the sentence (begin, -1 if it may go on from another split)."""
+    at, line, starts, filled, begin, ended = None, 0, 0, 0, -1, False
+    for batch in batches:
+        pieces, low = [], 0
+        files, offsets = batch.column("file").dictionary_encode(), batch.column("split").to_numpy(zero_copy_only=False)
+        code = files.indices.to_numpy(zero_copy_only=False)
+        edges = [*(np.flatnonzero((np.diff(code) != 0) | (np.diff(offsets) != 0)) + 1).tolist(), batch.num_rows]
+        blanks = batch.column("blank").to_numpy(zero_copy_only=False).astype(bool)
+        for high in edges:
+            if high == low:
+                continue
+            here = (files.dictionary[code[low]].as_py(), int(offsets[low]))
+            if here != at:
+                at, line, starts, filled, begin, ended = here, 0, 0, 0, -1, False
+            blank = blanks[low:high]
+            start = ~blank & np.append(ended, blank[:-1])
+            s, f = starts + np.cumsum(start), filled + np.cumsum(~blank)
+            b = np.maximum.accumulate(np.append(begin, np.where(start, f - 1, -1)))[1:]
+            pieces.append((line + np.arange(high - low), s, f, b))
+            line, starts, filled, begin, ended, low = line + high - low, int(s[-1]), int(f[-1]), int(b[-1]), bool(blank[-1]), high
+        counts = [pa.array(np.concatenate([p[i] for p in pieces]) if pieces else [], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "split", "text", "blank")), *counts], names=["file", "split", "text", "blank", "line", "starts", "filled", "begin"])
 
 
 def files(spark: SparkSession, root: str, classes: dict[str, str], most: int = 64 << 20) -> DataFrame:

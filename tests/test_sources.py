@@ -169,3 +169,28 @@ def test_snapshots_refuse_repeated_keys_and_take_empty_stats(spark, tmp_path):
     write(tmp_path / "b" / "a-1.json", text.replace('"points": 2', '"points": 2, "points": 3'))
     with pytest.raises(readers.ContractError):
         readers.snapshots(spark, str(tmp_path / "b"), ["points"], ["minutes"])
+
+
+@pytest.mark.parametrize("size", ["2k", "1m"])
+def test_tagged_text_is_read_in_any_splits(spark, tmp_path, size):
+    texts = ["\n\na O\nb B-X\n\n \nc O\r\n\r\nd e I-X\nf O\ng O\nh O\ni O\nj O", "k O\n\nl O\n\n\n", "\n", "m O\nn O\n" * 900, "p O\n\nq O\nr O\n" * 400]
+    want = []
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(text.encode())
+        sentence, position, open_ = -1, 0, False
+        for line in text.replace("\r", "").split("\n"):
+            if not line.strip():
+                open_ = False
+                continue
+            sentence, position = (sentence, position + 1) if open_ else (sentence + 1, 0)
+            open_ = True
+            want.append((f"{i}.txt", sentence, position, *line.rsplit(" ", 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = readers.bio(spark, str(tmp_path))
+        got = [(r[0].rsplit("/", 1)[1], *r[1:]) for r in read.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == sorted(want)
