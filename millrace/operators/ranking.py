@@ -32,10 +32,15 @@ def hash_ranked(df: DataFrame, by: list[str], digest: Column, name: str = "rank"
     return cut.withColumn("_here", here).join(starts, [*by, "_part"]).withColumn(name, F.col("_before") + F.col("_here") - 1).select(*df.columns, name)
 
 
+#: About how many rows a range has, so that what sorts a range needs the same memory whatever the size of the table.
+RANGE_ROWS = 1 << 19
+
+
 def ranges(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """`df` in the order of `by` and `value`, cut into ranges (_range) of which one value, however common, may fill several."""
     salted = df.withColumn("_salt", F.rand(0))
-    return staged(salted.repartitionByRange(*by, value, "_salt").withColumn("_range", F.spark_partition_id()).drop("_salt"), "ranges")
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    return staged(salted.repartitionByRange(max(parallel, -(-df.count() // RANGE_ROWS)), *by, value, "_salt").withColumn("_range", F.spark_partition_id()).drop("_salt"), "ranges")
 
 
 def average_ranked(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:

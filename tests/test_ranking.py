@@ -86,3 +86,10 @@ def test_medians_equal_brute_force(spark, groups, values):
             kept[g].append(v)
     assert got == {g: (len(vs), statistics.median(vs)) for g, vs in kept.items()}
     assert stats.medians(spark.createDataFrame([], "g int, v double"), ["g"], "v").count() == 0
+
+
+def test_ranges_have_about_the_same_size_whatever_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 500)
+    placed = ranking.ranges(spark.range(20000).selectExpr("id % 2 AS k", "id % 7 AS v"), ["k"], "v")
+    sizes = [r["count"] for r in placed.groupBy("_range").count().collect()]
+    assert sum(sizes) == 20000 and len(sizes) >= 35 and max(sizes) < 1500
